@@ -9,15 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
 _CARRIED = ["ts_utc", "high", "low", "close"]
 _ADDED = ["bar_no", "bar_date", *(f"prev_{c}" for c in _CARRIED)]
 
-#: Row order inside a block; valid between :func:`with_halo` and :func:`home_rows`.
-IN_BLOCK = Window.partitionBy("symbol", "_blk").orderBy("bar_no")
+
+def in_block() -> WindowSpec:
+    """Row order inside a block; valid between :func:`with_halo` and :func:`home_rows`."""
+    return Window.partitionBy("symbol", "_blk").orderBy("bar_no")
 
 
 def index_bars(bars: DataFrame) -> DataFrame:
@@ -79,7 +81,7 @@ def over_blocks(
     steps: Sequence[dict[str, Column]],
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Evaluate window columns built on :data:`IN_BLOCK` in one shuffle.
+    """Evaluate window columns built on :func:`in_block` in one shuffle.
 
     ``steps`` run in order, so a later one may use columns of an earlier one;
     ``lookback`` is the total number of earlier rows a result depends on.
@@ -90,13 +92,13 @@ def over_blocks(
     return home_rows(out)
 
 
-def frame(rows: int):
+def frame(rows: int) -> WindowSpec:
     """The last ``rows`` rows, the current one included."""
-    return IN_BLOCK.rowsBetween(1 - rows, 0)
+    return in_block().rowsBetween(1 - rows, 0)
 
 
 def lag(x: Column | str, rows: int = 1) -> Column:
-    return F.lag(x, rows).over(IN_BLOCK)
+    return F.lag(x, rows).over(in_block())
 
 
 def full(x: Column, value: Column, rows: int) -> Column:

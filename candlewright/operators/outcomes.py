@@ -10,6 +10,7 @@ from candlewright.operators.chained import CHAIN_ROWS, run_chained
 
 FANOUT = 512
 LEVELS = 3
+RUIN = -1e6          # log growth that no later gain brings back: exp() of it is 0.0
 
 
 def _level_one(bars: DataFrame, fanout: int) -> DataFrame:
@@ -244,10 +245,12 @@ def opposite_share(trades: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> Da
 def equity_curve(trades: DataFrame, capital: float = 30_000.0, stake_pct: float = 5.0) -> DataFrame:
     """Equity, running peak and drawdown after every closed trade, by exit order.
 
-    Each trade stakes a share of the equity, so equity is a running product.
-    Running values are formed inside a day and joined to one row per earlier day.
+    Each trade stakes a share of the equity, so equity is a running product. A
+    loss of all equity or more leaves zero for good. Running values are formed
+    inside a day and joined to one row per earlier day.
     """
-    growth = F.log1p(F.col("net_return") * (stake_pct / 100))
+    factor = 1 + F.col("net_return") * (stake_pct / 100)
+    growth = F.when(factor > 0, F.ln(factor)).otherwise(RUIN)
     closed = trades.where(F.col("net_return").isNotNull()).withColumns({
         "_g": growth, "_day": F.to_date("exit_ts")})
     order = [F.col("exit_no"), F.col("bar_no")]

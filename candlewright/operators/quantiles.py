@@ -22,7 +22,7 @@ def exact_quantiles(values: DataFrame, keys: list[str], probs: list[float], colu
     edges = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
     stats = values.where(F.col(column).isNotNull()).groupBy(*keys).agg(
         F.count(column).alias("_n"), F.min(column).alias("_min"), F.max(column).alias("_max"),
-        F.percentile_approx(column, [F.lit(e) for e in edges], accuracy).alias("_edges"))
+        F.percentile_approx(column, edges, accuracy).alias("_edges"))
     is_small = F.col("_n") <= small
     brackets = stats.select(*keys, "_n", F.inline(F.array(*(
         F.struct(

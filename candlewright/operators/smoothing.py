@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from candlewright.functions.columns import as_col
 
-MAX_BLOCK = 512
+BLOCK_ROWS = 512
+_REACH = 64               # blocks a carry should travel at most, where the length allows
 _GROWTH_LIMIT = 600.0     # natural log; q**-B must stay a finite double
 _UNDERFLOW = 745.2        # exp(-745.2) is 0.0 in double precision
 
@@ -65,8 +66,11 @@ class Smooth:
 
 
 def _block_rows(specs: list[Smooth], wanted: int | None) -> int:
-    limit = min(int(_GROWTH_LIMIT / -math.log(s.q)) for s in specs)
-    return max(2, min(wanted or MAX_BLOCK, limit))
+    decay = [-math.log(s.q) for s in specs]
+    limit = int(_GROWTH_LIMIT / max(decay))
+    if wanted is None:
+        wanted = max(BLOCK_ROWS, math.ceil(_UNDERFLOW / (_REACH * min(decay))))
+    return max(2, min(wanted, limit))
 
 
 def smooth(df: DataFrame, specs: dict[str, Smooth], block_rows: int | None = None) -> DataFrame:

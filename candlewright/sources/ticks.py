@@ -42,42 +42,57 @@ def divisor(symbol: Column | str = "symbol", table: dict[str, float] | None = No
     return F.coalesce(F.try_element_at(entries, symbol), F.lit(DEFAULT_DIVISOR))
 
 
-def _records(content: bytes, volume_type: str) -> dict:
+_NUMBERS = ["seq", "ms", "ask_raw", "bid_raw", "ask_vol", "bid_vol"]
+_FLUSH_ROWS = 250_000
+
+
+def _records(content: bytes, volume_type: str) -> pd.DataFrame:
+    """Whole records of one file; a short one at its end is left out."""
+    if not content:
+        raise ValueError("empty file")
     data = lzma.decompress(content)
     count = len(data) // RECORD_BYTES
     words = np.frombuffer(data, dtype=">u4", count=count * 5).reshape(count, 5)
     signed = words.view(">i4")
     volumes = words.view(">f4") if volume_type == "float32" else signed
-    return {
+    return pd.DataFrame({
         "seq": np.arange(count, dtype="int64"),
         "ms": words[:, 0].astype("int64"),
         "ask_raw": signed[:, 1].astype("int64"),
         "bid_raw": signed[:, 2].astype("int64"),
         "ask_vol": volumes[:, 3].astype("float64"),
         "bid_vol": volumes[:, 4].astype("float64"),
-        "error": None,
-    }
+    })
 
 
 def _decoder(volume_type: str):
-    columns = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
-
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        good, bad, rows = [], [], 0
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    if not content:
-                        raise ValueError("empty file")
-                    rows = _records(content, volume_type)
+                    part = _records(content, volume_type)
                 except Exception as exc:  # any unreadable file becomes a reject row
-                    rows = {**dict.fromkeys(columns[1:7], [None]), "error": [f"{type(exc).__name__}: {exc}"]}
-                out = pd.DataFrame(rows)
-                out["path"] = path
-                yield out[columns]
+                    bad.append((path, f"{type(exc).__name__}: {exc}"))
+                    continue
+                part["path"] = path
+                good.append(part)
+                rows += len(part)
+                if rows >= _FLUSH_ROWS:
+                    yield _tidy(good)
+                    good, rows = [], 0
+        if good:
+            yield _tidy(good)
+        if bad:
+            yield pd.DataFrame(bad, columns=["path", "error"]).reindex(columns=["path", *_NUMBERS, "error"])
 
     return decode
 
 
+def _tidy(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(parts, ignore_index=True).assign(error=None)[["path", *_NUMBERS, "error"]]
+
+
 def decode_files(files: DataFrame, volume_type: str = "int32") -> DataFrame:
     """Records of ``binaryFile`` rows, one file at a time; unreadable files give an ``error`` row.
 

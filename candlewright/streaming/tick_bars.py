@@ -11,19 +11,22 @@ from pyspark.sql.streaming import StreamingQuery
 from candlewright.session import staging_root
 from candlewright.sources.ticks import FILE_GLOB, decode_files, to_ticks
 
-_EPOCH = F.lit("1970-01-01 00:00:00")
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def _instant(ts: Column) -> Column:
     """UTC wall clock as an instant, as watermarks need; no session zone involved."""
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _EPOCH.cast("timestamp_ntz"), ts))
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), ts))
 
 
 def _wall_clock(ts: Column) -> Column:
     zero = F.lit(0)
     seconds = (F.unix_micros(ts).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
-    return _EPOCH.cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, seconds)
+    return _epoch() + F.make_dt_interval(zero, zero, zero, seconds)
 
 
 def stream_tick_files(spark: SparkSession, root: str, volume_type: str = "int32",
@@ -42,12 +45,12 @@ def stream_bars(ticks: DataFrame, seconds: int, delay: str = "2 hours") -> DataF
     """
     width = f"{seconds} seconds"
     timed = ticks.withColumn("event_time", _instant(F.col("ts"))).withWatermark("event_time", delay)
-    distinct = timed.groupBy(F.window("event_time", width).alias("w"), "symbol", "event_time", "price").agg(
+    tick_time = F.unix_micros("event_time").alias("tick_time")
+    distinct = timed.groupBy(F.window("event_time", width).alias("w"), "symbol", tick_time, "price").agg(
         F.max_by("volume", "seq").alias("volume"), F.max("seq").alias("seq"))
     order = F.struct(F.col("tick_time"), F.col("seq"))
     bars = (
-        distinct.select("symbol", "price", "volume", "seq",
-                        F.unix_micros("event_time").alias("tick_time"), F.window_time("w").alias("closing"))
+        distinct.select("symbol", "price", "volume", "seq", "tick_time", F.window_time("w").alias("closing"))
         .groupBy(F.window("closing", width).alias("w"), "symbol").agg(
             F.min_by("price", order).alias("open"), F.max("price").alias("high"),
             F.min("price").alias("low"), F.max_by("price", order).alias("close"),
