@@ -63,13 +63,13 @@ def tick_path_keys(spark, root):
 
 
 def _packed(batches):
-    """Each event as a one-record tick file."""
+    """Events as tick files: one per instrument-hour and batch."""
     for pdf in batches:
-        content = [
-            lzma.compress(struct.pack(">Iiiii", ms, bid + 2, bid, ask_vol, 0), format=lzma.FORMAT_ALONE, preset=0)
-            for ms, bid, ask_vol in zip(pdf["ms"], pdf["bid"], pdf["ask_vol"])
-        ]
-        yield pd.DataFrame({"path": pdf["path"], "content": content})
+        files = {}
+        for path, *record in zip(pdf["path"], pdf["ms"], pdf["bid"] + 2, pdf["bid"], pdf["ask_vol"]):
+            files.setdefault(path, bytearray()).extend(struct.pack(">Iiiii", *record, 0))
+        content = [lzma.compress(bytes(c), format=lzma.FORMAT_ALONE, preset=0) for c in files.values()]
+        yield pd.DataFrame({"path": list(files), "content": content})
 
 
 @query("tick_files", """SELECT upper(event_type) AS symbol, date_trunc('hour', ts) + to_milliseconds(

@@ -46,7 +46,7 @@ _NUMBERS = ["seq", "ms", "ask_raw", "bid_raw", "ask_vol", "bid_vol"]
 _FLUSH_ROWS = 250_000
 
 
-def _records(content: bytes, volume_type: str) -> pd.DataFrame:
+def _records(content: bytes, volume_type: str) -> list[np.ndarray]:
     """Whole records of one file; a short one at its end is left out."""
     if not content:
         raise ValueError("empty file")
@@ -55,14 +55,11 @@ def _records(content: bytes, volume_type: str) -> pd.DataFrame:
     words = np.frombuffer(data, dtype=">u4", count=count * 5).reshape(count, 5)
     signed = words.view(">i4")
     volumes = words.view(">f4") if volume_type == "float32" else signed
-    return pd.DataFrame({
-        "seq": np.arange(count, dtype="int64"),
-        "ms": words[:, 0].astype("int64"),
-        "ask_raw": signed[:, 1].astype("int64"),
-        "bid_raw": signed[:, 2].astype("int64"),
-        "ask_vol": volumes[:, 3].astype("float64"),
-        "bid_vol": volumes[:, 4].astype("float64"),
-    })
+    return [
+        np.arange(count, dtype="int64"), words[:, 0].astype("int64"),
+        signed[:, 1].astype("int64"), signed[:, 2].astype("int64"),
+        volumes[:, 3].astype("float64"), volumes[:, 4].astype("float64"),
+    ]
 
 
 def _decoder(volume_type: str):
@@ -75,9 +72,8 @@ def _decoder(volume_type: str):
                 except Exception as exc:  # any unreadable file becomes a reject row
                     bad.append((path, f"{type(exc).__name__}: {exc}"))
                     continue
-                part["path"] = path
-                good.append(part)
-                rows += len(part)
+                good.append((path, part))
+                rows += len(part[0])
                 if rows >= _FLUSH_ROWS:
                     yield _tidy(good)
                     good, rows = [], 0
@@ -89,8 +85,12 @@ def _decoder(volume_type: str):
     return decode
 
 
-def _tidy(parts: list[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(parts, ignore_index=True).assign(error=None)[["path", *_NUMBERS, "error"]]
+def _tidy(files: list[tuple[str, list[np.ndarray]]]) -> pd.DataFrame:
+    lengths = [len(part[0]) for _, part in files]
+    out = {"path": np.repeat(np.array([path for path, _ in files], dtype=object), lengths)}
+    for i, name in enumerate(_NUMBERS):
+        out[name] = np.concatenate([part[i] for _, part in files])
+    return pd.DataFrame({**out, "error": None})
 
 
 def decode_files(files: DataFrame, volume_type: str = "int32") -> DataFrame:
