@@ -34,7 +34,7 @@ def flat(df, *metrics):
   CASE WHEN count(*) > count(volume) THEN 'WARNING' ELSE 'PASS' END AS status,
   (count(*) - count(volume))::DOUBLE AS volume, (count(*) - count(volume))::DOUBLE AS total FROM x GROUP BY 1""")
 def dq_missing_values(spark, root):
-    return flat(q.missing_values(q.bar_profile(rough_bars(spark, root))), "volume", "total")
+    return flat(q.run_checks(q.bar_profile(rough_bars(spark, root)), q.missing_values()), "volume", "total")
 
 
 @query("dq_duplicates", f"""WITH {ROUGH} SELECT symbol, 'duplicates' AS "check",
@@ -51,14 +51,14 @@ _BAD = "high < low OR open > high OR open < low OR close > high OR close < low"
   CASE WHEN count(*) FILTER ({_BAD}) > 0 THEN 'FAIL' ELSE 'PASS' END AS status,
   (count(*) FILTER ({_BAD}))::DOUBLE AS count FROM x GROUP BY 1""")
 def dq_ohlc_consistency(spark, root):
-    return flat(q.ohlc_consistency(q.bar_profile(rough_bars(spark, root))), "count")
+    return flat(q.run_checks(q.bar_profile(rough_bars(spark, root)), q.ohlc_consistency()), "count")
 
 
 @query("dq_price_validation", f"""WITH {ROUGH} SELECT symbol, 'price_validation' AS "check",
   CASE WHEN count(*) FILTER (close <= 0 OR open <= 0 OR high <= 0 OR low <= 0) > 0 THEN 'FAIL' ELSE 'PASS' END AS status,
   (count(*) FILTER (open <= 0))::DOUBLE AS open, (count(*) FILTER (close <= 0))::DOUBLE AS close FROM x GROUP BY 1""")
 def dq_price_validation(spark, root):
-    return flat(q.nonpositive_prices(q.bar_profile(rough_bars(spark, root))), "open", "close")
+    return flat(q.run_checks(q.bar_profile(rough_bars(spark, root)), q.nonpositive_prices()), "open", "close")
 
 
 @query("dq_time_order", """WITH s AS (SELECT o_orderpriority AS symbol,
@@ -79,7 +79,7 @@ _GAP = bars_sql(D1, ORDER_TICKS) + ", z AS (SELECT symbol, epoch(ts) - epoch(pts
   (count(*) FILTER (diff > 86400))::DOUBLE AS large_gaps, (count(*) FILTER (diff > 3600 AND diff <= 86400))::DOUBLE AS regular_gaps,
   max(diff) FILTER (diff > 86400) + 0.0 AS max_gap_seconds, round(avg(diff) FILTER (diff > 86400), 6) + 0.0 AS avg_gap_seconds FROM z GROUP BY 1""")
 def dq_gaps(spark, root):
-    return flat(q.gaps(order_bars(spark, root), 3600),
+    return flat(q.run_checks(q.bar_profile(order_bars(spark, root), 3600), q.gaps()),
                 "large_gaps", "regular_gaps", "max_gap_seconds", "avg_gap_seconds")
 
 
@@ -103,20 +103,20 @@ def dq_describe(spark, root):
                      "min", *(rounded(p, 4).alias(p) for p in ("p25", "p50", "p75")), "max")
 
 
-_MOVE = bars_sql(M15) + ", z AS (SELECT symbol, abs((close - pc) / pc) AS move FROM i)"
+_MOVE = bars_sql(M15) + ", z AS (SELECT symbol, CASE WHEN pc = 0 AND close <> 0 THEN 'inf'::DOUBLE ELSE abs((close - pc) / nullif(pc, 0)) END AS move FROM i)"
 
 
 @query("dq_large_moves", _MOVE + """ SELECT symbol, 'price_changes' AS "check",
   CASE WHEN count(*) FILTER (move > 0.05) > 10 THEN 'WARNING' WHEN count(*) FILTER (move > 0.05) > 0 THEN 'INFO' ELSE 'PASS' END AS status,
   (count(*) FILTER (move > 0.05))::DOUBLE AS large_move_count, round(max(move) * 100, 6) + 0.0 AS max_move_percent FROM z GROUP BY 1""")
 def dq_large_moves(spark, root):
-    return flat(q.large_moves(event_bars(spark, root)), "large_move_count", "max_move_percent")
+    return flat(q.run_checks(q.bar_profile(event_bars(spark, root), M15), q.large_moves()), "large_move_count", "max_move_percent")
 
 
 @query("dq_warm_up", bars_sql(M15) + """ SELECT symbol, 'indicator_compatibility' AS "check",
   CASE WHEN count(*) < 14 THEN 'FAIL' ELSE 'PASS' END AS status, count(*)::DOUBLE AS bars FROM b GROUP BY 1""")
 def dq_warm_up(spark, root):
-    return flat(q.warm_up(q.bar_profile(event_bars(spark, root)), 14), "bars")
+    return flat(q.run_checks(q.bar_profile(event_bars(spark, root)), q.warm_up(14)), "bars")
 
 
 @query("dq_range_coverage", bars_sql(M15) + """ SELECT symbol, 'date_range' AS "check",
@@ -124,7 +124,7 @@ def dq_warm_up(spark, root):
   FROM b GROUP BY 1""")
 def dq_range_coverage(spark, root):
     profile = q.bar_profile(event_bars(spark, root))
-    return flat(q.range_coverage(profile, "2024-01-01 00:10:00", "2024-01-29 00:00:00"))
+    return flat(q.run_checks(profile, q.range_coverage("2024-01-01 00:10:00", "2024-01-29 00:00:00")))
 
 
 @query("dq_overall", f"""WITH {ROUGH} SELECT symbol, CASE WHEN count(*) FILTER ({_BAD}) > 0
@@ -135,8 +135,8 @@ def dq_overall(spark, root):
     bars = rough_bars(spark, root)
     profile = q.bar_profile(bars)
     return q.overall_status(q.union_checks(
-        q.missing_values(profile), q.ohlc_consistency(profile),
-        q.nonpositive_prices(profile), q.duplicate_timestamps(bars)))
+        q.run_checks(profile, q.missing_values(), q.ohlc_consistency(), q.nonpositive_prices()),
+        q.duplicate_timestamps(bars)))
 
 
 @query("dq_validate", None)

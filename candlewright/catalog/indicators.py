@@ -224,10 +224,10 @@ def gate_choppiness(spark, root):
     return gate(st.run_studies(event_bars(spark, root), st.choppiness()), "chop", "chop")
 
 
-@query("gate_roc", I15 + f""", m AS (SELECT *, (close - lag(close, 14) OVER w) / lag(close, 14) OVER w * 100 AS roc FROM i
-  WINDOW w AS (PARTITION BY symbol ORDER BY n)) SELECT {KEY} {r6('roc', 'roc', 4)}, {gate_sql('roc > 0.1::DOUBLE', 'roc < -0.1::DOUBLE')} FROM m""")
+@query("gate_roc", I15 + f""", m AS (SELECT *, (close - lag(close, 14) OVER w) / nullif(lag(close, 14) OVER w, 0) * 100 AS roc FROM i
+  WINDOW w AS (PARTITION BY symbol ORDER BY n)) SELECT {KEY} {r6('roc', 'roc')}, {gate_sql('roc > 0.1::DOUBLE', 'roc < -0.1::DOUBLE')} FROM m""")
 def gate_roc(spark, root):
-    return gate(st.run_studies(event_bars(spark, root), st.roc()), "roc", "roc", places=4)
+    return gate(st.run_studies(event_bars(spark, root), st.roc()), "roc", "roc")
 
 
 @query("gate_bbw", I15 + f""", m AS (SELECT *, CASE WHEN {over('count(*)', 14)} = 14 THEN 4 * {over('stddev_pop(close)', 14)} / {over('avg(close)', 14)} END AS bbw FROM i),
@@ -236,17 +236,17 @@ def gate_bbw(spark, root):
     return gate(st.run_studies(event_bars(spark, root), st.bollinger_width()), "bbw", "bbw")
 
 
-@query("gate_dpo", I15 + f""", m AS (SELECT *, close - {sma_sql('close', 20)} AS raw FROM i), k AS (SELECT *, {sma_sql('raw', 3)} / close * 100 AS dpo FROM m)
-  SELECT {KEY} {r6('dpo', 'dpo', 4)}, {gate_sql('dpo < 0 AND dpo > -20', 'dpo > 0 AND dpo < 20')} FROM k""")
+@query("gate_dpo", I15 + f""", m AS (SELECT *, close - {sma_sql('close', 20)} AS raw FROM i), k AS (SELECT *, {sma_sql('raw', 3)} / nullif(close, 0) * 100 AS dpo FROM m)
+  SELECT {KEY} {r6('dpo', 'dpo')}, {gate_sql('dpo < 0 AND dpo > -20', 'dpo > 0 AND dpo < 20')} FROM k""")
 def gate_dpo(spark, root):
-    return gate(st.run_studies(event_bars(spark, root), st.dpo(threshold=20.0)), "dpo", "dpo", places=4)
+    return gate(st.run_studies(event_bars(spark, root), st.dpo(threshold=20.0)), "dpo", "dpo")
 
 
 @query("gate_cci", I15 + f""", m AS (SELECT *, {sma_sql('close', 20)} AS mean, {over('list(close)', 20)} AS xs FROM i),
   k AS (SELECT *, (close - mean) / nullif(0.015::DOUBLE * list_avg(list_transform(xs, lambda x: abs(x - mean))), 0) AS cci FROM m)
-  SELECT {KEY} {r6('cci', 'cci', 4)}, {gate_sql('cci < 100', 'cci > -100')} FROM k""")
+  SELECT {KEY} {r6('cci', 'cci')}, {gate_sql('cci < 100', 'cci > -100')} FROM k""")
 def gate_cci(spark, root):
-    return gate(st.run_studies(event_bars(spark, root), st.cci()), "cci", "cci", places=4)
+    return gate(st.run_studies(event_bars(spark, root), st.cci()), "cci", "cci")
 
 
 _FIT = f"({over('regr_intercept(close, n)', 10)} + {over('regr_slope(close, n)', 10)} * n)"
@@ -314,7 +314,7 @@ def edge_trigger(spark, root):
     return st.run_studies(df, st.edge_trigger("a", "z", "fires"), gates=False).select("symbol", "ts_utc", "fires")
 
 
-@query("gate_conjunction", I15 + f""", m AS (SELECT *, {sma_sql('close', 16)} AS ma, (close - lag(close, 14) OVER (PARTITION BY symbol ORDER BY n)) / lag(close, 14) OVER (PARTITION BY symbol ORDER BY n) * 100 AS roc,
+@query("gate_conjunction", I15 + f""", m AS (SELECT *, {sma_sql('close', 16)} AS ma, (close - lag(close, 14) OVER (PARTITION BY symbol ORDER BY n)) / nullif(lag(close, 14) OVER (PARTITION BY symbol ORDER BY n), 0) * 100 AS roc,
   CASE WHEN {over('count(*)', 14)} = 14 THEN CASE WHEN {_SPAN} > 0 THEN 100 * log10({over('sum(tr)', 14)} / {_SPAN}) / log10(14) ELSE 100 END END AS chop FROM i),
   k AS (SELECT *, lag(ma, 10) OVER (PARTITION BY symbol ORDER BY n) AS mb FROM m)
   SELECT {KEY} {gate_sql('ma > mb AND roc > 0.1::DOUBLE AND chop < 61.8::DOUBLE', 'ma < mb AND roc < -0.1::DOUBLE AND chop < 61.8::DOUBLE')} FROM k""")

@@ -10,25 +10,26 @@ from candlewright.functions.columns import percent, ratio
 STAGES = ["raw", "time", "rsi", "risk"]
 
 
-def signal_analysis(bars: DataFrame) -> DataFrame:
+def signal_analysis_columns() -> list[Column]:
     n, buy, sell = F.count(F.lit(1)), F.count_if("we_buy"), F.count_if("we_sell")
-    return bars.groupBy("symbol").agg(
+    return [
         n.alias("total_bars"),
         buy.alias("buy"), percent(buy, n).alias("buy_pct"),
         sell.alias("sell"), percent(sell, n).alias("sell_pct"),
         (buy + sell).alias("total"), percent(buy + sell, n).alias("total_pct"),
-    )
+    ]
 
 
-def run_statistics(bars: DataFrame) -> DataFrame:
+def run_statistics_columns() -> list[Column]:
     buy, sell = F.count_if("we_buy"), F.count_if("we_sell")
-    return bars.groupBy("symbol").agg(
+    return [
         F.count(F.lit(1)).alias("total_bars"),
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-        buy.alias("buy"), sell.alias("sell"), (buy + sell).alias("total"))
+        buy.alias("buy"), sell.alias("sell"), (buy + sell).alias("total"),
+    ]
 
 
-def candle_distribution(bars: DataFrame) -> DataFrame:
+def candle_distribution_columns() -> list[Column]:
     """Count and share of every candle type; shares are of classified bars."""
     kind, n, known = F.col("candle_type"), F.count(F.lit(1)), F.count("candle_type")
     columns = [n.alias("total_bars"), known.alias("classified"), (n - known).alias("unclassified"),
@@ -36,24 +37,44 @@ def candle_distribution(bars: DataFrame) -> DataFrame:
     for name, code in (("inside", 1), ("up", 2), ("down", -2), ("outside", 3)):
         hits = F.count_if(kind == code)
         columns += [hits.alias(name), percent(hits, known).alias(f"{name}_pct")]
-    return bars.groupBy("symbol").agg(*columns)
+    return columns
 
 
-def htf_distribution(bars: DataFrame) -> DataFrame:
+def htf_distribution_columns() -> list[Column]:
     n, bull, bear = F.count(F.lit(1)), F.count_if("htf_bull"), F.count_if("htf_bear")
     columns = []
     for name, hits in (("bull", bull), ("bear", bear), ("neutral", n - bull - bear)):
         columns += [hits.alias(name), percent(hits, n).alias(f"{name}_pct")]
-    return bars.groupBy("symbol").agg(*columns)
+    return columns
 
 
-def reversal_conversion(bars: DataFrame) -> DataFrame:
+def reversal_conversion_columns() -> list[Column]:
     columns = []
     for pattern, signal in (("rev_up", "we_buy"), ("rev_down", "we_sell")):
         found, used = F.count_if(pattern), F.count_if(signal)
         columns += [found.alias(f"{pattern}_count"), used.alias(f"{pattern}_converted"),
                     percent(used, found).alias(f"{pattern}_rate")]
-    return bars.groupBy("symbol").agg(*columns)
+    return columns
+
+
+def signal_analysis(bars: DataFrame) -> DataFrame:
+    return bars.groupBy("symbol").agg(*signal_analysis_columns())
+
+
+def run_statistics(bars: DataFrame) -> DataFrame:
+    return bars.groupBy("symbol").agg(*run_statistics_columns())
+
+
+def candle_distribution(bars: DataFrame) -> DataFrame:
+    return bars.groupBy("symbol").agg(*candle_distribution_columns())
+
+
+def htf_distribution(bars: DataFrame) -> DataFrame:
+    return bars.groupBy("symbol").agg(*htf_distribution_columns())
+
+
+def reversal_conversion(bars: DataFrame) -> DataFrame:
+    return bars.groupBy("symbol").agg(*reversal_conversion_columns())
 
 
 def sample_signals(df: DataFrame, n: int = 5, order: str = "ts_utc",

@@ -45,11 +45,13 @@ def first_touch(signals: DataFrame, bars: DataFrame, fanout: int = FANOUT,
     def search(df: DataFrame, level: int, key: Column, after: Column, found: str, wanted: Column) -> DataFrame:
         table = tables[level].select(
             "symbol", F.col("no").alias("_no"), F.col("parts").alias("_parts"))
-        first = F.get(F.filter("_parts", lambda p: (p["no"] > F.col("_after")) & (
+        hit = F.get(F.filter("_parts", lambda p: (p["no"] > F.col("_after")) & (
             (p["low"] <= F.col("_floor")) | (p["high"] >= F.col("_ceiling")))), F.lit(0))
-        hit = F.when(wanted, first)
+        # Signals that need no look here get keys of their own that match nothing, so
+        # they do not pile up on the few blocks of the upper levels.
+        nothing = -1 - F.col("bar_no")
         return (
-            df.withColumns({"_no": key, "_after": after})
+            df.withColumns({"_no": F.when(wanted, key).otherwise(nothing), "_after": after})
             .join(table, ["symbol", "_no"], "left")
             .withColumn(found, hit if level == 0 else hit["no"])
             .drop("_no", "_after", "_parts")
@@ -75,8 +77,7 @@ def first_touch(signals: DataFrame, bars: DataFrame, fanout: int = FANOUT,
     # Down: from the block found to its first hitting part.
     out = out.withColumn("_at", F.col(f"_up{levels - 1}"))
     for level in range(levels - 2, -1, -1):
-        out = search(out, level, F.coalesce(F.col("_at"), own_block(level + 1)), F.lit(-1),
-                     f"_down{level}", F.col("_at").isNotNull())
+        out = search(out, level, F.col("_at"), F.lit(-1), f"_down{level}", F.col("_at").isNotNull())
         out = out.withColumn("_at", F.coalesce(f"_down{level}", f"_up{level}"))
     hit = F.col("_at")
     long = F.col("sl") < F.col("tp")

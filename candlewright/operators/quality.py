@@ -1,4 +1,8 @@
-"""Bar data checks. Each returns one row per symbol: ``category, check, status, message, metrics``."""
+"""Bar data checks: ``symbol, category, check, status, message, metrics``.
+
+Most checks are columns over :func:`bar_profile`, one aggregate pass for all of
+them; duplicates and arrival order need a shuffle each and are tables themselves.
+"""
 
 from __future__ import annotations
 
@@ -13,16 +17,21 @@ from candlewright.operators.quantiles import exact_quantiles
 from candlewright.schema import OHLCV, PRICES
 
 DAY = 86_400.0
+LARGE_MOVE = 0.05
 SEVERITY = {"PASS": 0, "INFO": 0, "SKIP": 0, "WARNING": 1, "FAIL": 2}
 TIME_TYPES = (T.TimestampType, T.TimestampNTZType)
 
 
-def _check(df: DataFrame, category: str, check: str, status: Column, message: Column,
-           metrics: dict[str, Column]) -> DataFrame:
+def _check(category: str, check: str, status: Column, message: Column, metrics: dict[str, Column]) -> Column:
     pairs = [x for name, value in metrics.items() for x in (F.lit(name), value.cast("double"))]
     metric = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
-    return df.select("symbol", F.lit(category).alias("category"), F.lit(check).alias("check"),
-                     status.alias("status"), message.alias("message"), metric.alias("metrics"))
+    return F.struct(F.lit(category).alias("category"), F.lit(check).alias("check"),
+                    status.alias("status"), message.alias("message"), metric.alias("metrics"))
+
+
+def run_checks(profile: DataFrame, *checks: Column) -> DataFrame:
+    """One row per symbol and check."""
+    return profile.select("symbol", F.inline(F.array(*checks)))
 
 
 def _status(bad: Column, level: str) -> Column:
@@ -43,49 +52,110 @@ def check_schema(df: DataFrame) -> list[dict[str, str]]:
     ]
 
 
-def bar_profile(bars: DataFrame) -> DataFrame:
-    """Every row-local count in a single aggregate pass."""
+def fixed_check(row: dict[str, str]) -> Column:
+    """A schema check as a constant, the same for every symbol."""
+    return _check(row["category"], row["check"], F.lit(row["status"]), F.lit(row["message"]), {})
+
+
+def bar_profile(bars: DataFrame, bar_seconds: int | None = None) -> DataFrame:
+    """Every count the checks need, in a single aggregate pass.
+
+    With ``bar_seconds`` the steps between bars are profiled too; ``bars`` must be
+    indexed then.
+    """
     o, h, l, c = (F.col(x) for x in PRICES)
     bad = (h < l) | (o > h) | (o < l) | (c > h) | (c < l)
-    return bars.groupBy("symbol").agg(
+    columns = [
         F.count(F.lit(1)).alias("n"),
         *(F.count_if(F.col(x).isNull()).alias(f"null_{x}") for x in OHLCV),
         F.count_if(bad).alias("bad_ohlc"),
         *(F.count_if(F.col(x) <= 0).alias(f"nonpos_{x}") for x in PRICES),
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-    )
-
-
-def missing_values(profile: DataFrame) -> DataFrame:
+    ]
+    if bar_seconds is not None:
+        diff = seconds_between("prev_ts_utc", "ts_utc")
+        large, regular = diff > DAY, (diff > bar_seconds) & (diff <= DAY)
+        before = F.col("prev_close")
+        move = F.when((before == 0) & (c != 0), float("inf")).otherwise(F.abs(ratio(c - before, before)))
+        columns += [
+            F.count(diff).alias("steps"), F.count_if(large).alias("large"), F.count_if(regular).alias("regular"),
+            F.max(F.when(large, diff)).alias("max_gap"), F.avg(F.when(large, diff)).alias("avg_gap"),
+            F.count_if(move > LARGE_MOVE).alias("moves"), (F.max(move) * 100).alias("max_move"),
+        ]
+    return bars.groupBy("symbol").agg(*columns)
+
+
+def missing_values() -> Column:
     total = sum((F.col(f"null_{c}") for c in OHLCV), F.lit(0))
-    return _check(profile, "quality", "missing_values", _status(total > 0, "WARNING"),
+    return _check("quality", "missing_values", _status(total > 0, "WARNING"),
                   F.when(total > 0, F.concat(F.lit("Missing values found: "), total.cast("string")))
                   .otherwise("No missing values"),
                   {**{c: F.col(f"null_{c}") for c in OHLCV}, "total": total})
 
 
-def ohlc_consistency(profile: DataFrame) -> DataFrame:
+def ohlc_consistency() -> Column:
     n = F.col("bad_ohlc")
-    return _check(profile, "quality", "ohlc_consistency", _status(n > 0, "FAIL"),
+    return _check("quality", "ohlc_consistency", _status(n > 0, "FAIL"),
                   F.when(n > 0, F.format_string("Found %d bars with invalid OHLC relationships", n))
                   .otherwise("OHLC consistency OK"), {"count": n})
 
 
-def nonpositive_prices(profile: DataFrame) -> DataFrame:
+def nonpositive_prices() -> Column:
     total = sum((F.col(f"nonpos_{c}") for c in PRICES), F.lit(0))
-    return _check(profile, "quality", "price_validation", _status(total > 0, "FAIL"),
+    return _check("quality", "price_validation", _status(total > 0, "FAIL"),
                   F.when(total > 0, F.concat(F.lit("Found non-positive prices: "), total.cast("string")))
                   .otherwise("All prices positive"),
                   {c: F.col(f"nonpos_{c}") for c in PRICES})
 
 
+def gaps() -> Column:
+    """Regular gaps (longer than a bar) and large gaps (over 24 hours)."""
+    steps, large, regular = F.col("steps"), F.col("large"), F.col("regular")
+    status = (F.when(steps == 0, "SKIP").when(large > 10, "WARNING")
+              .when(large + regular > 0, "INFO").otherwise("PASS"))
+    message = (
+        F.when(steps == 0, "Not enough data points for continuity check")
+        .when(large > 0, F.format_string("Found %d time gaps (%d > 24h, %d regular)", large + regular, large, regular))
+        .when(regular > 0, F.format_string("Found %d regular time gaps (market closures, weekends)", regular))
+        .otherwise("No significant time gaps found"))
+    return _check("continuity", "gaps", status, message,
+                  {"large_gaps": large, "regular_gaps": regular,
+                   "max_gap_seconds": F.col("max_gap"), "avg_gap_seconds": F.col("avg_gap")})
+
+
+def large_moves() -> Column:
+    n = F.col("moves")
+    status = F.when(n > 10, "WARNING").when(n > 0, "INFO").otherwise("PASS")
+    message = F.when(n > 0, F.format_string("Found %d price moves > 5%% (max: %.2f%%)", n, F.col("max_move"))
+                     ).otherwise("No large price moves")
+    return _check("statistics", "price_changes", status, message,
+                  {"large_move_count": n, "max_move_percent": F.col("max_move")})
+
+
+def warm_up(rsi_length: int) -> Column:
+    n = F.col("n")
+    return _check("compatibility", "indicator_compatibility", _status(n < rsi_length, "FAIL"),
+                  F.when(n < rsi_length, F.format_string(
+                      f"Not enough data for RSI (length={rsi_length}). Need at least {rsi_length} bars, have %d", n))
+                  .otherwise(f"Sufficient data for RSI (length={rsi_length})"), {"bars": n})
+
+
+def range_coverage(start: str, end: str) -> Column:
+    a, b = (F.lit(x).cast("timestamp_ntz") for x in (start, end))
+    short = (F.col("first_ts") > a) | (F.col("last_ts") < b)
+    return _check("compatibility", "date_range", _status(short, "WARNING"),
+                  F.when(short, "Data does not fully cover the requested range")
+                  .otherwise("Data fully covers requested date range"), {})
+
+
 def duplicate_timestamps(bars: DataFrame) -> DataFrame:
     """Rows beyond the first per (symbol, ts); two combinable counts."""
     n = F.col("count")
     dup = bars.groupBy("symbol", "ts").count().groupBy("symbol").agg(F.sum(n - 1).alias("count"))
-    return _check(dup, "quality", "duplicates", _status(n > 0, "WARNING"),
-                  F.when(n > 0, F.format_string("Found %d duplicate timestamps", n))
-                  .otherwise("No duplicate timestamps"), {"count": n})
+    return run_checks(dup, _check(
+        "quality", "duplicates", _status(n > 0, "WARNING"),
+        F.when(n > 0, F.format_string("Found %d duplicate timestamps", n)).otherwise("No duplicate timestamps"),
+        {"count": n}))
 
 
 def time_order(bars: DataFrame, sequence: str, chunk: int = 65_536) -> DataFrame:
@@ -105,57 +175,21 @@ def time_order(bars: DataFrame, sequence: str, chunk: int = 65_536) -> DataFrame
         "_bad", F.col("_bad") + F.coalesce((F.col("_first") < F.lag("_last").over(across)).cast("int"), F.lit(0))
     ).groupBy("symbol").agg(F.sum("_bad").alias("count"))
     n = F.col("count")
-    return _check(total, "quality", "timestamp_order", _status(n > 0, "FAIL"),
-                  F.when(n > 0, "Timestamps are not monotonic increasing")
-                  .otherwise("Timestamps are monotonic increasing"), {"count": n})
-
-
-def _step_seconds(indexed: DataFrame) -> DataFrame:
-    return indexed.withColumn("diff", seconds_between("prev_ts_utc", "ts_utc"))
-
-
-def gaps(indexed: DataFrame, bar_seconds: int) -> DataFrame:
-    """Regular gaps (longer than a bar) and large gaps (over 24 hours)."""
-    diff = F.col("diff")
-    large = diff > DAY
-    regular = (diff > bar_seconds) & (diff <= DAY)
-    agg = _step_seconds(indexed).groupBy("symbol").agg(
-        F.count(diff).alias("steps"), F.count_if(large).alias("large"), F.count_if(regular).alias("regular"),
-        F.max(F.when(large, diff)).alias("max_gap"), F.avg(F.when(large, diff)).alias("avg_gap"))
-    n_large, n_regular = F.col("large"), F.col("regular")
-    status = (F.when(F.col("steps") == 0, "SKIP").when(n_large > 10, "WARNING")
-              .when(n_large + n_regular > 0, "INFO").otherwise("PASS"))
-    message = (
-        F.when(F.col("steps") == 0, "Not enough data points for continuity check")
-        .when(n_large > 0, F.format_string("Found %d time gaps (%d > 24h, %d regular)",
-                                           n_large + n_regular, n_large, n_regular))
-        .when(n_regular > 0, F.format_string("Found %d regular time gaps (market closures, weekends)", n_regular))
-        .otherwise("No significant time gaps found"))
-    return _check(agg, "continuity", "gaps", status, message,
-                  {"large_gaps": n_large, "regular_gaps": n_regular,
-                   "max_gap_seconds": F.col("max_gap"), "avg_gap_seconds": F.col("avg_gap")})
+    return run_checks(total, _check(
+        "quality", "timestamp_order", _status(n > 0, "FAIL"),
+        F.when(n > 0, "Timestamps are not monotonic increasing").otherwise("Timestamps are monotonic increasing"),
+        {"count": n}))
 
 
 def interval_distribution(indexed: DataFrame, top: int = 10) -> DataFrame:
     """Most frequent bar distances per symbol; equal counts rank by distance."""
-    counts = (_step_seconds(indexed).where(F.col("diff").isNotNull())
-              .groupBy("symbol", "diff").agg(F.count(F.lit(1)).alias("n")))
+    diff = seconds_between("prev_ts_utc", "ts_utc")
+    counts = (indexed.where(F.col("prev_ts_utc").isNotNull())
+              .groupBy("symbol", diff.alias("diff")).agg(F.count(F.lit(1)).alias("n")))
     rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("n"), "diff"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
-def large_moves(indexed: DataFrame, limit: float = 0.05) -> DataFrame:
-    move = F.abs(ratio(F.col("close") - F.col("prev_close"), F.col("prev_close")))
-    agg = indexed.withColumn("move", move).groupBy("symbol").agg(
-        F.count_if(F.col("move") > limit).alias("n"), (F.max("move") * 100).alias("max_pct"))
-    n = F.col("n")
-    status = F.when(n > 10, "WARNING").when(n > 0, "INFO").otherwise("PASS")
-    message = F.when(n > 0, F.format_string("Found %d price moves > 5%% (max: %.2f%%)", n, F.col("max_pct"))
-                     ).otherwise("No large price moves")
-    return _check(agg, "statistics", "price_changes", status, message,
-                  {"large_move_count": n, "max_move_percent": F.col("max_pct")})
-
-
 def describe(bars: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
     """count, mean, std, min, quartiles and max per symbol and column."""
     columns = columns or OHLCV
@@ -178,22 +212,6 @@ def describe(bars: DataFrame, columns: list[str] | None = None, approximate: boo
     return stats.join(wide, keys, "left")
 
 
-def warm_up(profile: DataFrame, rsi_length: int) -> DataFrame:
-    n = F.col("n")
-    return _check(profile, "compatibility", "indicator_compatibility", _status(n < rsi_length, "FAIL"),
-                  F.when(n < rsi_length, F.format_string(
-                      f"Not enough data for RSI (length={rsi_length}). Need at least {rsi_length} bars, have %d", n))
-                  .otherwise(f"Sufficient data for RSI (length={rsi_length})"), {"bars": n})
-
-
-def range_coverage(profile: DataFrame, start: str, end: str) -> DataFrame:
-    a, b = (F.lit(x).cast("timestamp_ntz") for x in (start, end))
-    short = (F.col("first_ts") > a) | (F.col("last_ts") < b)
-    return _check(profile, "compatibility", "date_range", _status(short, "WARNING"),
-                  F.when(short, "Data does not fully cover the requested range")
-                  .otherwise("Data fully covers requested date range"), {})
-
-
 def overall_status(checks: DataFrame) -> DataFrame:
     """Worst status per symbol and whether the data may be used."""
     rank = F.create_map(*(x for k, v in SEVERITY.items() for x in (F.lit(k), F.lit(v))))

@@ -113,16 +113,13 @@ def indicator_report(bars: DataFrame, samples: int = 5) -> DataFrame:
     """One nested row per symbol on the trigger alone; ``bars`` carry the trigger columns."""
     bars = stage(bars, "trigger")
     parts = {
-        "execution": funnel.run_statistics(bars),
-        "signal_analysis": funnel.signal_analysis(bars),
-        "candle_distribution": funnel.candle_distribution(bars),
-        "htf_analysis": funnel.htf_distribution(bars),
-        "reversal_patterns": funnel.reversal_conversion(bars),
+        "execution": funnel.run_statistics_columns(),
+        "signal_analysis": funnel.signal_analysis_columns(),
+        "candle_distribution": funnel.candle_distribution_columns(),
+        "htf_analysis": funnel.htf_distribution_columns(),
+        "reversal_patterns": funnel.reversal_conversion_columns(),
     }
-    out = None
-    for name, df in parts.items():
-        nested = df.select("symbol", F.struct(*[c for c in df.columns if c != "symbol"]).alias(name))
-        out = nested if out is None else out.join(nested, "symbol")
+    out = bars.groupBy("symbol").agg(*(F.struct(*columns).alias(name) for name, columns in parts.items()))
     rows = funnel.sample_signals(bars.withColumn("signal", signal_label()), samples)
     row = F.struct("signal", "sample_no", "ts", "open", "high", "low", "close", "volume", "candle_type")
     picked = rows.groupBy("symbol").agg(F.sort_array(F.collect_list(row)).alias("sample_signals"))

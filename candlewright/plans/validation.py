@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from candlewright.operators import quality as q
 
@@ -11,16 +10,13 @@ from candlewright.operators import quality as q
 def validate_bars(indexed: DataFrame, bar_seconds: int, sequence: str = "bar_no", rsi_length: int = 14,
                   start: str | None = None, end: str | None = None) -> DataFrame:
     """Checks table of a stored, indexed bar table, with the schema checks for every symbol."""
-    profile = q.bar_profile(indexed)
+    profile = q.bar_profile(indexed, bar_seconds)
     checks = [
-        q.missing_values(profile), q.duplicate_timestamps(indexed), q.ohlc_consistency(profile),
-        q.nonpositive_prices(profile), q.time_order(indexed, sequence),
-        q.gaps(indexed, bar_seconds), q.large_moves(indexed), q.warm_up(profile, rsi_length),
+        q.missing_values(), q.ohlc_consistency(), q.nonpositive_prices(),
+        q.gaps(), q.large_moves(), q.warm_up(rsi_length),
+        *(q.fixed_check(row) for row in q.check_schema(indexed)),
     ]
     if start and end:
-        checks.append(q.range_coverage(profile, start, end))
-    table = q.union_checks(*checks)
-    fixed = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in row.items()),
-                               F.create_map().cast("map<string,double>").alias("metrics"))
-                      for row in q.check_schema(indexed)))
-    return table.unionByName(profile.select("symbol", F.inline(fixed)))
+        checks.append(q.range_coverage(start, end))
+    return q.union_checks(
+        q.run_checks(profile, *checks), q.duplicate_timestamps(indexed), q.time_order(indexed, sequence))

@@ -55,9 +55,9 @@ def test_one_fault_at_a_time(spark, name, status):
 
 def test_gaps_over_a_day_and_single_bar(spark):
     pdf = clean(30, 1440 * 3)
-    row = q.gaps(indexed(spark, pdf), 60).first()
+    row = q.run_checks(q.bar_profile(indexed(spark, pdf), 60), q.gaps()).first()
     assert row.status == "WARNING" and row.metrics["large_gaps"] == 29 and row.metrics["max_gap_seconds"] == 3 * 86400
-    assert q.gaps(indexed(spark, clean(1)), 60).first().status == "SKIP"
+    assert q.run_checks(q.bar_profile(indexed(spark, clean(1)), 60), q.gaps()).first().status == "SKIP"
 
 
 def test_arrival_order_is_checked_before_sorting(spark):
