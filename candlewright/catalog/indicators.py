@@ -9,6 +9,7 @@ from candlewright.operators import studies as st
 from candlewright.operators.htf import attach_completed, htf_bars
 from candlewright.operators.risk import add_annual_range, add_monthly_range
 from candlewright.operators.structure import add_supertrend, add_zigzag, pivot_gate
+from candlewright.session import stage
 
 I15 = bars_sql(M15)
 R1H = bars_sql(H1, recursive=True)
@@ -280,28 +281,44 @@ def gate_supertrend(spark, root):
                 F.col("supt_long").alias("long"), F.col("supt_short").alias("short"), supertrend="supertrend")
 
 
-_DN = "(r.t = 1 AND NOT s.high > r.h AND s.low < r.h - s.close * 0.3::DOUBLE)"
-_UPT = "(r.t = -1 AND NOT s.low < r.l AND s.high > r.l + s.close * 0.3::DOUBLE)"
-_ZIGZAG = f"""r AS (SELECT symbol, n, high AS h, CASE WHEN low < high - close * 0.3::DOUBLE THEN low ELSE low END AS l,
-    CASE WHEN low < high - close * 0.3::DOUBLE THEN -1 ELSE 1 END AS t,
-    CASE WHEN low < high - close * 0.3::DOUBLE THEN high ELSE 0 END AS lh, 0.0::DOUBLE AS ll, 0 AS bias FROM i WHERE n = 0
+def _zigzag_sql(source: str, p: str) -> str:
+    """One row per bar: trend ``t``, leg extremes, last extremes and ``bias``."""
+    down = f"(r.t = 1 AND NOT s.high > r.h AND s.low < r.h - s.close * {p})"
+    up = f"(r.t = -1 AND NOT s.low < r.l AND s.high > r.l + s.close * {p})"
+    at_once = f"low < high - close * {p}"
+    return f"""r AS (SELECT symbol, n, high AS h, low AS l, CASE WHEN {at_once} THEN -1 ELSE 1 END AS t,
+    CASE WHEN {at_once} THEN high ELSE 0 END AS lh, 0.0::DOUBLE AS ll, 0 AS bias FROM {source} WHERE n = 0
   UNION ALL SELECT s.symbol, s.n,
-    CASE WHEN r.t = 1 AND s.high > r.h THEN s.high WHEN {_UPT} THEN s.high ELSE r.h END,
-    CASE WHEN r.t = -1 AND s.low < r.l THEN s.low WHEN {_DN} THEN s.low ELSE r.l END,
-    CASE WHEN {_DN} THEN -1 WHEN {_UPT} THEN 1 ELSE r.t END,
-    CASE WHEN {_DN} THEN r.h ELSE r.lh END, CASE WHEN {_UPT} THEN r.l ELSE r.ll END,
-    CASE WHEN {_DN} THEN CASE WHEN r.ll > 0 THEN sign(s.low - r.ll) ELSE 0 END
-         WHEN {_UPT} THEN CASE WHEN r.lh > 0 THEN sign(s.high - r.lh) ELSE 0 END ELSE r.bias END
-  FROM r JOIN i s ON s.symbol = r.symbol AND s.n = r.n + 1)"""
+    CASE WHEN r.t = 1 AND s.high > r.h THEN s.high WHEN {up} THEN s.high ELSE r.h END,
+    CASE WHEN r.t = -1 AND s.low < r.l THEN s.low WHEN {down} THEN s.low ELSE r.l END,
+    CASE WHEN {down} THEN -1 WHEN {up} THEN 1 ELSE r.t END,
+    CASE WHEN {down} THEN r.h ELSE r.lh END, CASE WHEN {up} THEN r.l ELSE r.ll END,
+    CASE WHEN {down} THEN CASE WHEN r.ll > 0 THEN sign(s.low - r.ll) ELSE 0 END
+         WHEN {up} THEN CASE WHEN r.lh > 0 THEN sign(s.high - r.lh) ELSE 0 END ELSE r.bias END
+  FROM r JOIN {source} s ON s.symbol = r.symbol AND s.n = r.n + 1)"""
 
 
-@query("gate_pivot", f"""{R1H}, {_ZIGZAG} SELECT {KEY} t::BIGINT AS zz_trend, bias::BIGINT AS zz_bias, {gate_sql('bias = 1', 'bias = -1')}{JOIN}""")
-def gate_pivot(spark, root):
-    df = st.run_studies(add_zigzag(event_bars(spark, root, H1), 30.0), pivot_gate())
+def _pivot(df):
     return df.select("symbol", "ts_utc", *(F.col(c).cast("long").alias(c) for c in ("zz_trend", "zz_bias")),
                      F.col("pivot_long").alias("long"), F.col("pivot_short").alias("short"))
 
 
+@query("gate_pivot", f"{R1H}, {_zigzag_sql('i', '0.3::DOUBLE')} SELECT {KEY} t::BIGINT AS zz_trend, bias::BIGINT AS zz_bias, {gate_sql('bias = 1', 'bias = -1')}{JOIN}")
+def gate_pivot(spark, root):
+    return _pivot(st.run_studies(add_zigzag(event_bars(spark, root, H1), 30.0), pivot_gate()))
+
+
+@query("gate_pivot_htf", f"""{R1H}, hb AS (SELECT symbol, time_bucket(INTERVAL '14400 seconds', ts) AS hts, max(high) AS high, min(low) AS low, last(close ORDER BY ts) AS close FROM b GROUP BY 1, 2),
+  hn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY hts) - 1 AS n FROM hb), {_zigzag_sql('hn', '0.1::DOUBLE')},
+  hp AS (SELECT symbol, hts, lag(t) OVER w AS t, lag(bias) OVER w AS bias FROM hn JOIN r USING (symbol, n) WINDOW w AS (PARTITION BY symbol ORDER BY hts))
+  SELECT i.symbol, i.ts AS ts_utc, t::BIGINT AS zz_trend, bias::BIGINT AS zz_bias, {gate_sql('bias = 1', 'bias = -1')}
+  FROM i JOIN hp ON hp.symbol = i.symbol AND hp.hts = time_bucket(INTERVAL '14400 seconds', i.ts)""")
+def gate_pivot_htf(spark, root):
+    bars = event_bars(spark, root, H1)
+    htf = add_zigzag(stage(htf_bars(bars, H4), "htf"), 10.0)
+    return _pivot(st.run_studies(attach_completed(bars, htf, H4, ["zz_trend", "zz_bias"]), pivot_gate()))
+
+
 # --- triggers and conjunction ---------------------------------------------------------------
 
 @query("edge_trigger", I15 + f""", m AS (SELECT *, greatest(close - 20, 0) AS a, CASE WHEN volume > 90 THEN volume ELSE 0 END AS z FROM i),

@@ -161,7 +161,18 @@ def alerts(spark, root):
     return df.select("symbol", "ts_utc", alert_text().alias("alert"))
 
 
-@query("strategy_slice", None)
+_GL = {k: SMOOTHED[k] for k in ("g", "l")}
+_RSI = "CASE WHEN g.n < 13 OR rs.l = 0 THEN 100.0::DOUBLE ELSE 100.0::DOUBLE - 100.0::DOUBLE / (1 + rs.g / rs.l) END"
+
+
+@query("strategy_slice", f"""{bars_sql(H1, recursive=True)}, si AS MATERIALIZED (SELECT symbol, ts, open, high, low, close, volume,
+  row_number() OVER w - 1 AS n, lag(high) OVER w AS ph, lag(low) OVER w AS pl, lag(close) OVER w AS pc FROM b
+  WHERE ts BETWEEN TIMESTAMP '2024-01-08 01:00:00' AND TIMESTAMP '2024-01-22 16:00:00' WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+  {smooth_sql('r', 'i', {'atr': SMOOTHED['atr']})}, {smooth_sql('rs', 'si', _GL)}, {trigger_sql(H4, 'si')},
+  z AS (SELECT g.*, {_RSI} AS rsi, r.atr FROM g JOIN rs USING (symbol, n) JOIN i ON i.symbol = g.symbol AND i.ts = g.ts
+    JOIN r ON r.symbol = i.symbol AND r.n = i.n)
+  SELECT symbol, ts AS ts_utc, sig AS sig_raw, CASE WHEN atr > 0 AND hour(ts) * 60 + minute(ts) BETWEEN 510 AND 1229
+    AND ((sig = 'BUY' AND rsi < 70) OR (sig = 'SELL' AND rsi > 30)) THEN sig END AS sig_risk, {r6('rsi', 'rsi')}, {r6('atr', 'atr')} FROM z""")
 def strategy_slice(spark, root):
     df = run_strategy(bars(spark, root), SLICED)
     return show(df, "symbol", "ts_utc", "sig_raw", "sig_risk", rsi="rsi", atr="atr")

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from candlewright.functions.columns import ratio
 from candlewright.operators.chained import CHAIN_ROWS, run_chained
 
-FANOUT = 512
-LEVELS = 3
+FANOUT = 128
 RUIN = -1e6          # log growth that no later gain brings back: exp() of it is 0.0
 
 
@@ -26,8 +25,17 @@ def _level_up(below: DataFrame, fanout: int) -> DataFrame:
         F.min("low").alias("low"), F.max("high").alias("high"))
 
 
+def _levels_for(bars: DataFrame, fanout: int) -> int:
+    """Levels that cover the longest series, from one number."""
+    last = bars.agg(F.max("bar_no")).first()[0] or 0
+    levels = 1
+    while fanout ** levels <= last:
+        levels += 1
+    return levels
+
+
 def first_touch(signals: DataFrame, bars: DataFrame, fanout: int = FANOUT,
-                levels: int = LEVELS) -> DataFrame:
+                levels: int | None = None) -> DataFrame:
     """First later bar that reaches the stop or the target, at any distance.
 
     Bars are grouped into blocks of ``fanout``, those into larger ones and so on,
@@ -35,8 +43,10 @@ def first_touch(signals: DataFrame, bars: DataFrame, fanout: int = FANOUT,
     block on every level until something hits, then walks down to the bar: one
     matching row per join, whatever the horizon. ``signals`` need ``symbol,
     bar_no, sl, tp``; adds ``exit_no, exit_ts, exit_reason, exit_price``. A bar
-    reaching both counts as stopped.
+    reaching both counts as stopped. ``bars`` should be stored; its longest series
+    sets the number of levels unless given.
     """
+    levels = levels or _levels_for(bars, fanout)
     tables = [_level_one(bars, fanout)]
     for _ in range(levels - 1):
         tables.append(_level_up(tables[-1], fanout))

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from candlewright.functions.columns import as_col, ratio
 from candlewright.operators.blocks import BLOCK_ROWS, frame, full, lag, over_blocks
 from candlewright.operators.smoothing import Smooth, smooth
-from candlewright.session import stage
 
 C = F.col
 
@@ -46,7 +45,7 @@ def run_studies(bars: DataFrame, *studies: Study, gates: bool = True,
     ]
     out = smooth(bars, first, smooth_rows) if first else bars
     if second:
-        out = smooth(stage(out, "smoothed"), second, smooth_rows)
+        out = smooth(out, second, smooth_rows)     # its totals need few columns, so no staging
     if daily:
         out = out.withColumn("trade_date", F.to_date("ts")).withColumns(daily)
     if steps:

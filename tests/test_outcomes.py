@@ -32,13 +32,12 @@ def brute_exit(pdf, s):
     return None, "open"
 
 
-@pytest.mark.parametrize("width", [0.5, 3.0, 12.0])
-@pytest.mark.parametrize("fanout, levels", [(4, 5), (8, 3), (512, 3)])
-def test_first_touch_equals_brute_force(spark, width, fanout, levels):
-    pdf = walk("A", 400, seed=11)
-    sig = signals_for(pdf, width)
-    got = rows(oc.first_touch(spark.createDataFrame(sig, SCHEMA), indexed(spark, pdf), fanout, levels))
-    want = [brute_exit(pdf, s) for s in sig.itertuples()]
+@pytest.mark.parametrize("fanout, levels", [(4, 5), (6, None), (128, None), (512, None)])
+def test_first_touch_equals_brute_force(spark, fanout, levels):
+    parts = [walk(name, 400, seed=11) for name in "ABC"]
+    sigs = [signals_for(pdf, width) for pdf, width in zip(parts, (0.5, 3.0, 12.0))]
+    got = rows(oc.first_touch(spark.createDataFrame(pd.concat(sigs), SCHEMA), indexed(spark, *parts), fanout, levels))
+    want = [brute_exit(pdf, s) for pdf, sig in zip(parts, sigs) for s in sig.itertuples()]
     assert [None if pd.isna(x) else int(x) for x in got["exit_no"]] == [w[0] for w in want]
     assert got["exit_reason"].tolist() == [w[1] for w in want]
 
