@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,9 @@ CHAIN_ROWS = 65_536
 #: (rows in order, state) -> (columns to add, state after the last row)
 Kernel = Callable[[pd.DataFrame, list[float]], tuple[dict[str, list], list[float]]]
 
+#: (state, number of the block's last row) -> whether the block only hands the state on
+HandsOn = Callable[[list[float], int], bool]
+
 
 def run_chained(
     df: DataFrame,
@@ -33,21 +36,23 @@ def run_chained(
     order: str = "bar_no",
     inputs: tuple[str, ...] = (),
     block_rows: int = CHAIN_ROWS,
+    hands_on: HandsOn | None = None,
 ) -> DataFrame:
     """Add the kernel's columns (DDL ``added``) to ``df``, which should be a stored table.
 
     ``order`` must be a unique non-negative number per key group, so a block
     holds ``block_rows`` rows at most. Only ``inputs`` travel to the states pass.
+    ``hands_on`` spares runs of blocks a long-lived state passes through unchanged.
     """
     keys = tuple(keys)
     group = [*keys, "_chunk"]
     rows = df.withColumn("_chunk", F.floor(F.col(order) / block_rows))
     starts = (
-        rows.select(*group).distinct()
+        rows.groupBy(*group).agg(F.max(order).cast("long").alias("_last"))
         .withColumn("_state", F.array(*(F.lit(float(x)) for x in initial)))
     )
     if rows.agg(F.max("_chunk")).first()[0]:
-        starts = _settle(rows.select(*group, order, *inputs), starts, kernel, group, keys, order)
+        starts = _settle(rows.select(*group, order, *inputs), starts, kernel, group, keys, order, hands_on)
 
     fields = T.StructType.fromDDL(added)
     out_schema = T.StructType([*df.schema.fields, *fields.fields])
@@ -65,31 +70,42 @@ def _per_chunk(rows: DataFrame, starts: DataFrame, group: list[str], fn, schema)
     return rows.groupBy(*group).cogroup(starts.groupBy(*group)).applyInPandas(fn, schema)
 
 
-def _settle(rows, starts, kernel, group, keys, order) -> DataFrame:
+def _settle(rows, starts, kernel, group, keys, order, hands_on) -> DataFrame:
     """Starting state of every block, repeated until each equals its predecessor's end."""
     key_fields = [f for f in rows.schema.fields if f.name in group]
-    end_schema = T.StructType([*key_fields, T.StructField("_end", T.ArrayType(T.DoubleType()))])
+    doubles = T.ArrayType(T.DoubleType())
+    end_schema = T.StructType([*key_fields, T.StructField("_end", doubles)])
+    walk_schema = T.StructType([
+        *key_fields, T.StructField("_last", T.LongType()), T.StructField("_state", doubles),
+        T.StructField("_end", doubles), T.StructField("_rerun", T.BooleanType())])
 
     def finish(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty or state.empty:
-            return pd.DataFrame({f.name: [] for f in end_schema.fields})
         _, end = kernel(pdf.sort_values(order, ignore_index=True), list(state["_state"].iloc[0]))
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in group}, "_end": [[float(x) for x in end]]})
 
-    chain = Window.partitionBy(*keys).orderBy("_chunk")
-    ends = stage(_per_chunk(rows, starts, group, finish, end_schema), "ends")
+    def walk(blocks: pd.DataFrame) -> pd.DataFrame:
+        """Along one series' block summaries: which start differs from the one assumed."""
+        blocks = blocks.sort_values("_chunk", ignore_index=True)
+        states, ends, rerun, before = [], [], [], None
+        for assumed, end, last in zip(blocks["_state"], blocks["_end"], blocks["_last"]):
+            assumed, end = list(assumed), list(end)
+            start = assumed if before is None else before
+            differs = start != assumed
+            if differs and hands_on is not None and hands_on(start, last):
+                end, differs = start, False
+            states.append(start)
+            ends.append(end)
+            rerun.append(differs)
+            before = end
+        return blocks.assign(_state=states, _end=ends, _rerun=rerun)[walk_schema.fieldNames()]
+
+    ends = _per_chunk(rows, starts, group, finish, end_schema)
+    known = stage(starts.join(ends, group), "blocks")
     while True:
-        following = (
-            starts.join(ends, group)
-            .withColumn("_next", F.coalesce(F.lag("_end").over(chain), F.col("_state")))
-        )
-        following = stage(following, "states")
-        changed = following.where(~F.col("_next").eqNullSafe(F.col("_state")))
-        starts = following.select(*group, F.col("_next").alias("_state"))
-        if changed.isEmpty():
-            return starts
-        again = changed.select(*group, F.col("_next").alias("_state"))
-        redone = _per_chunk(rows.join(again.select(*group), group, "left_semi"),
-                            again, group, finish, end_schema)
-        kept = following.join(again.select(*group), group, "left_anti").select(*group, "_end")
-        ends = stage(kept.unionByName(redone), "ends")
+        walked = stage(known.groupBy(*keys).applyInPandas(walk, walk_schema), "walked")
+        again = walked.where("_rerun").select(*group, "_last", "_state")
+        if again.isEmpty():
+            return walked.select(*group, "_state")
+        redone = _per_chunk(rows.join(again.select(*group), group, "left_semi"), again, group, finish, end_schema)
+        known = stage(
+            walked.where("NOT _rerun").drop("_rerun").unionByName(again.join(redone, group)), "blocks")

@@ -169,7 +169,8 @@ def one_position(trades: DataFrame, keys: tuple[str, ...] = ("symbol",),
     never = F.lit(float("inf"))
     leave = F.coalesce(F.col("exit_no").cast("double"), never)
     out = run_chained(trades.withColumn("_leave", leave), _flat_kernel, [0.0], "kept boolean",
-                      keys=keys, inputs=("_leave",), block_rows=block_rows)
+                      keys=keys, inputs=("_leave",), block_rows=block_rows,
+                      hands_on=lambda state, last: state[0] > last)
     return out.drop("_leave")
 
 

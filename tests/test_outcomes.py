@@ -88,6 +88,20 @@ def test_one_position_equals_a_walk(spark, block):
     assert got["kept"].tolist() == want and 1 < sum(want) < len(want)
 
 
+def test_an_open_trade_blocks_the_rest_in_one_round(spark, monkeypatch):
+    """A state that many blocks only hand on does not cost a round per block."""
+    from candlewright.operators import chained
+    pdf = walk("A", 400, seed=5)
+    sig = signals_for(pdf, 3.0, every=2, seed=1)
+    sig.loc[0, ["signal", "sl", "tp"]] = ["BUY", -1e9, 1e9]
+    trades = stage(oc.first_touch(spark.createDataFrame(sig, SCHEMA), indexed(spark, pdf)), "trades")
+    stages = []
+    monkeypatch.setattr(chained, "stage", lambda df, name: (stages.append(name), stage(df, name))[1])
+    got = rows(oc.one_position(trades, block_rows=16))
+    assert got["kept"].tolist() == [True] + [False] * (len(got) - 1)
+    assert stages.count("walked") == 1
+
+
 def supertrend_twin(pdf, n, factor):
     pc = pdf["close"].shift()
     tr = pd.concat([pdf["high"] - pdf["low"], (pdf["high"] - pc).abs(), (pdf["low"] - pc).abs()], axis=1).max(axis=1)
