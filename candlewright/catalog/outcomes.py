@@ -129,7 +129,23 @@ def equity(spark, root):
 PARAMS = [{"sl_mult": s, "reward": r} for s in (1.0, 1.4, 2.0) for r in (1.5, 2.0, 3.0)]
 
 
-@query("sweep", None)
+_SETS = ", ".join(f"({i}, {p['sl_mult']}::DOUBLE, {p['reward']}::DOUBLE)" for i, p in enumerate(PARAMS))
+
+
+@query("sweep", BASE + f""", p AS (SELECT * FROM (VALUES {_SETS}) v(param_id, sm, rw)),
+  s AS MATERIALIZED (SELECT symbol, param_id, n, close, sgn, close - sgn * (atr * sm) AS sl, close + sgn * (atr * sm * rw) AS tp FROM f, p WHERE sig_rsi IS NOT NULL AND atr > 0),
+  hit AS (SELECT s.symbol, s.param_id, s.n, min(b.n) AS exit_no FROM s JOIN i b ON b.symbol = s.symbol AND b.n > s.n
+    AND (b.low <= least(sl, tp) OR b.high >= greatest(sl, tp)) GROUP BY 1, 2, 3),
+  kn AS MATERIALIZED (SELECT s.*, h.exit_no, CASE WHEN (sgn > 0 AND e.low <= sl) OR (sgn < 0 AND e.high >= sl) THEN sl WHEN h.exit_no IS NOT NULL THEN tp END AS exit_price,
+    row_number() OVER (PARTITION BY s.symbol, s.param_id ORDER BY s.n) AS k
+    FROM s LEFT JOIN hit h USING (symbol, param_id, n) LEFT JOIN i e ON e.symbol = s.symbol AND e.n = h.exit_no),
+  kr AS (SELECT symbol, param_id, k, true AS kept, coalesce(exit_no, 999999999) AS busy FROM kn WHERE k = 1 UNION ALL
+    SELECT s.symbol, s.param_id, s.k, s.n >= r.busy, CASE WHEN s.n >= r.busy THEN coalesce(s.exit_no, 999999999) ELSE r.busy END
+    FROM kr r JOIN kn s ON s.symbol = r.symbol AND s.param_id = r.param_id AND s.k = r.k + 1),
+  a AS (SELECT symbol, param_id, count(*) AS trades, count(*) FILTER (sgn * (exit_price - close) > 0) AS wins, sum(sgn * (exit_price - close)) AS net
+    FROM kn JOIN kr USING (symbol, param_id, k) WHERE kept AND exit_price IS NOT NULL GROUP BY 1, 2)
+  SELECT symbol, param_id, row_number() OVER (PARTITION BY symbol ORDER BY net DESC, param_id) AS rank, trades, wins, round(net, 4) + 0.0 AS net_profit
+  FROM a QUALIFY rank <= 3""")
 def sweep(spark, root):
     trades = sweep_trades(event_bars(spark, root, H1), PARAMS, CFG)
     return best_params(sweep_metrics(trades)).select(

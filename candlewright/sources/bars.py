@@ -29,7 +29,7 @@ def read_bars_csv(spark: SparkSession, path: str, symbol: str, **columns: str) -
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    """The Parquet bar table; filters on ``symbol`` and ``trade_date`` prune partitions."""
+    """The Parquet bar table; filters on its folder columns prune, others reach the scan."""
     schema = T.StructType([*BARS.fields[1:], BARS.fields[0], T.StructField("trade_date", T.DateType())])
     return spark.read.schema(schema).parquet(path)
 
@@ -38,16 +38,20 @@ def bar_file_name(symbol: str, timeframe: str, start: str, end: str) -> str:
     return f"{symbol}_{timeframe}_{start.replace('-', '')}_{end.replace('-', '')}"
 
 
-def write_bars(bars: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """Parquet by symbol and day, or CSV with six decimals by symbol.
+def write_bars(bars: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
+               partition_by: tuple[str, ...] = ("trade_date",)) -> None:
+    """Parquet by day with symbols in order, or CSV with six decimals by symbol.
 
-    Rows are spread by (symbol, day) first, so a day becomes one file and a busy
-    symbol is written by many tasks.
+    A symbol's day is only some hundred kilobytes, so folders are per day and a
+    symbol filter skips row groups; few symbols may ask for ``("symbol",
+    "trade_date")``. Rebalancing lets AQE cut files to an even size, also of a day
+    or symbol that holds far more than the others.
     """
     if fmt == "parquet":
         out = bars.withColumn("trade_date", F.to_date("ts_utc"))
-        (out.repartition("symbol", "trade_date").sortWithinPartitions("symbol", "trade_date", "ts_utc")
-         .write.mode(mode).partitionBy("symbol", "trade_date").parquet(path))
+        (out.hint("rebalance", *(F.col(c) for c in partition_by))
+         .sortWithinPartitions(*dict.fromkeys((*partition_by, "symbol", "ts_utc")))
+         .write.mode(mode).partitionBy(*partition_by).parquet(path))
     elif fmt == "csv":
         fixed = [F.col(c).cast("decimal(20,6)").alias(c) for c in OHLCV]
         (bars.select("symbol", F.col("ts").alias("timestamp"), *fixed)

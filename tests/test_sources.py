@@ -76,12 +76,15 @@ def test_coverage(spark, tree):
 def test_bar_files(spark, tmp_path):
     pdf = walk("A", 50)
     bars = frame(spark, pd.concat([pdf, walk("B", 50, seed=2)]))
-    sinks.write_bars(bars, str(tmp_path / "p"))
-    back = sinks.read_bars(spark, str(tmp_path / "p"))
-    pd.testing.assert_frame_equal(rows(back.drop("trade_date").select(bars.columns), "symbol", "ts_utc"), rows(bars, "symbol", "ts_utc"))
-    pruned = back.where((F.col("symbol") == "A") & (F.col("trade_date") == F.lit("2024-01-02").cast("date")) & (F.col("close") > 0))
-    plan = pruned._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(symbol" in plan and "PushedFilters: [IsNotNull(close), GreaterThan(close,0.0)]" in plan
+    for name, folders, in_folders, in_scan in (
+            ("d", ("trade_date",), "PartitionFilters: [isnotnull(trade_date", "EqualTo(symbol,A)"),
+            ("s", ("symbol", "trade_date"), "PartitionFilters: [isnotnull(symbol", "GreaterThan(close,0.0)")):
+        sinks.write_bars(bars, str(tmp_path / name), partition_by=folders)
+        back = sinks.read_bars(spark, str(tmp_path / name))
+        pd.testing.assert_frame_equal(rows(back.select(bars.columns), "symbol", "ts_utc"), rows(bars, "symbol", "ts_utc"))
+        pruned = back.where((F.col("symbol") == "A") & (F.col("trade_date") == F.lit("2024-01-02").cast("date")) & (F.col("close") > 0))
+        plan = pruned._jdf.queryExecution().executedPlan().toString()
+        assert in_folders in plan and in_scan in plan.split("PushedFilters")[1]
     sinks.write_bars(bars, str(tmp_path / "c"), "csv")
     text = next((tmp_path / "c" / "symbol=A").glob("*.csv")).read_text().splitlines()
     assert text[0] == "timestamp,open,high,low,close,volume" and len(text[1].split(",")[1].split(".")[1]) == 6
