@@ -139,7 +139,32 @@ def dq_overall(spark, root):
         q.duplicate_timestamps(bars)))
 
 
-@query("dq_validate", None)
+def _row(category: str, check: str, status: str) -> str:
+    return f"{{'category': '{category}', 'check': '{check}', 'status': {status}}}"
+
+
+def _when(bad: str, level: str) -> str:
+    return f"CASE WHEN {bad} THEN '{level}' ELSE 'PASS' END"
+
+
+_ROWS = ", ".join([
+    _row("schema", "schema", "'PASS'"), _row("schema", "index", "'PASS'"),
+    _row("quality", "missing_values", _when("nulls > 0", "WARNING")),
+    _row("quality", "duplicates", _when("dups > 0", "WARNING")),
+    _row("quality", "ohlc_consistency", _when("bad > 0", "FAIL")),
+    _row("quality", "price_validation", _when("nonpos > 0", "FAIL")),
+    _row("quality", "timestamp_order", "'PASS'"),
+    _row("continuity", "gaps", "CASE WHEN steps = 0 THEN 'SKIP' WHEN large > 10 THEN 'WARNING' WHEN large + regular > 0 THEN 'INFO' ELSE 'PASS' END"),
+    _row("statistics", "price_changes", "CASE WHEN moves > 10 THEN 'WARNING' WHEN moves > 0 THEN 'INFO' ELSE 'PASS' END"),
+    _row("compatibility", "indicator_compatibility", _when("bars < 14", "FAIL")),
+])
+
+
+@query("dq_validate", _MOVE.replace("z AS (SELECT symbol, ", "z AS (SELECT *, epoch(ts) - epoch(pts) AS diff, ") + f""", v AS (SELECT symbol, count(*) AS bars,
+  count(*) FILTER (open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR volume IS NULL) AS nulls, count(*) - count(DISTINCT ts) AS dups, count(*) FILTER ({_BAD}) AS bad,
+  count(*) FILTER (least(open, high, low, close) <= 0) AS nonpos, count(diff) AS steps, count(*) FILTER (diff > 86400) AS large,
+  count(*) FILTER (diff > 900 AND diff <= 86400) AS regular, count(*) FILTER (move > 0.05) AS moves FROM z GROUP BY 1)
+  SELECT symbol, unnest([{_ROWS}], recursive := true) FROM v""")
 def dq_validate(spark, root):
     checks = stage(validate_bars(event_bars(spark, root), M15), "checks")
-    return checks.select("symbol", "category", "check", "status", "message")
+    return checks.select("symbol", "category", "check", "status")
