@@ -24,7 +24,7 @@ def touched(spark, root):
 
 
 def opposed(spark, root):
-    trades = oc.first_touch(oc.next_opposite(_signals(spark, root)), bars(spark, root))
+    trades = oc.first_touch(oc.next_opposite(stage(_signals(spark, root), "signals")), bars(spark, root))
     return oc.close_on_opposite(trades)
 
 

@@ -109,7 +109,8 @@ def first_touch(signals: DataFrame, bars: DataFrame, fanout: int = FANOUT,
 def next_opposite(signals: DataFrame) -> DataFrame:
     """Earliest later signal of the other side: ``opp_no, opp_ts, opp_close``.
 
-    Ordered inside (symbol, day); later days come from one row per day.
+    Ordered inside (symbol, day); later days come from one row per day. ``signals``
+    are read twice and should be stored.
     """
     columns = {"no": "bar_no", "ts": "ts_utc", "close": "close"}
     value = F.struct(*(F.col(c).alias(k) for k, c in columns.items()))
