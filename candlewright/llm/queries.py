@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.llm import bpe, simhash
+from candlewright.llm import bpe, grammar, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_ids": grammar.op4_token_ids,
     "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
 }
