@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.llm import bpe, grammar, simhash
+from candlewright.llm import bpe, grammar, simhash, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_ids": grammar.op4_token_ids,
     "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op6_warc": warc.op6_warc,
+    "op10_exact_top_k": topk.op10_exact_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": warc.OP6_SQL,
+    "op10_exact_top_k": topk.OP10_SQL,
+}
