@@ -25,12 +25,10 @@ from collections.abc import Callable, Iterable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.llm.tables import id_and_text, map_batches
+from candlewright.llm.tables import id_and_text, map_batches, spans
 
 #: Words an encoder keeps; all are forgotten when there are more.
 KEPT_WORDS = 1_000_000
-#: Bytes of text encoded at once.
-SPAN = 4_000_000
 _NONE = np.int64(1 << 62)
 
 
@@ -269,18 +267,6 @@ class Decoder:
         return text
 
 
-def spans(texts: list[bytes | None], span: int = SPAN) -> Iterable[slice]:
-    """Runs of texts of about ``span`` bytes."""
-    start = held_bytes = 0
-    for i, text in enumerate(texts):
-        held_bytes += len(text or b"")
-        if held_bytes >= span:
-            yield slice(start, i + 1)
-            start, held_bytes = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, n_tokens, decoded) of every row of ``docs``.
 

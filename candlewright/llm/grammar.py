@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from candlewright.llm.bpe import Encoder, Vocabulary, held, spans
-from candlewright.llm.tables import Scratch, id_and_text, map_batches
+from candlewright.llm.bpe import Encoder, Vocabulary, held
+from candlewright.llm.tables import Scratch, id_and_text, map_batches, spans
 
 #: Ids of a block, about; one document may be longer.
 BLOCK_IDS = 1 << 20

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.llm import bpe, grammar, simhash, topk, warc
+from candlewright.llm import bpe, grammar, simhash, substrings, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": substrings.op1_substring_dedup,
     "op4_token_ids": grammar.op4_token_ids,
     "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": substrings.OP1_SQL,
     "op6_warc": warc.OP6_SQL,
     "op10_exact_top_k": topk.OP10_SQL,
 }

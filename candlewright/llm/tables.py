@@ -50,17 +50,33 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[..., dict[str, object]], schema: str, *columns: str) -> DataFrame:
-    """``fn(*lists)`` for every Arrow batch, the lists being those of ``columns``; it returns columns or nothing."""
+    """``fn(*lists)`` for every Arrow batch, the lists being those of ``columns``.
+
+    It returns columns, nothing, or an iterator of columns.
+    """
     kinds = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = fn(*(batch.column(c).to_pylist() for c in columns))
-            if got:
-                yield pa.RecordBatch.from_pydict(got, schema=kinds)
+            for part in [got] if isinstance(got, dict) else got or ():
+                if part:
+                    yield pa.RecordBatch.from_pydict(part, schema=kinds)
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def spans(texts: list[bytes | None], span: int = 4_000_000) -> Iterator[slice]:
+    """Runs of texts of about ``span`` bytes."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text or b"")
+        if size >= span:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """``name``, with underscores behind it while a column of that name (in any case) is there."""
     low = {c.lower() for c in taken}
