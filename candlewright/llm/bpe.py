@@ -30,6 +30,12 @@ from candlewright.llm.tables import id_and_text, map_batches, spans
 #: Words an encoder keeps; all are forgotten when there are more.
 KEPT_WORDS = 1_000_000
 _NONE = np.int64(1 << 62)
+#: The split pattern of the file as JSON text, and the same for two sets of characters.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^a-z0-9{_LETTERS}]+")
+_LATIN_WORD = re.compile(f"[!-~{_LETTERS}]+")
 
 
 def held(key: object, build: Callable[[], object]) -> object:
@@ -127,12 +133,9 @@ class Vocabulary:
         self.widths = np.array([width.get(i, 0) for i in range(len(self.tokens))], np.int64)
         self.byte_level = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.joined_by_space = not spec.get("decoder")
-        # the pattern of the file for words of ASCII bytes; others go through the library
-        split = json.dumps(spec.get("pre_tokenizer") or {})
-        self.ascii_pattern = re.compile(
-            rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
-        ) if r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in split and '"Lowercase"' in json.dumps(
-            spec.get("normalizer") or {}) else None
+        # the file's rules for words of ASCII and Latin letters, which are in NFC; others go through the library
+        known = json.dumps([spec.get("normalizer"), spec.get("pre_tokenizer")])
+        self.plain = '"NFC"' in known and '"Lowercase"' in known and PATTERN in known
 
     @staticmethod
     def at(path: str) -> Vocabulary:
@@ -140,9 +143,11 @@ class Vocabulary:
 
     def pieces(self, word: bytes) -> list[bytes]:
         """The bytes of each piece of a word without white space."""
-        if self.ascii_pattern and word.isascii():
-            return self.ascii_pattern.findall(word.lower())
+        if self.plain and word.isascii():
+            return _ASCII.findall(word.lower())
         text = word.decode("utf-8", "replace")
+        if self.plain and _LATIN_WORD.fullmatch(text):
+            return [p.encode() for p in _LATIN.findall(text.lower())]
         if self.library.normalizer:
             text = self.library.normalizer.normalize_str(text)
         found = self.library.pre_tokenizer.pre_tokenize_str(text)
@@ -220,14 +225,20 @@ class Encoder:
 
     def learn(self, words: Iterable[bytes]) -> None:
         """Encode distinct words and keep their ids as little-endian unsigned 32-bit integers."""
-        words = list(words)
-        split = [self.vocabulary.pieces(w) for w in words]
-        flat = [p for ps in split for p in ps]
-        coded = [x.astype("<u4").tobytes() for x in self.pieces(flat)]
+        words, flat, upto = list(words), [], []
+        for word in words:
+            flat += self.vocabulary.pieces(word)
+            upto.append(len(flat))
+        if max(map(len, flat), default=0) <= self.window:
+            ids, counts = self._merge(flat, np.ones(len(flat), bool))
+        else:
+            parts = self.pieces(flat)
+            ids, counts = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        blob, ends = ids.astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(counts) * 4))
         at = 0
-        for word, ps in zip(words, split):
-            self.words[word] = b"".join(coded[at:at + len(ps)])
-            at += len(ps)
+        for word, end in zip(words, ends[upto].tolist()):
+            self.words[word] = blob[at:end]
+            at = end
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text as bytes; a null text has none."""
@@ -240,7 +251,8 @@ class Encoder:
         new = {w for p in parts for x in p if isinstance(x, list) for w in x}
         if len(self.words) + len(new) > self.kept_words:
             self.words = {}
-        self.learn(new.difference(self.words))
+        if new := new.difference(self.words):
+            self.learn(new)
         get = self.words.__getitem__
         return [b"".join(b"".join(map(get, x)) if isinstance(x, list)
                          else self.vocabulary.special[x].to_bytes(4, "little") for x in p) for p in parts]
