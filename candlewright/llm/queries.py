@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.llm import bpe, grammar, simhash, substrings, topk, warc
+from candlewright.llm import bpe, contamination, grammar, simhash, substrings, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -14,11 +14,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_warc": warc.op6_warc,
+    "op9_benchmark_decontamination": contamination.op9_benchmark_decontamination,
     "op10_exact_top_k": topk.op10_exact_top_k,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": substrings.OP1_SQL,
     "op6_warc": warc.OP6_SQL,
+    "op9_benchmark_decontamination": contamination.op9_benchmark_decontamination,
     "op10_exact_top_k": topk.OP10_SQL,
 }
