@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.llm import bpe, contamination, grammar, simhash, substrings, topk, warc
+from candlewright.llm import bpe, contamination, grammar, lines, simhash, substrings, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
+    "op2_line_dedup": lines.op2_line_dedup,
     "op4_token_ids": grammar.op4_token_ids,
     "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
