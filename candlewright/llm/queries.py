@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.llm import bpe, contamination, grammar, lines, simhash, substrings, topk, warc
+from candlewright.llm import bpe, contamination, grammar, labelling, licenses, lines, simhash, substrings, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_line_dedup": lines.op2_line_dedup,
+    "op3_quality_classifier": labelling.op3_quality_classifier,
     "op4_token_ids": grammar.op4_token_ids,
     "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_warc": warc.op6_warc,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_benchmark_decontamination": contamination.op9_benchmark_decontamination,
     "op10_exact_top_k": topk.op10_exact_top_k,
 }
@@ -23,5 +25,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": substrings.OP1_SQL,
     "op6_warc": warc.OP6_SQL,
     "op9_benchmark_decontamination": contamination.op9_benchmark_decontamination,
+    "op8_license_scan": licenses.OP8_SQL,
     "op10_exact_top_k": topk.OP10_SQL,
 }
