@@ -56,8 +56,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, fp long", "doc_id", "text")
 
 
-def linked(prints: DataFrame, radius: int = 2, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between distinct values of ``fp``, a forest of all pairs within ``radius`` per batch."""
+def _tile_pairs(prints: DataFrame, radius: int, block: int) -> DataFrame:
+    """(a, b): arrays of fingerprints of two blocks whose population counts allow a pair within ``radius``."""
     parts = 4 if radius <= 2 else 2 if radius <= 4 else 1
     width = 64 // parts
     ones = [F.bit_count(F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1 if parts > 1 else -1)))
@@ -73,25 +73,44 @@ def linked(prints: DataFrame, radius: int = 2, block: int = BLOCK) -> DataFrame:
     near = F.explode(F.array(*(F.array(*map(F.lit, s)) for s in steps)))
     left = (tiles.select(F.col("cell").alias("home"), F.col("blk").alias("blk_a"), F.col("fps").alias("a"), near.alias("step"))
             .select("home", "blk_a", "a", F.zip_with("home", "step", lambda x, y: x + y).alias("cell")))
-    pairs = (left.join(tiles.select("cell", "blk", F.col("fps").alias("b")), "cell")
-             .where("home <> cell OR blk_a <= blk").select("a", "b"))
+    return (left.join(tiles.select("cell", "blk", F.col("fps").alias("b")), "cell")
+            .where("home <> cell OR blk_a <= blk").select("a", "b"))
+
+
+def _within(x: list, y: list, radius: int) -> np.ndarray:
+    """Both fingerprints of every pair of different ones within ``radius``, as two rows."""
+    x, y, found = np.array(x, np.int64), np.array(y, np.int64), [np.zeros((2, 0), np.int64)]
+    for at in range(0, len(x), 128):
+        part = x[at:at + 128]
+        i, j = np.nonzero(np.bitwise_count(part[:, None] ^ y[None, :]) <= radius)
+        other = part[i] != y[j]
+        found.append(np.stack([part[i[other]], y[j[other]]]))
+    return np.concatenate(found, axis=1)
+
 
+def linked(prints: DataFrame, radius: int = 2, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between distinct values of ``fp``, a forest of all pairs within ``radius`` per batch."""
     def compare(a: list, b: list) -> dict[str, object]:
-        ends: list[np.ndarray] = []
-        for x, y in zip(a, b):
-            x, y = np.array(x, np.int64), np.array(y, np.int64)
-            for at in range(0, len(x), 512):
-                part = x[at:at + 512]
-                i, j = np.nonzero(np.bitwise_count(part[:, None] ^ y[None, :]) <= radius)
-                other = part[i] != y[j]
-                if other.any():
-                    ends.append(np.stack([part[i[other]], y[j[other]]]))
-        if not ends:
-            return {}
-        child, root = forest(*np.concatenate(ends, axis=1).tolist())
+        ends = np.concatenate([_within(x, y, radius) for x, y in zip(a, b)], axis=1)
+        child, root = forest(*ends.tolist())
         return {"a": np.array(child, np.int64), "b": np.array(root, np.int64)}
 
-    return map_batches(pairs, compare, "a long, b long", "a", "b")
+    return map_batches(_tile_pairs(prints, radius, block), compare, "a long, b long", "a", "b")
+
+
+def nearest(prints: DataFrame, radius: int, block: int = 4 * BLOCK) -> DataFrame:
+    """Edges (a, b): for every fingerprint the smallest other one within ``radius`` in each pair of tiles."""
+    def compare(a: list, b: list) -> dict[str, object]:
+        out = []
+        for x, y in zip(a, b):
+            ends = _within(x, y, radius)
+            ends = np.concatenate([ends, ends[::-1]], axis=1)
+            ends = ends[:, np.lexsort((ends[1], ends[0]))]
+            out.append(ends[:, np.flatnonzero(np.diff(ends[0], prepend=ends[0, :1] - 1))] if ends.size else ends)
+        found = np.concatenate(out, axis=1)
+        return {"a": found[0], "b": found[1]}
+
+    return map_batches(_tile_pairs(prints, radius, block), compare, "a long, b long", "a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, radius: int = 2,
@@ -115,14 +134,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(member, "fp").select("doc_id", "fp", "component_id", "class_rows")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, radius: int = 6,
-             scratch: Scratch | None = None) -> DataFrame:
-    """The rows of ``docs`` that are alone or have the smallest id of their component; all columns stay.
+def word_shingles(text: bytes, n: int) -> set[bytes]:
+    words = text.lower().split()
+    return {b" ".join(words[i:i + n]) for i in range(max(1, len(words) - n + 1))}
+
 
-    Rows that share that id are one document; the rows of a null id stay.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, radius: int = 12,
+             least: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs`` that are alone or have the smallest id of their group; all columns stay.
+
+    Texts of one fingerprint are a group. Of the fingerprints within ``radius`` the smallest of each tile is a
+    candidate, and is linked if the sets of n-word shingles have a Jaccard similarity of ``least`` or more. At the
+    usual radius that finds about nine in ten pairs of similarity 0.8, and nearly all of 0.9. Rows that
+    share the smallest id all stay, and so do rows without id. Null and blank texts are one group.
     """
-    found = near_duplicates(docs, id_col, text_col, n, radius, scratch)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    scratch = scratch or Scratch(docs.sparkSession, "simhash")
+    prints = scratch.put(fingerprints(docs, id_col, text_col, n), "prints")
+    classes = scratch.put(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    close = nearest(classes.select("fp"), radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    close = scratch.put(close.distinct(), "close")
+    used = close.select(F.col("a").alias("fp")).union(close.select("b")).distinct().join(classes, "fp")
+    texts = scratch.put(id_and_text(docs, id_col, text_col).join(used, F.col("doc_id") == F.col("first_id"))
+                        .groupBy("fp").agg(F.min("text").alias("text")), "texts")
+    both = (close.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
+            .join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b"))
+
+    def check(a: list, b: list, text_a: list, text_b: list) -> dict[str, object]:
+        same = []
+        for x, y in zip(text_a, text_b):
+            x, y = word_shingles(x, n), word_shingles(y, n)
+            shared = len(x & y)
+            same.append(shared >= least * (len(x) + len(y) - shared))
+        return {"a": [i for i, s in zip(a, same) if s], "b": [i for i, s in zip(b, same) if s]}
+
+    links = scratch.put(map_batches(both, check, "a long, b long", "a", "b", "text_a", "text_b"), "links")
+    scratch.drop("texts")
+    found = components(links, scratch)
+    member = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    heads = member.groupBy("component").agg(F.min("first_id").alias("head"))
+    heads = scratch.put(member.join(heads, "component").select("fp", "head"), "heads")
+    gone = prints.join(heads, "fp").where("doc_id <> head").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti")
 
 

@@ -1,30 +1,64 @@
-"""The corpus pipeline: stages over ``documents``, each stored before the next one reads it."""
+"""The corpus pipeline: stages over ``documents``, each stored before the next one reads it.
+
+Each stage takes (spark, docs, folder of the tables) and returns the columns of ``documents``, the
+last one token ids. A document with a null id can't be told apart and stays to the end.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from candlewright.llm import simhash
+from candlewright.llm import bpe, contamination, labelling, lines, simhash
 from candlewright.llm.tables import Scratch
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects (junk, toxic language) go."""
+    return labelling.drop_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines similar to an earlier one go; a document may be left with an empty text."""
+    kept = lines.dedup_lines(docs).select(*docs.columns)
+    return kept.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
     return simhash.keep_one(docs)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return contamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256) of what is left."""
+    import public_tokenizers
+
+    coded = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
     ("simhash near-dedup", simhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("bpe encoding and decoding", bpe_encoding),
 ]
 
+#: No stage but the fourth has a result that SQL could state; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scratch, before = Scratch(spark, "pipeline"), None
+    scratch = Scratch(spark, "pipeline")
     for at, (_, stage) in enumerate(STAGES):
         docs = scratch.put(stage(spark, docs, sf_dir), f"stage-{at}")
-        if before:
-            scratch.drop(before)
-        before = f"stage-{at}"
+        if at:
+            scratch.drop(f"stage-{at - 1}")
     return docs
