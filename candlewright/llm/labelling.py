@@ -29,7 +29,7 @@ FITTED, LABELLED, LEARNED = 12_000, 20_000, 5_000
 BITS = 18
 FAULT, FINE, SILENT = 1, 0, -1
 JUNK = ("symbols", "symbol_words", "capitals", "exclamations", "stopwords", "word_length", "repeated_lines", "vocabulary")
-TOXIC = ("insults", "learned_words", "learned_stems")
+TOXIC = ("insults", "learned_words", "learned_stems", "any_list")
 #: Common words of four languages, and insults.
 STOPWORDS = frozenset((
     "the of and to in a is that it for on was be with as by this are or from at an have not "
@@ -85,19 +85,21 @@ def junk_votes(text: bytes | None, words: list[bytes]) -> list[int]:
 
 
 def toxic_votes(own: set[bytes], learned: frozenset[bytes], stems: frozenset[bytes]) -> list[int]:
+    """A vote of every labeller in TOXIC; the last hears any of the lists, as they look for different words."""
     def seen(words: frozenset[bytes], has: set[bytes]) -> int:
         return SILENT if not words or not has else FINE if words.isdisjoint(has) else FAULT
-    return [seen(INSULTS, own), seen(learned, own), seen(stems, {w[:5] for w in own if len(w) > 5})]
+    votes = [seen(INSULTS, own), seen(learned, own), seen(stems, {w[:5] for w in own if len(w) > 5})]
+    return [*votes, max(votes)]
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
     """Probability of the fault for each pattern of votes (-1, 0, 1), from how often each pattern occurs.
 
-    The classes are told apart by the majority of the votes to begin with. A small prior count keeps a
-    labeller from being certain.
+    A labeller that says nothing counts for nothing. To begin with, a voice for the fault is heard. A small
+    prior count keeps a labeller from being certain.
     """
-    said = np.stack([(patterns == v).astype(float) for v in (SILENT, FINE, FAULT)], axis=2)
-    for_fault, spoken = said[:, :, 2].sum(axis=1), np.maximum(1, said[:, :, 1:].sum(axis=(1, 2)))
+    said = np.stack([(patterns == v).astype(float) for v in (FINE, FAULT)], axis=2)
+    for_fault, spoken = said[:, :, 1].sum(axis=1), np.maximum(1, said.sum(axis=(1, 2)))
     # one voice against several that see nothing is heard: labellers look for different faults
     post = np.clip(np.where(for_fault > 0, 0.5 + 0.4 * for_fault / spoken, 0.05), 0.02, 0.98)
     for _ in range(rounds):
@@ -208,7 +210,7 @@ def score(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
     models, posteriors = [], []
     for name in ("junk", "toxic"):
         table = votes.groupBy(name).count().orderBy(name).collect()
-        patterns = np.array([r[0] for r in table]).reshape(len(table), -1)
+        patterns = np.array([r[0] for r in table]) if table else np.zeros((0, 1), int)
         post = expectation_maximisation(patterns, np.array([r[1] for r in table], float)) if table else np.zeros(0)
         known = {tuple(p): float(v) for p, v in zip(patterns.tolist(), post)}
         # a text without votes tells nothing

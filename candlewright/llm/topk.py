@@ -127,14 +127,16 @@ def _score(asked: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFram
     both = asked.join(vectors, "vec_id").join(
         queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
 
-    def run(query_id: list, vec_id: list, q: list, v: list) -> dict[str, object]:
-        score = []
-        for at in range(0, len(q), 8192):
-            a, b = np.array(q[at:at + 8192], np.int64), np.array(v[at:at + 8192], np.int64)
-            top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[-1], 1)
-            score += (a * b).sum(axis=1).tolist() if top < 2 ** 62 else [
-                sum(map(lambda x, y: x * y, x, y)) for x, y in zip(a.tolist(), b.tolist())]
-        return {"query_id": query_id, "vec_id": vec_id, "score": score}
+    def run(query_id: list, vec_id: list, q: list, v: list) -> Iterator[dict[str, object]]:
+        for dims in {len(x) for x in q}:
+            which = [i for i, x in enumerate(q) if len(x) == dims]
+            for at in range(0, len(which), 8192):
+                part = which[at:at + 8192]
+                a, b = (np.array([x[i] for i in part], np.int64).reshape(len(part), dims) for x in (q, v))
+                top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(dims, 1)
+                score = (a * b).sum(axis=1).tolist() if top < 2 ** 62 else [
+                    sum(x * y for x, y in zip(r, s)) for r, s in zip(a.tolist(), b.tolist())]
+                yield {"query_id": [query_id[i] for i in part], "vec_id": [vec_id[i] for i in part], "score": score}
 
     return map_batches(both, run, "query_id long, vec_id long, score long", "query_id", "vec_id", "q", "v")
 
