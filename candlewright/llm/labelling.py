@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -28,7 +29,8 @@ FITTED, LABELLED, LEARNED = 12_000, 20_000, 5_000
 #: Hashed features.
 BITS = 18
 FAULT, FINE, SILENT = 1, 0, -1
-JUNK = ("symbols", "symbol_words", "capitals", "exclamations", "stopwords", "word_length", "repeated_lines", "vocabulary")
+JUNK = ("symbols", "symbol_words", "capitals", "exclamations", "stutter", "stopwords", "word_length", "repeated_lines",
+        "vocabulary", "any_shape")
 TOXIC = ("insults", "learned_words", "learned_stems", "any_list")
 #: Common words of four languages, and insults.
 STOPWORDS = frozenset((
@@ -43,8 +45,8 @@ _SYMBOLS = b"#$%&*|<>{}[]\\^~=_@+"
 _SYMBOL_RUN = re.compile(rb"[#$%&*|<>{}\[\]\\^~=_@+]+")
 _SPACED = bytes.maketrans(b".,;:!?\"()'", b" " * 10)
 _CAPITALS = bytes(range(65, 91))
-#: Words that stand for a repeated exclamation mark and for a text in capitals.
-_LOUD, _CAPITAL = b"\x02", b"\x03"
+#: Words that stand for a repeated exclamation mark, for a text in capitals and for one that repeats words.
+_LOUD, _CAPITAL, _STUTTER = b"\x02", b"\x03", b"\x04"
 
 
 def capitals(text: bytes) -> float:
@@ -52,16 +54,27 @@ def capitals(text: bytes) -> float:
     return (len(text) - len(text.translate(None, _CAPITALS))) / max(1, len(text) - text.count(b" "))
 
 
+def stutter(words: list[bytes]) -> float:
+    """Share of words that are the same as the one before."""
+    return sum(map(eq, words, words[1:])) / max(1, len(words) - words.count(_LOUD))
+
+
 def words_of(text: bytes | None) -> list[bytes]:
-    """Lower-case words without punctuation, and the words for loudness."""
+    """Lower-case words without punctuation, and the words for a shape, if there are at least 5."""
     if not text:
         return []
     words = text.lower().replace(b"!!", b" \x02 ").translate(_SPACED).split()
-    return [*words, _CAPITAL] if capitals(text) >= 0.3 else words
+    if len(words) < 5:
+        return words
+    shapes = [w for w, seen in ((_CAPITAL, capitals(text) >= 0.3), (_STUTTER, stutter(words) >= 0.2)) if seen]
+    return [*words, *shapes]
 
 
 def junk_votes(text: bytes | None, words: list[bytes]) -> list[int]:
-    """A vote of every labeller in JUNK; none on texts of fewer than 20 words but by the first four."""
+    """A vote of every labeller in JUNK; the shares of short texts say nothing.
+
+    The last hears any of those that look for a shape, as they look for different ones.
+    """
     if not words:
         return [SILENT] * len(JUNK)
 
@@ -72,16 +85,18 @@ def junk_votes(text: bytes | None, words: list[bytes]) -> list[int]:
 
     n, size = len(words), max(1, len(text) - text.count(b" "))
     symbols = (len(text) - len(text.translate(None, _SYMBOLS))) / size
-    out = [vote(symbols, 0.01, 0.05), vote(len(_SYMBOL_RUN.findall(text)) / n, 0.05, 0.2),
-           vote(capitals(text), 0.12, 0.3), vote(words.count(_LOUD) / n, 0.01, 0.1)]
+    out = [vote(symbols, 0.01, 0.05), vote(len(_SYMBOL_RUN.findall(text)) / n, 0.05, 0.2)]
+    out += [SILENT] * 3 if n < 5 else [
+        vote(capitals(text), 0.12, 0.3), vote(words.count(_LOUD) / n, 0.01, 0.1), vote(stutter(words), 0.05, 0.2)]
     if n < 20:
-        return out + [SILENT] * (len(JUNK) - 4)
-    lines = [line for line in text.split(b"\n") if line]
-    length = sum(map(len, words)) / n
-    return out + [
-        vote(sum(map(STOPWORDS.__contains__, words)) / n, 0.1, 0.04), FINE if 3 <= length <= 11 else FAULT,
-        vote(1 - len(set(lines)) / len(lines), 0.2, 0.5) if len(lines) > 3 else SILENT,
-        vote(len(set(words)) / n ** 0.8, 0.6, 0.15)]
+        out += [SILENT] * 4
+    else:
+        lines = [line for line in text.split(b"\n") if line]
+        out += [
+            vote(sum(map(STOPWORDS.__contains__, words)) / n, 0.1, 0.04), FINE if 3 <= sum(map(len, words)) / n <= 11 else FAULT,
+            vote(1 - len(set(lines)) / len(lines), 0.2, 0.5) if len(lines) > 3 else SILENT,
+            vote(len(set(words)) / n ** 0.8, 0.6, 0.15)]
+    return [*out, max(*out[:5], *out[7:])]
 
 
 def toxic_votes(own: set[bytes], learned: frozenset[bytes], stems: frozenset[bytes]) -> list[int]:

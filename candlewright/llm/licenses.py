@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bigrams of all templates up to which they are broadcast (about 100 bytes each); more are joined by a shuffle.
+SMALL = 200_000
+
 #: Opening and notice lines by which public licences are named.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -70,9 +73,11 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, least: float = 0.8
              .select("license", F.xxhash64("license", "text").alias("template"), bigrams(F.col("text")).alias("own"))
              .select("license", "template", F.size("own").alias("b"), F.explode("own").alias("bigram")))
     low, high = least / (2 - least), (2 - least) / least
-    sizes = known.agg(F.min("b").alias("least"), F.max("b").alias("most")).first()
+    sizes = known.agg(F.min("b").alias("least"), F.max("b").alias("most"), F.count("*").alias("rows")).first()
     if sizes["most"] is None:
         return spark.createDataFrame([], "doc_id long, line int, license string, dice double")
+    if sizes["rows"] <= SMALL:
+        known = F.broadcast(known)
     text = F.col(text_col).cast("string")
     cut = F.split("text", "\n")
     parts = F.concat(F.array(F.when(F.size(cut) > 1, F.col("text"))), cut)

@@ -3,10 +3,11 @@
 Equal lines (white space collapsed, lower case) are one class before anything is
 compared. A class has a one-permutation signature of its character shingles, cut into
 bands; classes that share a band are candidates. Every member of a band is verified
-against the band's first, with the exact Jaccard similarity, so a band of thousands of
-similar lines costs one comparison each. Members that fail are compared with all other
-members of that band in tiles of bounded size, which send on the edges of a forest. With
-14 bands of 5 rows two lines of similarity 0.8 share a band with probability 0.996, of
+against the band's first of its batch, and that one against the first of all, with the
+Jaccard similarity of all shingles: a band of thousands of similar lines costs one
+comparison each, and a row per batch in the shuffle. Members that fail, and those behind
+a first that fails, are compared with all members of that band in tiles of bounded size,
+which send on the edges of a forest. With 14 bands of 5 rows two lines of similarity 0.8 share a band with probability 0.996, of
 0.9 with 1 - 1e-5. Components of verified edges keep their first line.
 """
 
@@ -18,13 +19,14 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from candlewright.llm.components import components
 from candlewright.llm.tables import Scratch, fresh, map_batches, spans
 
 SHINGLE, BANDS, ROWS = 8, 14, 5
-#: Lines of a tile's side, about.
-TILE = 64
+#: Lines of a tile's side, about, and characters hashed at once.
+TILE, SPAN = 64, 500_000
 _LINE = "k1 long, k2 long"
 
 
@@ -43,53 +45,71 @@ def shingles(line: str, n: int = SHINGLE) -> set[str]:
     return {line[i:i + n] for i in range(max(1, len(line) - n + 1))}
 
 
-def jaccard(a: set[str], b: set[str], least: float) -> bool:
+def jaccard(a: set, b: set, least: float) -> bool:
     if min(len(a), len(b)) < least * max(len(a), len(b)):
         return False
     both = len(a & b)
     return both >= least * (len(a) + len(b) - both)
 
 
-def band_keys(lines: list[str], n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """Keys of each line's bands: minima of hashed shingles in bands * rows bins."""
-    k = bands * rows
-    padded = [line if len(line) >= n else line.ljust(n, "\0") for line in lines]
-    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    with np.errstate(over="ignore"):
-        h = np.zeros(len(codes) - n + 1, np.uint64)
-        for i in range(n):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i:len(codes) - n + 1 + i]
-        h = _mix(h)
-        ends = np.cumsum(sizes)
-        inside = np.ones(len(h), bool)
-        for i in range(1, n):
-            inside[ends[:-1] - i] = False
-        owner = np.repeat(np.arange(len(padded)), sizes)[:len(h)][inside]
-        h = h[inside]
-        bins = ((h >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
-        none = np.uint64(0xFFFFFFFFFFFFFFFF)
-        least = np.full(len(padded) * k, none)
-        np.minimum.at(least, owner * k + bins, h)
-        least = least.reshape(-1, k)
-        # an empty bin takes the next one that is not, changed by its distance
-        place = np.where(least == none, 2 * k, np.arange(k))
-        place = np.concatenate([place, np.minimum(place + k, 2 * k)], axis=1)
-        ahead = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :k]
-        filled = np.take_along_axis(least, ahead % k, axis=1)
-        filled = filled + (ahead - np.arange(k)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        key = np.zeros((len(padded), bands), np.uint64)
-        for r in range(rows):
-            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + filled[:, r::rows] + np.arange(bands, dtype=np.uint64))
-    return key.view(np.int64)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+def hashed_shingles(lines: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of all lines in a row, repeats included, and how many each line has."""
+    padded = [line if len(line) >= n else line.ljust(n, "\0") for line in lines]
+    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4")
+    h, width, power = codes.astype(np.uint64), 1, np.uint64(0x9E3779B97F4A7C15)
+    while width < n:    # n is a power of two
+        h = h[:-width] * power + h[width:]
+        width, power = 2 * width, np.uint64(int(power) ** 2 & 0xFFFFFFFFFFFFFFFF)
+    inside = np.ones(len(h), bool)
+    ends = np.cumsum(sizes)[:-1]
+    for i in range(1, n):
+        inside[ends - i] = False
+    return _mix(h[inside]), sizes - n + 1
+
+
+def hashed_sets(lines: list[str]) -> list[set[int]]:
+    """The distinct hashed shingles of each line."""
+    out: list[set[int]] = []
+    for part in spans(lines, SPAN):
+        h, counts = hashed_shingles(lines[part])
+        values, at = h.tolist(), 0
+        for count in counts.tolist():
+            out.append(set(values[at:at + count]))
+            at += count
+    return out
+
+
+def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """Keys of each line's bands: minima of hashed shingles in bands * rows bins."""
+    k, none = bands * rows, np.uint64(0xFFFFFFFFFFFFFFFF)
+    least = []
+    for part in spans(lines, SPAN):
+        h, counts = hashed_shingles(lines[part])
+        cell = np.repeat(np.arange(len(counts)) * k, counts)
+        cell += ((h >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
+        own = np.full(len(counts) * k, none)
+        np.minimum.at(own, cell, h)
+        least.append(own.reshape(-1, k))
+    least = np.concatenate(least)
+    # an empty bin takes the next one that is not, changed by its distance
+    place = np.where(least == none, 2 * k, np.arange(k))
+    place = np.concatenate([place, np.minimum(place + k, 2 * k)], axis=1)
+    ahead = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :k]
+    filled = np.take_along_axis(least, ahead % k, axis=1)
+    filled = filled + (ahead - np.arange(k)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    key = np.zeros((len(least), bands), np.uint64)
+    for r in range(rows):
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + filled[:, r::rows] + np.arange(bands, dtype=np.uint64))
+    return key.view(np.int64)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows are told apart by id and a hash of the text, so rows of one id may differ."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
@@ -122,14 +142,13 @@ def _verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     lines = classes.select("id", "line")
     both = pairs.join(lines, "id").join(lines.select(F.col("id").alias("c"), F.col("line").alias("other")), "c")
 
-    def run(ids: list, cs: list, lines: list, others: list) -> dict[str, object]:
-        kept: tuple[str, set[str]] = ("", set())
-        similar = []
-        for line, other in zip(lines, others):
-            if kept[0] != other:
-                kept = (other, shingles(other))
-            similar.append(jaccard(shingles(line), kept[1], least))
-        return {"id": ids, "c": cs, "similar": similar}
+    def run(ids: list, cs: list, lines: list, others: list) -> Iterator[dict[str, object]]:
+        for part in spans(lines, SPAN):
+            known = dict.fromkeys(lines[part])
+            known.update(dict.fromkeys(others[part]))
+            sets = dict(zip(known, hashed_sets(list(known))))
+            yield {"id": ids[part], "c": cs[part],
+                   "similar": [jaccard(sets[x], sets[y], least) for x, y in zip(lines[part], others[part])]}
 
     return map_batches(both, run, "id long, c long, similar boolean", "id", "c", "line", "other")
 
@@ -152,7 +171,7 @@ def _tiles(failed: DataFrame, members: DataFrame, classes: DataFrame, least: flo
     def run(lefts: list, rights: list) -> dict[str, object]:
         a, b = [], []
         for left, right in zip(lefts, rights):
-            sets = [(r["id"], shingles(r["line"])) for r in right]
+            sets = list(zip([r["id"] for r in right], hashed_sets([r["line"] for r in right])))
             joined: set[tuple[int, int]] = set()
             root: dict[int, int] = {}
 
@@ -161,13 +180,12 @@ def _tiles(failed: DataFrame, members: DataFrame, classes: DataFrame, least: flo
                     x = root[x]
                 return x
 
-            for l in left:
-                own = shingles(l["line"])
+            for one, own in zip([r["id"] for r in left], hashed_sets([r["line"] for r in left])):
                 for other, theirs in sets:
-                    x, y = find(l["id"]), find(other)
+                    x, y = find(one), find(other)
                     if x != y and jaccard(own, theirs, least):
                         root[max(x, y)] = min(x, y)
-                        joined.add((l["id"], other))
+                        joined.add((one, other))
             a += [x for x, _ in joined]
             b += [y for _, y in joined]
         return {"a": a, "b": b}
@@ -186,27 +204,37 @@ def similar_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
                           "classes")
 
     def sign(ids: list, lines: list) -> Iterator[dict[str, object]]:
-        for part in spans(lines):
-            yield {"id": ids[part], "bands": list(band_keys(lines[part]))}
-
-    bands = scratch.put(map_batches(classes, sign, "id long, bands array<long>", "id", "line"), "bands")
-    rows = bands.select(F.explode("bands").alias("band"), "id")
-    firsts = scratch.put(rows.groupBy("band").agg(F.min("id").alias("c"), F.count("*").alias("m")).where("m > 1"), "firsts")
-    pairs = scratch.put(rows.join(firsts.select("band", "c"), "band").where("id <> c"), "pairs")
-    scratch.drop("bands")
+        for part in spans(lines, 8 * SPAN):
+            keys = band_keys(lines[part])
+            own = np.repeat(np.array(ids[part], np.int64), keys.shape[1])
+            band = keys.ravel()
+            order = np.lexsort((own, band))
+            band, own = band[order], own[order]
+            new = np.concatenate(([True], band[1:] != band[:-1]))
+            first = own[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            # the others of a band have their candidate already and travel under a key of their own
+            key = np.where(new, band, _mix((band + own * 2654435761).view(np.uint64)).view(np.int64))
+            yield {"key": key, "band": band, "id": own, "c": np.where(new, -1, first)}
+
+    signed = map_batches(classes, sign, "key long, band long, id long, c long", "id", "line")
+    first = F.when(F.col("c") >= 0, F.col("c")).otherwise(F.min("id").over(Window.partitionBy("key", F.col("c") >= 0)))
+    pairs = scratch.put(signed.withColumn("c", first).where("id <> c").select("band", "id", "c"), "pairs")
     checked = scratch.put(_verified(pairs.select("id", "c").distinct(), classes, least), "checked")
     edges = checked.where("similar").select(F.col("id").alias("a"), F.col("c").alias("b"))
-    failed = scratch.put(pairs.join(checked.where("NOT similar"), ["id", "c"]).select("band", "id"), "failed")
+    failed = pairs.join(checked.where("NOT similar"), ["id", "c"]).select("band", "id")
+    # and those whose own candidate failed with the one of its band
+    behind = pairs.join(failed.withColumnRenamed("id", "c"), ["band", "c"], "left_semi").select("band", "id")
+    failed = scratch.put(failed.union(behind).distinct(), "failed")
     if not failed.isEmpty():
-        # the first of the band was compared with all
-        members = pairs.join(failed.select("band").distinct(), "band", "left_semi").select("band", "id")
+        members = pairs.select("band", "id").union(pairs.select("band", "c")).distinct()
+        members = members.join(failed.select("band").distinct(), "band", "left_semi")
         edges = edges.union(scratch.put(_tiles(failed, members, classes, least), "tiles"))
     found = components(edges, scratch)
     members = classes.join(found.withColumnRenamed("node", "id"), "id", "left").where("n > 1 OR component IS NOT NULL")
     members = scratch.put(members.select("k1", "k2", "first", F.coalesce("component", "id").alias("component")), "members")
     keeps = members.groupBy("component").agg(F.min("first").alias("keep"))
     out = scratch.put(members.join(keeps, "component").select("k1", "k2", "keep"), "keeps")
-    scratch.drop("classes", "firsts", "pairs", "checked", "failed", "tiles", "members")
+    scratch.drop("classes", "pairs", "checked", "failed", "tiles", "members")
     return out
 
 
