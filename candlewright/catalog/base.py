@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,13 +29,22 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 _stored: dict[tuple, DataFrame] = {}
 
 
-def _once(key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """A stored table per session and input folder, built again if its files are gone."""
+def _version(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+
+
+def _once(spark: SparkSession, root: str, table: str, seconds: int, build: Callable[[], DataFrame]) -> DataFrame:
+    """A stored table per session and version of its input, built again if its files are gone."""
+    key = (spark.sparkContext.applicationId, _version(spark, f"{root}/{table}.parquet"), seconds)
     df = _stored.get(key)
     if df is not None:
         try:
-            return df.sparkSession.read.parquet(df.inputFiles()[0].rsplit("/", 1)[0])
-        except (AnalysisException, IndexError):
+            df.limit(1).collect()
+            return df
+        except (AnalysisException, PySparkException):
             pass
     _stored[key] = build()
     return _stored[key]
@@ -43,15 +52,13 @@ def _once(key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
 
 def event_bars(spark: SparkSession, root: str, seconds: int = M15) -> DataFrame:
     """Stored, indexed bars of ``events``."""
-    key = (spark.sparkContext.applicationId, root, "events", seconds)
-    return _once(key, lambda: stage(index_bars(
+    return _once(spark, root, "events", seconds, lambda: stage(index_bars(
         stage(ticks_to_bars(event_ticks(spark, root), seconds), "bars")), "indexed"))
 
 
 def order_bars(spark: SparkSession, root: str) -> DataFrame:
     """Stored, indexed day bars of ``orders``."""
-    key = (spark.sparkContext.applicationId, root, "orders", D1)
-    return _once(key, lambda: stage(index_bars(
+    return _once(spark, root, "orders", D1, lambda: stage(index_bars(
         stage(ticks_to_bars(order_ticks(spark, root), D1), "bars")), "indexed"))
 
 

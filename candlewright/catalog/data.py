@@ -14,7 +14,7 @@ from candlewright.operators.bars import (
 from candlewright.operators.htf import attach_asof
 from candlewright.sources.coverage import coverage, delta_hours, missing_hours
 from candlewright.sources.fixtures import event_ticks, order_ticks
-from candlewright.sources.ticks import decode_files, divisor, path_keys, to_ticks
+from candlewright.sources.ticks import decode_files, divisor, path_keys, rejects, to_ticks
 from candlewright.streaming.tick_bars import run_once, stream_bars
 
 BAR = ["symbol", "ts_utc", "open", "high", "low", "close", "volume"]
@@ -85,6 +85,25 @@ def tick_files(spark, root):
     return to_ticks(decode_files(files)).drop("seq")
 
 
+@query("tick_rejects", """WITH h AS (SELECT DISTINCT event_type AS symbol, date_trunc('hour', ts) AS hour FROM events)
+  SELECT CASE WHEN hour(hour) % 6 = 1 THEN 'file:/raw/' || symbol || '/' || strftime(hour, '%Y/%m/%d/%H') || 'h_ticks.bi5'
+    ELSE 'file:/raw/' || symbol || '/' || strftime(hour, '%Y-%m-%d-%H') || '_ticks.bi5' END AS path,
+    CASE WHEN hour(hour) % 6 = 1 THEN 'LZMAError' ELSE 'unexpected path' END AS reason FROM h WHERE hour(hour) % 6 IN (1, 4)""")
+def tick_rejects(spark, root):
+    """Damaged files in hours 1, 7, 13, 19 and misnamed ones in 4, 10, 16, 22; the other hours give ticks."""
+    hour = F.hour("ts") % 6
+    head = F.concat(F.lit("file:/raw/"), "symbol", F.lit("/"))
+    path = F.when(hour == 4, F.concat(head, F.date_format("ts", "yyyy-MM-dd-HH"), F.lit("_ticks.bi5"))).otherwise(
+        F.concat(head, F.date_format("ts", "yyyy/MM/dd/HH"), F.lit("h_ticks.bi5")))
+    files = event_ticks(spark, root).select(
+        path.alias("path"), F.timestamp_diff("MILLISECOND", bucket_start("ts", H1), F.col("ts")).alias("ms"),
+        F.round(F.col("price") * 100).cast("long").alias("bid"), F.col("volume").cast("long").alias("ask_vol"),
+    ).mapInPandas(_packed, "path string, content binary")
+    damaged = F.pmod(F.regexp_extract("path", r"/(\d{2})h_ticks", 1).try_cast("int"), F.lit(6)) == 1
+    files = files.withColumn("content", F.when(damaged, F.lit("damaged").cast("binary")).otherwise(F.col("content")))
+    return rejects(decode_files(files)).select("path", F.split_part("error", F.lit(":"), F.lit(1)).alias("reason")).distinct()
+
+
 def _hours(spark, root):
     """Hours with events as present hours."""
     return event_ticks(spark, root).select("symbol", bucket_start("ts", H1).alias("hour_ts")).distinct()
@@ -158,11 +177,13 @@ def bar_index(spark, root):
         "symbol", "ts_utc", "bar_no", "prev_ts_utc", "prev_high", "prev_low", "prev_close")
 
 
-@query("asof_attach", bars_sql(M15) + """, s AS (SELECT symbol, ts, close AS last_close FROM i WHERE n % 7 = 3)
+@query("asof_attach", bars_sql(M15) + """, s AS (SELECT symbol, max(ts) AS ts, last(close ORDER BY ts) AS last_close
+  FROM b GROUP BY symbol, time_bucket(INTERVAL '4 hours', ts))
   SELECT i.symbol, i.ts AS ts_utc, s.last_close FROM i ASOF LEFT JOIN s ON i.symbol = s.symbol AND i.ts >= s.ts""")
 def asof_attach(spark, root):
     bars = event_bars(spark, root)
-    sparse = bars.where(F.col("bar_no") % 7 == 3).withColumnRenamed("close", "last_close")
+    sparse = bars.groupBy("symbol", bucket_start("ts_utc", H4)).agg(
+        F.max("ts_utc").alias("ts_utc"), F.max_by("close", "ts_utc").alias("last_close"))
     return attach_asof(bars.select("symbol", "ts_utc"), sparse, ["last_close"])
 
 

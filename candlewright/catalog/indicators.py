@@ -79,6 +79,34 @@ def ema(spark, root):
     return show(st.run_studies(event_bars(spark, root, H1), st.ema(25), gates=False), "symbol", "ts_utc", ema="ema")
 
 
+#: Bars without prices: single ones, the first, and a run.
+HOLES = "n % 5 = 2 OR n BETWEEN 20 AND 23 OR n = 0"
+
+
+def _gap_sql(x: str, a: str) -> str:
+    """Recursive CTE ``r(symbol, n, y, w)``: smoothing that carries NULLs, ``w`` the weight the value has left."""
+    return f"""x AS MATERIALIZED (SELECT symbol, n, CASE WHEN {HOLES} THEN NULL ELSE {x} END AS x FROM i),
+  r AS (SELECT symbol, n, x AS y, 1.0::DOUBLE AS w FROM x WHERE n = 0 UNION ALL SELECT s.symbol, s.n,
+    CASE WHEN s.x IS NULL THEN r.y WHEN r.y IS NULL THEN s.x ELSE (r.w * (1 - {a}) * r.y + {a} * s.x) / (r.w * (1 - {a}) + {a}) END,
+    CASE WHEN s.x IS NULL THEN r.w * (1 - {a}) ELSE 1 END FROM r JOIN x s ON s.symbol = r.symbol AND s.n = r.n + 1)"""
+
+
+def _holed(spark, root):
+    hole = F.expr(HOLES.replace("n ", "bar_no "))
+    bars = event_bars(spark, root, H1)
+    return bars.withColumns({c: F.when(~hole, F.col(c)) for c in ("open", "high", "low", "close")})
+
+
+@query("ema_nulls", f"{R1H}, {_gap_sql('close', '(2.0::DOUBLE / 26)')} SELECT {KEY} {r6('y', 'ema')}{JOIN}")
+def ema_nulls(spark, root):
+    return show(st.run_studies(_holed(spark, root), st.ema(25), gates=False), "symbol", "ts_utc", ema="ema")
+
+
+@query("atr_nulls", f"{R1H}, {_gap_sql('tr', '(1.0::DOUBLE / 14)')} SELECT {KEY} {r6('y', 'atr')}{JOIN}")
+def atr_nulls(spark, root):
+    return show(st.run_studies(_holed(spark, root), st.atr(14), gates=False), "symbol", "ts_utc", atr="atr")
+
+
 @query("atr_sma_seed", f"""{R1H}, seeded AS MATERIALIZED (SELECT symbol, n, tr, {sma_sql('tr', 14)} AS first14 FROM i),
   r AS (SELECT symbol, n, first14 AS atr FROM seeded WHERE n = 13 UNION ALL
   SELECT s.symbol, s.n, r.atr * (13.0 / 14) + s.tr / 14 FROM r JOIN seeded s ON s.symbol = r.symbol AND s.n = r.n + 1)
@@ -281,6 +309,22 @@ def gate_supertrend(spark, root):
                 F.col("supt_long").alias("long"), F.col("supt_short").alias("short"), supertrend="supertrend")
 
 
+@query("gate_supertrend_sma", f"""{R1H}, seeded AS MATERIALIZED (SELECT symbol, n, high, low, close, tr, {sma_sql('tr', 10)} AS first10 FROM i),
+  a AS (SELECT symbol, n, first10 AS atr FROM seeded WHERE n = 9 UNION ALL
+    SELECT s.symbol, s.n, r.atr * 0.9::DOUBLE + s.tr / 10 FROM a r JOIN seeded s ON s.symbol = r.symbol AND s.n = r.n + 1),
+  s0 AS MATERIALIZED (SELECT symbol, n, close, (high + low) / 2 + 3 * atr AS bu, (high + low) / 2 - 3 * atr AS bl FROM i JOIN a USING (symbol, n)),
+  r AS (SELECT symbol, n, bu AS u, bl AS l, close AS c, 1 AS d FROM s0 WHERE n = 9 UNION ALL
+  SELECT s.symbol, s.n, {_UP}, {_LO}, s.close, CASE WHEN r.d = 1 THEN CASE WHEN s.close > {_UP} THEN -1 ELSE 1 END
+    ELSE CASE WHEN s.close < {_LO} THEN 1 ELSE -1 END END
+  FROM r JOIN s0 s ON s.symbol = r.symbol AND s.n = r.n + 1),
+  k AS (SELECT *, CASE WHEN d = 1 THEN u ELSE l END AS line FROM i LEFT JOIN r USING (symbol, n))
+  SELECT {KEY} {r6('line', 'supertrend')}, d::BIGINT AS st_direction, {gate_sql('close > line', 'close < line')} FROM k""")
+def gate_supertrend_sma(spark, root):
+    df = add_supertrend(event_bars(spark, root, H1), 10, 3.0, seed="sma", block_rows=64)
+    return show(df, "symbol", "ts_utc", F.col("st_direction").cast("long").alias("st_direction"),
+                F.col("supt_long").alias("long"), F.col("supt_short").alias("short"), supertrend="supertrend")
+
+
 def _zigzag_sql(source: str, p: str) -> str:
     """One row per bar: trend ``t``, leg extremes, last extremes and ``bias``."""
     down = f"(r.t = 1 AND NOT s.high > r.h AND s.low < r.h - s.close * {p})"

@@ -74,7 +74,7 @@ def one_position(spark, root):
         "symbol", "ts_utc", "signal", "bar_no", "exit_no", "kept")
 
 
-PROFIT = """, pf AS MATERIALIZED (SELECT *, sgn * (exit_price - close) AS profit, exit_no - n AS held,
+PROFIT = """, pf AS MATERIALIZED (SELECT *, sgn * (exit_price - close) - (close + exit_price) * 0.0001::DOUBLE AS profit, exit_no - n AS held,
   (sgn * (exit_price - close) - (close + exit_price) * 0.0001::DOUBLE) / close AS ret,
   CASE WHEN signal = 'BUY' THEN 'LONG' ELSE 'SHORT' END AS sd FROM {source} WHERE exit_price IS NOT NULL{extra})"""
 SIDES = " FROM pf GROUP BY GROUPING SETS ((symbol, sd), (symbol))"
@@ -142,7 +142,7 @@ _SETS = ", ".join(f"({i}, {p['sl_mult']}::DOUBLE, {p['reward']}::DOUBLE)" for i,
   kr AS (SELECT symbol, param_id, k, true AS kept, coalesce(exit_no, 999999999) AS busy FROM kn WHERE k = 1 UNION ALL
     SELECT s.symbol, s.param_id, s.k, s.n >= r.busy, CASE WHEN s.n >= r.busy THEN coalesce(s.exit_no, 999999999) ELSE r.busy END
     FROM kr r JOIN kn s ON s.symbol = r.symbol AND s.param_id = r.param_id AND s.k = r.k + 1),
-  a AS (SELECT symbol, param_id, count(*) AS trades, count(*) FILTER (sgn * (exit_price - close) > 0) AS wins, sum(sgn * (exit_price - close)) AS net
+  a AS (SELECT symbol, param_id, count(*) AS trades, count(*) FILTER (sgn * (exit_price - close) > (close + exit_price) * 0.0001::DOUBLE) AS wins, sum(sgn * (exit_price - close) - (close + exit_price) * 0.0001::DOUBLE) AS net
     FROM kn JOIN kr USING (symbol, param_id, k) WHERE kept AND exit_price IS NOT NULL GROUP BY 1, 2)
   SELECT symbol, param_id, row_number() OVER (PARTITION BY symbol ORDER BY net DESC, param_id) AS rank, trades, wins, round(net, 4) + 0.0 AS net_profit
   FROM a QUALIFY rank <= 3""")

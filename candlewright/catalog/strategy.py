@@ -13,19 +13,20 @@ from candlewright.plans.strategy import strategy_inputs
 #: Tight enough that some signals are limited: daily ranges exist from day 21 on.
 CLAMP = Strategy(htf_seconds=H4, rules=RiskRules(limit=0.3, allow_exceed=True))
 REJECT = Strategy(htf_seconds=H4, rules=RiskRules(limit=0.3))
-TP_MULT = Strategy(htf_seconds=H4, rules=RiskRules(sl_mult=1.4, tp_mult=2.8, limit_enabled=False))
+TP_MULT = Strategy(htf_seconds=H4, rules=RiskRules(sl_mult=1.4, tp_mult=3.5, limit=0.3, allow_exceed=True))
 SLICED = Strategy(htf_seconds=H4, start="2024-01-08 01:00:00", end="2024-01-22 16:00:00")
 
 SMOOTHED = {"atr": ("tr", 1 / 14), "g": ("greatest(coalesce(close - pc, 0), 0)", 1 / 14),
             "l": ("greatest(coalesce(pc - close, 0), 0)", 1 / 14)}
 
 
-def strategy_sql(limit: str = "0.3::DOUBLE", allow: bool = True, tp: str = "2.8::DOUBLE", ranged: bool = True) -> str:
+def strategy_sql(limit: str = "0.3::DOUBLE", allow: bool = True, tp: str = "2.8::DOUBLE", ranged: bool = True,
+                 reward: str = "2.0::DOUBLE") -> str:
     """CTEs ending in ``f``: one row per bar with stage signals and pricing."""
     over = f"coalesce(share > {limit}, false)" if ranged else "false"
     clamped = f"close - sgn * {limit} * rng"
     sl = f"CASE WHEN {over} THEN {clamped} ELSE raw_sl END" if allow else f"CASE WHEN NOT {over} THEN raw_sl END"
-    target = f"CASE WHEN {over} THEN close + sgn * abs(close - ({clamped})) * 2.0::DOUBLE ELSE close + sgn * atr * {tp} END"
+    target = f"CASE WHEN {over} THEN close + sgn * abs(close - ({clamped})) * {reward} ELSE close + sgn * atr * {tp} END"
     if not allow:
         target = f"CASE WHEN NOT {over} THEN close + sgn * atr * {tp} END"
     return f"""{bars_sql(H1, recursive=True)}, {smooth_sql('r', 'i', SMOOTHED)}, {trigger_sql(H4)},
@@ -68,7 +69,7 @@ def sl_tp(spark, root):
     return show(df, "symbol", "ts_utc", F.col("sig_rsi").alias("signal"), "entry", places=4, sl="sl", tp="tp")
 
 
-@query("sl_tp_own_multiplier", strategy_sql(ranged=False) + """ SELECT symbol, ts AS ts_utc, sig_rsi AS signal, close AS entry,
+@query("sl_tp_own_multiplier", strategy_sql(tp="3.5::DOUBLE", reward="2.5::DOUBLE") + """ SELECT symbol, ts AS ts_utc, sig_rsi AS signal, close AS entry,
   round(sl, 4) + 0.0 AS sl, round(tp, 4) + 0.0 AS tp FROM f WHERE sig_rsi IS NOT NULL""")
 def sl_tp_own_multiplier(spark, root):
     df = run_strategy(bars(spark, root), TP_MULT).where(F.col("sig_rsi").isNotNull())

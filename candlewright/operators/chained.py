@@ -90,7 +90,8 @@ def _settle(rows, starts, kernel, group, keys, order, hands_on) -> DataFrame:
         for assumed, end, last in zip(blocks["_state"], blocks["_end"], blocks["_last"]):
             assumed, end = list(assumed), list(end)
             start = assumed if before is None else before
-            differs = start != assumed
+            # NaN is as good as any other state
+            differs = any(a != b and (a == a or b == b) for a, b in zip(start, assumed))
             if differs and hands_on is not None and hands_on(start, last):
                 end, differs = start, False
             states.append(start)

@@ -176,12 +176,12 @@ def one_position(trades: DataFrame, keys: tuple[str, ...] = ("symbol",),
 
 
 def add_profit(trades: DataFrame, commission_pct: float = 0.01) -> DataFrame:
-    """Points, net return per unit of stake, and bars held; NULL while open."""
+    """Points after commission on both sides, net return per unit of stake, bars held; NULL while open."""
     sign = F.when(F.col("signal") == "BUY", 1.0).otherwise(-1.0)
     points = sign * (F.col("exit_price") - F.col("entry"))
     fee = (F.col("entry") + F.col("exit_price")) * (commission_pct / 100)
     return trades.withColumns({
-        "profit": points,
+        "profit": points - fee,
         "net_return": ratio(points - fee, F.col("entry")),
         "bars_held": F.col("exit_no") - F.col("bar_no"),
     })

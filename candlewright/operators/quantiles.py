@@ -5,30 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_GROUP = 100_000
 ACCURACY = 10_000
 
 
 def exact_quantiles(values: DataFrame, keys: list[str], probs: list[float], column: str = "value",
-                    small: int = SMALL_GROUP, accuracy: int = ACCURACY) -> DataFrame:
+                    accuracy: int = ACCURACY) -> DataFrame:
     """Linearly interpolated quantiles, one row per key group and probability.
 
     A mergeable sketch brackets each quantile; its error bound makes the bracket
-    certain to hold the wanted ranks. Values below the bracket are only counted,
-    those inside are collapsed to distinct values and ranked. A group of up to
-    ``small`` rows is bracketed by its own minimum and maximum.
+    certain to hold the wanted ranks, or to end next to them where a group is so
+    small that the sketch is exact. Values outside the bracket are only counted,
+    with the nearest one on either side; those inside are collapsed to distinct
+    values and ranked.
     """
     margin = 2.0 / accuracy
     edges = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
     stats = values.where(F.col(column).isNotNull()).groupBy(*keys).agg(
-        F.count(column).alias("_n"), F.min(column).alias("_min"), F.max(column).alias("_max"),
-        F.percentile_approx(column, edges, accuracy).alias("_edges"))
-    is_small = F.col("_n") <= small
+        F.count(column).alias("_n"), F.percentile_approx(column, edges, accuracy).alias("_edges"))
     brackets = stats.select(*keys, "_n", F.inline(F.array(*(
         F.struct(
             F.lit(float(p)).alias("prob"),
-            F.when(is_small, F.col("_min")).otherwise(F.col("_edges")[i]).alias("_lo"),
-            F.when(is_small, F.col("_max")).otherwise(F.col("_edges")[i + len(probs)]).alias("_hi"),
+            F.col("_edges")[i].alias("_lo"),
+            F.col("_edges")[i + len(probs)].alias("_hi"),
         ) for i, p in enumerate(probs)))))
     wide = brackets.groupBy(*keys).agg(
         F.first("_n").alias("_n"),
@@ -38,19 +36,20 @@ def exact_quantiles(values: DataFrame, keys: list[str], probs: list[float], colu
     near = (
         values.where(x.isNotNull()).join(wide, keys)
         .select(*keys, column, "_n", F.explode("_brackets").alias("_b"))
-        .where(x <= F.col("_b._hi"))
-        .select(*keys, "_n", F.col("_b.prob").alias("prob"),
-                F.when(x >= F.col("_b._lo"), x).alias("_v"))     # NULL: below the bracket
-        .groupBy(*keys, "prob", "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+        .select(*keys, "_n", F.col("_b.prob").alias("prob"), column,
+                F.when(x < F.col("_b._lo"), -1).when(x > F.col("_b._hi"), 1).otherwise(0).alias("_side"))
+        .groupBy(*keys, "prob", "_side", F.when(F.col("_side") == 0, x).alias("_inside"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"),
+             F.when(F.col("_side") < 0, F.max(column)).otherwise(F.min(column)).alias("_v"))
     )
-    upto = (Window.partitionBy(*keys, "prob").orderBy(F.col("_v").asc_nulls_first())
+    upto = (Window.partitionBy(*keys, "prob").orderBy("_side", "_v")
             .rowsBetween(Window.unboundedPreceding, 0))
     position = (F.col("_n") - 1) * F.col("prob")
     ranked = near.withColumns({"_end": F.sum("_c").over(upto), "_pos": position})
 
     def at(rank):
         """Value holding the 0-based rank."""
-        return F.min(F.when((F.col("_end") > rank) & F.col("_v").isNotNull(), F.col("_v")))
+        return F.min(F.when(F.col("_end") > rank, F.col("_v")))
 
     low = F.floor("_pos")
     return (

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewright.functions.columns import as_col
+from candlewright.operators.gaps import BLOCK, has_gaps, smooth_with_gaps
 
 BLOCK_ROWS = 512
 _REACH = 64               # blocks a carry should travel at most, where the length allows
@@ -73,8 +74,15 @@ def _block_rows(specs: list[Smooth], wanted: int | None) -> int:
     return max(2, min(wanted, limit))
 
 
-def smooth(df: DataFrame, specs: dict[str, Smooth], block_rows: int | None = None) -> DataFrame:
-    """Add one smoothed column per entry of ``specs``; all share one scan."""
+def smooth(df: DataFrame, specs: dict[str, Smooth], block_rows: int | None = None,
+           gaps: bool | None = None) -> DataFrame:
+    """Add one smoothed column per entry of ``specs``; all share one scan.
+
+    A NULL input carries the value on, as in pandas; such series take a path of their
+    own. ``gaps`` says whether there are any; if it is not given, the inputs are looked at.
+    """
+    if has_gaps(df, specs) if gaps is None else gaps:
+        return smooth_with_gaps(df, specs, block_rows or BLOCK)
     plain = {name: as_col(s.x) for name, s in specs.items() if s.q == 0.0}
     specs = {name: s for name, s in specs.items() if s.q != 0.0}
     if plain:

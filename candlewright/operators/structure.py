@@ -15,7 +15,13 @@ def _supertrend_kernel(rows, state):
     lines, directions = [], []
     for base_up, base_low, close in zip(
             rows["st_up"].tolist(), rows["st_low"].tolist(), rows["close"].tolist()):
-        if not started:
+        if not started and base_up != base_up:
+            lines.append(None)
+            directions.append(None)
+            continue
+        if base_up != base_up or close != close:    # no bar to go by: the line stays
+            pass
+        elif not started:
             started, upper, lower, falling = 1.0, base_up, base_low, 1.0
         else:
             if base_up < upper or prev_close > upper:
@@ -26,7 +32,8 @@ def _supertrend_kernel(rows, state):
                 falling = 0.0 if close > upper else 1.0
             else:
                 falling = 1.0 if close < lower else 0.0
-        prev_close = close
+        if close == close:
+            prev_close = close
         lines.append(upper if falling else lower)
         directions.append(1 if falling else -1)
     return {"supertrend": lines, "st_direction": directions}, [started, upper, lower, prev_close, falling]
@@ -36,6 +43,8 @@ def add_supertrend(bars: DataFrame, n: int = 10, factor: float = 3.0, seed: str
                    block_rows: int = CHAIN_ROWS) -> DataFrame:
     """Trailing ATR band: one active line, direction 1 below it and -1 above it.
 
+    It starts at the first bar with an ATR and is NULL before; a bar without prices keeps the line.
+
     Gates: long above the line, short below it.
     """
     mid = (F.col("high") + F.col("low")) / 2

@@ -45,7 +45,8 @@ def run_studies(bars: DataFrame, *studies: Study, gates: bool = True,
     ]
     out = smooth(bars, first, smooth_rows) if first else bars
     if second:
-        out = smooth(out, second, smooth_rows)     # its totals need few columns, so no staging
+        # its totals need few columns, so no staging; a NULL first value counts as 0 in every nested input
+        out = smooth(out, second, smooth_rows, gaps=False)
     if daily:
         out = out.withColumn("trade_date", F.to_date("ts")).withColumns(daily)
     if steps:

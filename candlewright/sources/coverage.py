@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from candlewright.sources.ticks import path_keys
 
-MAX_DELTA_DAYS = 365
-
 
 def present_hours(files: DataFrame) -> DataFrame:
     """(symbol, hour_ts) of non-empty files; ``files`` has ``path`` and ``length``."""
@@ -30,17 +28,17 @@ def missing_hours(hours: DataFrame, start: str, end: str) -> DataFrame:
     return grid.join(hours, ["symbol", "hour_ts"], "left_anti")
 
 
-def delta_hours(hours: DataFrame, now: str, max_days: int = MAX_DELTA_DAYS) -> DataFrame:
+def delta_hours(hours: DataFrame, now: str, max_days: int | None = None) -> DataFrame:
     """Hours to fetch per symbol: after its last one up to the last full hour before ``now``.
 
-    A symbol more than ``max_days`` behind is refused: ``hour_ts`` NULL, ``refused`` true.
+    With ``max_days``, a symbol further behind is refused: ``hour_ts`` NULL, ``refused`` true.
     """
     hour = F.expr("interval 1 hour")
     end = F.date_trunc("hour", F.lit(now)).cast("timestamp_ntz") - hour
     spans = hours.groupBy("symbol").agg(F.max("hour_ts").alias("last")).withColumns({
         "from": F.col("last") + hour, "to": end,
     }).where(F.col("from") < F.col("to"))
-    refused = F.col("from") < F.col("to") - F.make_dt_interval(F.lit(max_days))
+    refused = F.lit(False) if max_days is None else F.col("from") < F.col("to") - F.make_dt_interval(F.lit(max_days))
     return spans.withColumn("refused", refused).select(
         "symbol", "refused",
         F.explode_outer(F.when(~F.col("refused"), F.sequence("from", "to", hour))).alias("hour_ts"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import lzma
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlewright.session import stage
+
 # Price divisors by instrument.
 DIVISORS = {
     "DEUIDXEUR": 1000.0, "XAUUSD": 1000.0, "USA500IDXUSD": 1000.0, "USA30IDXUSD": 1000.0,
@@ -127,5 +130,17 @@ def tick_files(spark: SparkSession, root: str) -> DataFrame:
             .option("recursiveFileLookup", "true").load(root))
 
 
+class TickRead(NamedTuple):
+    ticks: DataFrame
+    rejects: DataFrame
+
+
+def load_ticks(spark: SparkSession, root: str, volume_type: str = "int32") -> TickRead:
+    """Ticks below ``root``, and one row (path, error) for each file that gave none; decoded once and staged."""
+    records = stage(decode_files(tick_files(spark, root), volume_type), "records")
+    return TickRead(to_ticks(records), rejects(records).distinct())
+
+
 def read_ticks(spark: SparkSession, root: str, volume_type: str = "int32") -> DataFrame:
+    """The ticks alone; ``load_ticks`` also says which files could not be used."""
     return to_ticks(decode_files(tick_files(spark, root), volume_type))

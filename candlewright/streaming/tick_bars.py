@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from candlewright.session import staging_root
 from candlewright.sources.ticks import FILE_GLOB, decode_files, to_ticks
@@ -29,12 +30,18 @@ def _wall_clock(ts: Column) -> Column:
     return _epoch() + F.make_dt_interval(zero, zero, zero, seconds)
 
 
-def stream_tick_files(spark: SparkSession, root: str, volume_type: str = "int32",
-                      files_per_batch: int = 1000) -> DataFrame:
+def stream_records(spark: SparkSession, root: str, volume_type: str = "int32",
+                   files_per_batch: int = 1000) -> DataFrame:
+    """Decoded files as they come; ``rejects`` of it is the stream of files that could not be used."""
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILE)
              .option("pathGlobFilter", FILE_GLOB).option("recursiveFileLookup", "true")
              .option("maxFilesPerTrigger", files_per_batch).load(root))
-    return to_ticks(decode_files(files, volume_type))
+    return decode_files(files, volume_type)
+
+
+def stream_tick_files(spark: SparkSession, root: str, volume_type: str = "int32",
+                      files_per_batch: int = 1000) -> DataFrame:
+    return to_ticks(stream_records(spark, root, volume_type, files_per_batch))
 
 
 def stream_bars(ticks: DataFrame, seconds: int, delay: str = "2 hours") -> DataFrame:
@@ -60,18 +67,55 @@ def stream_bars(ticks: DataFrame, seconds: int, delay: str = "2 hours") -> DataF
                        "open", "high", "low", "close", "volume")
 
 
-def write_available(bars: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+class _LateRows(StreamingQueryListener):
+    """State rows refused for coming after the watermark, by run and batch; Spark keeps only the latest reports."""
+
+    def __init__(self):
+        self.runs: dict[str, dict[int, int]] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        report = event.progress
+        dropped = sum(op.numRowsDroppedByWatermark for op in report.stateOperators)
+        self.runs.setdefault(str(report.runId), {})[report.batchId] = dropped
+
+    def onQueryTerminated(self, event):
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+
+_late: dict[str, _LateRows] = {}
+
+
+def _listener(spark: SparkSession) -> _LateRows:
+    app = spark.sparkContext.applicationId
+    if app not in _late:
+        _late[app] = _LateRows()
+        spark.streams.addListener(_late[app])
+    return _late[app]
+
+
+def write_available(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process what is there and stop; a later call with the same paths resumes."""
-    query = (bars.writeStream.format("parquet").option("path", path)
+    listener = _listener(rows.sparkSession)
+    query = (rows.writeStream.format("parquet").option("path", path)
              .option("checkpointLocation", checkpoint).outputMode("append")
              .trigger(availableNow=True).start())
     query.awaitTermination()
+    # reports arrive in order, so all are in when the end is
+    listener.ended.setdefault(str(query.runId), threading.Event()).wait(60)
     return query
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """State rows refused for coming after the watermark, over the kept progress reports."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    """State rows that all batches of a run of ``write_available`` refused for coming after the watermark."""
+    app = query._jsq.sparkSession().sparkContext().applicationId()
+    return sum(_late[app].runs.get(str(query.runId), {}).values())
 
 
 def run_once(spark: SparkSession, bars: DataFrame) -> DataFrame:

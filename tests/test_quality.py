@@ -76,13 +76,22 @@ def test_schema_check(spark):
     assert [c["status"] for c in q.check_schema(df.drop("volume").withColumn("ts", F.lit("x")))] == ["FAIL", "FAIL"]
 
 
-@pytest.mark.parametrize("small", [1_000_000, 10])
-def test_quantiles_are_exact_on_skewed_values(spark, small):
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 50, 5000])
+def test_quantiles_of_groups_of_any_size(spark, n):
+    values = np.random.default_rng(n).normal(0, 1, n)
+    probs = [0.01, 0.25, 0.5, 0.9, 0.99]
+    pdf = pd.DataFrame({"k": "a", "value": values})
+    got = exact_quantiles(spark.createDataFrame(pdf), ["k"], probs).toPandas().set_index("prob")["quantile"]
+    np.testing.assert_allclose([got[p] for p in probs], np.percentile(values, [p * 100 for p in probs]), rtol=1e-12)
+
+
+@pytest.mark.parametrize("accuracy", [100, 10_000])
+def test_quantiles_are_exact_on_skewed_values(spark, accuracy):
     rng = np.random.default_rng(0)
     skewed = np.concatenate([np.zeros(3000), np.full(1000, 7.0), rng.exponential(100, 5001), [1e12, -1e12]])
     pdf = pd.DataFrame({"k": "a", "value": rng.permutation(skewed)})
     probs = [0.25, 0.5, 0.75, 0.9]
-    got = exact_quantiles(spark.createDataFrame(pdf), ["k"], probs, small=small, accuracy=100).toPandas()
+    got = exact_quantiles(spark.createDataFrame(pdf), ["k"], probs, accuracy=accuracy).toPandas()
     want = dict(zip(probs, np.percentile(skewed, [p * 100 for p in probs])))
     for r in got.itertuples():
         assert np.isclose(r.quantile, want[r.prob], rtol=1e-12)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from candlewright.operators import studies as st
 from candlewright.operators.smoothing import Smooth, smooth
+from candlewright.operators.structure import add_supertrend
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +44,43 @@ def test_mean_seed_and_late_start(bars, data, size):
     np.testing.assert_allclose(mine, want, rtol=1e-12)
 
 
+@pytest.mark.parametrize("size", [4, 16, None])
+def test_nulls_are_carried_as_pandas_does(spark, data, size):
+    pdf = data[0].copy()
+    rng = np.random.default_rng(4)
+    pdf.loc[rng.random(len(pdf)) < 0.2, "close"] = np.nan
+    pdf.loc[[0, 1, 15, 16, 31], "close"] = np.nan
+    pdf.loc[40:75, "close"] = np.nan                        # whole blocks
+    short = data[2].assign(close=np.where(np.arange(45) < 44, np.nan, 7.0))
+    none = data[1].assign(close=np.nan)
+    specs = {"w": Smooth("close", 14), "e": Smooth("close", 3, "ema"), "same": Smooth("close", 1), "late": Smooth("close", 5, start=4),
+             "seeded": Smooth("close", 20, seed="sma")}
+    got = rows(smooth(indexed(spark, pdf, short, none), specs, size))
+    for frame_ in (pdf, short, none):
+        x = frame_["close"].reset_index(drop=True)
+        mine = got[got["symbol"] == frame_["symbol"].iloc[0]].reset_index(drop=True)
+        seeded, valid = x.copy(), x.dropna()
+        seeded[:] = np.nan
+        if len(valid) >= 20:
+            at = valid.index[19]
+            seeded[at], seeded[at + 1:] = valid.iloc[:20].mean(), x[at + 1:]
+        for name, series, alpha in (("w", x, 1 / 14), ("e", x, 0.5), ("same", x, 1.0), ("late", x.where(x.index >= 4), 0.2), ("seeded", seeded, 1 / 20)):
+            np.testing.assert_allclose(mine[name], series.ewm(alpha=alpha, adjust=False).mean(), rtol=1e-11, err_msg=name)
+
+
+def test_one_null_close_in_an_ema(spark, data):
+    pdf = data[0].head(5).assign(close=[100, 101, np.nan, 102, 103])
+    got = rows(st.run_studies(indexed(spark, pdf), st.ema(4), gates=False))["ema"]
+    np.testing.assert_allclose(got, [100, 100.4, 100.4, 101.242105263, 101.945263158])
+
+
+def test_supertrend_starts_at_the_first_seeded_atr(spark, data):
+    got = rows(add_supertrend(indexed(spark, data[0]), 10, 3.0, seed="sma", block_rows=32))
+    assert got["supertrend"].head(9).isna().all() and got["supertrend"].iloc[9:].notna().all()
+    whole = rows(add_supertrend(indexed(spark, data[0]), 10, 3.0, seed="sma"))
+    pd.testing.assert_frame_equal(got[["bar_no", "supertrend", "st_direction"]], whole[["bar_no", "supertrend", "st_direction"]])
+
+
 def test_atr_counts_from_the_first_bar(bars, data):
     pdf = data[2]
     pc = pdf["close"].shift()

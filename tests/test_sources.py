@@ -1,6 +1,7 @@
 import json
 import lzma
 import struct
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -11,10 +12,10 @@ from candlewright.operators.bars import ticks_to_bars
 from candlewright.operators.candles import add_trigger
 from candlewright.operators.risk import RiskRules
 from candlewright.plans.strategy import Strategy, indicator_report, run_strategy, strategy_report, trades_of
-from candlewright.session import stage
+from candlewright.session import stage, staged_tables, staging_root
 from candlewright.sources import bars as sinks
 from candlewright.sources.coverage import coverage, delta_hours, missing_hours, present_hours
-from candlewright.sources.ticks import decode_files, read_ticks, rejects, tick_files
+from candlewright.sources.ticks import decode_files, load_ticks, read_ticks, rejects, tick_files
 
 
 def put(root, symbol, day, hour, records, tail=b"", raw=None):
@@ -69,7 +70,9 @@ def test_coverage(spark, tree):
     assert [str(t)[11:13] for t in missing[missing["symbol"] == "EURUSD"]["hour_ts"]] == ["03", "04"]
     delta = rows(delta_hours(hours, "2025-10-26 07:40:00"), "symbol", "hour_ts")
     assert [str(t)[11:13] for t in delta[delta["symbol"] == "EURUSD"]["hour_ts"]] == ["03", "04", "05", "06"]
-    refused = delta_hours(hours, "2027-10-26 07:40:00").toPandas()
+    late = delta_hours(hours, "2027-10-26 07:40:00").toPandas()
+    assert not late["refused"].any() and len(late) > 2 * 365 * 24
+    refused = delta_hours(hours, "2027-10-26 07:40:00", max_days=365).toPandas()
     assert refused["refused"].all() and refused["hour_ts"].isna().all()
 
 
@@ -120,3 +123,12 @@ def test_reports(spark, tmp_path):
     assert head == "symbol,ts,open,high,low,close,candle_type,we_buy,we_sell"
     nested = indicator_report(signals).where("symbol = 'A'").first()
     assert nested.execution.total == nested.signal_analysis.total and nested.candle_distribution.unclassified == 1
+
+
+def test_load_ticks_gives_both_outputs_and_staging_is_removed(spark, tree):
+    with staged_tables(spark) as folder:
+        got = load_ticks(spark, str(tree))
+        assert Path(folder.removeprefix("file:")).exists()
+        assert got.ticks.count() == read_ticks(spark, str(tree)).count()
+        assert got.rejects.count() == rejects(decode_files(tick_files(spark, str(tree)))).distinct().count() > 0
+    assert not Path(folder.removeprefix("file:")).exists() and staging_root(spark) != folder

@@ -3,8 +3,8 @@ from conftest import rows
 from test_sources import put
 
 from candlewright.operators.bars import ticks_to_bars
-from candlewright.sources.ticks import read_ticks
-from candlewright.streaming.tick_bars import late_rows, stream_bars, stream_tick_files, write_available
+from candlewright.sources.ticks import read_ticks, rejects
+from candlewright.streaming.tick_bars import late_rows, stream_bars, stream_records, stream_tick_files, write_available
 
 BAR = ["symbol", "ts_utc", "open", "high", "low", "close", "volume"]
 
@@ -43,3 +43,23 @@ def test_late_ticks_are_dropped_and_counted(spark, tmp_path):
     query = write_available(stream_bars(stream_tick_files(spark, str(raw)), 900, "10 minutes"), out, check)
     assert late_rows(query) > 0
     pd.testing.assert_frame_equal(emitted(spark, out), before)
+
+
+def test_late_counts_cover_all_batches_and_rejects_stream(spark, tmp_path):
+    raw, out, check = tmp_path / "raw", str(tmp_path / "out"), str(tmp_path / "check")
+    for h in (20, 21, 22, 23):
+        put(raw, "EURUSD", "2024/01/02", h, hour(h, 110_000))
+    write_available(stream_bars(stream_tick_files(spark, str(raw)), 900, "10 minutes"), out, check)
+    for h in range(8):
+        put(raw, "EURUSD", "2024/01/02", h, hour(h, 90_000))
+    (raw / "EURUSD/2024/01/02/09h_ticks.bi5").write_bytes(b"damaged")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 2)
+    try:
+        query = write_available(stream_bars(stream_tick_files(spark, str(raw), files_per_batch=1), 900, "10 minutes"), out, check)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    kept = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    assert late_rows(query) > kept
+    refused = str(tmp_path / "refused")
+    write_available(rejects(stream_records(spark, str(raw))), refused, str(tmp_path / "check2"))
+    assert [r.path[-31:] for r in spark.read.parquet(refused).collect()] == ["EURUSD/2024/01/02/09h_ticks.bi5"]
