@@ -143,7 +143,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, least: int = 10, sure: float
     """(bias, features, weights) of a logistic scorer; features that tell nothing about the labels are left out."""
     n, p = max(1, len(rows)), float(np.clip(labels.mean() if len(labels) else 0.0, 1e-6, 1 - 1e-6))
     bias = np.log(p / (1 - p))
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    flat = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), list(map(len, rows)))
     seen = np.bincount(flat, minlength=1 << BITS)
     bad = np.bincount(flat, labels[owner], minlength=1 << BITS)
@@ -220,8 +220,9 @@ def score(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
 
     votes = scratch.put(map_batches(rows, vote, "turn long, junk array<int>, toxic array<int>, features array<int>",
                                     "doc_id", "turn", "text"), "votes")
-    sample = votes.where("features IS NOT NULL").orderBy("turn", "junk", "toxic").limit(fitted).collect()
-    owned = [np.array(r["features"], np.int64) for r in sample]
+    # at most ``fitted`` rows of hashed features, as arrays
+    sample = votes.where("features IS NOT NULL").orderBy("turn", "junk", "toxic").limit(fitted).toArrow()
+    owned = [row.values.to_numpy() for row in sample.column("features")]
     models, posteriors = [], []
     for name in ("junk", "toxic"):
         table = votes.groupBy(name).count().orderBy(name).collect()
@@ -230,7 +231,7 @@ def score(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
         known = {tuple(p): float(v) for p, v in zip(patterns.tolist(), post)}
         # a text without votes tells nothing
         known = {p: 0.0 if set(p) == {SILENT} else v for p, v in known.items()}
-        models.append(fit(owned, np.array([known[tuple(r[name])] for r in sample])))
+        models.append(fit(owned, np.array([known[tuple(v)] for v in sample.column(name).to_pylist()])))
         posteriors.append(known)
 
     def judge(ids: list, texts: list) -> Iterator[dict[str, object]]:

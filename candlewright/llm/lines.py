@@ -5,10 +5,11 @@ compared. A class has a one-permutation signature of its character shingles, cut
 bands; classes that share a band are candidates. Every member of a band is verified
 against the band's first of its batch, and that one against the first of all, with the
 Jaccard similarity of all shingles: a band of thousands of similar lines costs one
-comparison each, and a row per batch in the shuffle. Members that fail, and those behind
-a first that fails, are compared with all members of that band in tiles of bounded size,
-which send on the edges of a forest. With 14 bands of 5 rows two lines of similarity 0.8 share a band with probability 0.996, of
-0.9 with 1 - 1e-5. Components of verified edges keep their first line.
+comparison each, and a row per batch in the shuffle. Where members of a band fail and the
+band still holds several components, all but the largest are compared with all members in
+tiles of bounded size, which send on the edges of a forest. With 14 bands of 5 rows two
+lines of similarity 0.8 share a band with probability 0.996, of 0.9 with 1 - 1e-5.
+Components of verified edges keep their first line.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candlewright.llm.components import components
+from candlewright.llm.components import components, forest
 from candlewright.llm.tables import Scratch, fresh, map_batches, spans
 
 SHINGLE, BANDS, ROWS = 8, 14, 5
@@ -153,42 +154,42 @@ def _verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return map_batches(both, run, "id long, c long, similar boolean", "id", "c", "line", "other")
 
 
-def _tiles(failed: DataFrame, members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) between rows of ``failed`` and of ``members`` (band, id) that share a band."""
+def _tiles(few: DataFrame, members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) between rows of ``few`` and of ``members`` (band, id, component) of one band and two components."""
     lines = classes.select("id", "line")
-    sizes = failed.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("nf")).join(
+    sizes = few.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("nf")).join(
         members.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("na")), "band")
 
     def side(rows: DataFrame, own: str, other: str, name: str) -> DataFrame:
         block = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
         spread = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
         cells = (block.alias("f"), spread.alias("a")) if own == "nf" else (spread.alias("f"), block.alias("a"))
-        return (rows.join(sizes, "band").join(lines, "id").select("band", *cells, F.struct("id", "line").alias("row"))
+        return (rows.join(sizes, "band").join(lines, "id")
+                .select("band", *cells, F.struct("id", "component", "line").alias("row"))
                 .groupBy("band", "f", "a").agg(F.collect_list("row").alias(name)))
 
-    pairs = side(failed, "nf", "na", "left").join(side(members, "na", "nf", "right"), ["band", "f", "a"])
+    pairs = side(few, "nf", "na", "left").join(side(members, "na", "nf", "right"), ["band", "f", "a"])
 
     def run(lefts: list, rights: list) -> dict[str, object]:
         a, b = [], []
         for left, right in zip(lefts, rights):
-            sets = list(zip([r["id"] for r in right], hashed_sets([r["line"] for r in right])))
-            joined: set[tuple[int, int]] = set()
-            root: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while root.setdefault(x, x) != x:
-                    x = root[x]
-                return x
-
-            for one, own in zip([r["id"] for r in left], hashed_sets([r["line"] for r in left])):
-                for other, theirs in sets:
-                    x, y = find(one), find(other)
-                    if x != y and jaccard(own, theirs, least):
-                        root[max(x, y)] = min(x, y)
-                        joined.add((one, other))
-            a += [x for x, _ in joined]
-            b += [y for _, y in joined]
-        return {"a": a, "b": b}
+            x, y = (hashed_sets([r["line"] for r in rows]) for rows in (left, right))
+            sizes = np.array(list(map(len, x)))[:, None] + np.array(list(map(len, y)))[None, :]
+            both = set().union(*x) & set().union(*y)
+            column = {h: i for i, h in enumerate(both)}
+            has = []
+            for sets in (x, y):
+                grid = np.zeros((len(sets), len(column)), np.float32)
+                for row, own in zip(grid, sets):
+                    row[[column[h] for h in own & both]] = 1
+                has.append(grid)
+            shared = has[0] @ has[1].T
+            groups = [np.array([r["component"] for r in rows]) for rows in (left, right)]
+            i, j = np.nonzero((shared >= least * (sizes - shared)) & (groups[0][:, None] != groups[1][None, :]))
+            a += [left[k]["id"] for k in i]
+            b += [right[k]["id"] for k in j]
+        child, root = forest(a, b)
+        return {"a": child, "b": root}
 
     return map_batches(pairs, run, "a long, b long", "left", "right")
 
@@ -222,19 +223,25 @@ def similar_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
     checked = scratch.put(_verified(pairs.select("id", "c").distinct(), classes, least), "checked")
     edges = checked.where("similar").select(F.col("id").alias("a"), F.col("c").alias("b"))
     failed = pairs.join(checked.where("NOT similar"), ["id", "c"]).select("band", "id")
-    # and those whose own candidate failed with the one of its band
-    behind = pairs.join(failed.withColumnRenamed("id", "c"), ["band", "c"], "left_semi").select("band", "id")
-    failed = scratch.put(failed.union(behind).distinct(), "failed")
-    if not failed.isEmpty():
-        members = pairs.select("band", "id").union(pairs.select("band", "c")).distinct()
-        members = members.join(failed.select("band").distinct(), "band", "left_semi")
-        edges = edges.union(scratch.put(_tiles(failed, members, classes, least), "tiles"))
+    bands = scratch.put(failed.select("band").distinct(), "failed")
     found = components(edges, scratch)
+    if not bands.isEmpty():
+        # bands that hold more than one component yet: all but the largest component against all members
+        found = scratch.put(found, "found")
+        members = pairs.select("band", "id").union(pairs.select("band", "c")).distinct().join(bands, "band", "left_semi")
+        members = scratch.put(members.join(found.withColumnRenamed("node", "id"), "id", "left").select(
+            "band", "id", F.coalesce("component", "id").alias("component")), "in-bands")
+        largest = (members.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band")
+                   .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("groups"))
+                   .where("groups > 1").select("band", "main"))
+        few = members.join(largest, "band").where("component <> main").drop("main")
+        tiles = scratch.put(_tiles(few, members, classes, least), "tiles")
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(tiles), scratch, "all")
     members = classes.join(found.withColumnRenamed("node", "id"), "id", "left").where("n > 1 OR component IS NOT NULL")
     members = scratch.put(members.select("k1", "k2", "first", F.coalesce("component", "id").alias("component")), "members")
     keeps = members.groupBy("component").agg(F.min("first").alias("keep"))
     out = scratch.put(members.join(keeps, "component").select("k1", "k2", "keep"), "keeps")
-    scratch.drop("classes", "pairs", "checked", "failed", "tiles", "members")
+    scratch.drop("classes", "pairs", "checked", "failed", "found", "in-bands", "tiles", "members")
     return out
 
 

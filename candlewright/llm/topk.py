@@ -1,12 +1,13 @@
 """Exact top-k inner products with a vector-approximation file.
 
-Components are whole numbers. The approximation file keeps for each vector the
-cell every component lies in, one byte a component, and the length of what the
-cell leaves out; the vectors themselves are a second file. A block of queries scans
-blocks of cells: the product with the cell centres, plus or minus the smaller of
-two limits on the rest, bounds each score, and the k largest lower bounds give a
-threshold. What could reach it is read from the second file in order of its bound,
-first k for each query, then only what can still beat the kth exact score.
+Components are whole numbers. The approximation file keeps for each vector the cell
+every component lies in, 64 cells over the range of its block, and the length of what
+the cells leave out; the vectors themselves are a second file. Blocks of queries scan
+blocks of cells: the product with the cell centres, plus or minus the smaller of two
+limits on the rest, bounds each score. A first scan finds the kth largest lower bound of
+each query, a second one everything whose upper bound reaches it. Those vectors are read
+from the second file in order of their bound, first k for each query, then only what can
+still beat the kth exact score.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql.window import Window
 
 from candlewright.llm.tables import Scratch, map_batches
 
-#: Whole numbers a cell is wide, vectors in a block of cells, queries in a block.
-CELL, VECTORS, QUERIES = 4, 4096, 1024
+#: Cells over the range of a block, vectors in a block of cells, queries in a block.
+CELLS, VECTORS, QUERIES = 64, 8192, 2048
 
 
 def whole(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 64) -> DataFrame:
@@ -37,26 +38,31 @@ def whole(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 64) ->
         F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * scale)).alias("v"))
 
 
-def approximate(vectors: DataFrame, cell: int = CELL, size: int = VECTORS) -> DataFrame:
-    """Blocks of the approximation file: (dims, ids, cells, rests), packed where the rows are, no shuffle.
+def approximate(vectors: DataFrame, cells: int = CELLS, size: int = VECTORS) -> DataFrame:
+    """Blocks of the approximation file: (dims, ids, least, width, cells, rests), packed where the rows are.
 
-    A cell number is held in the smallest of 1, 2, 4 or 8 bytes that fits the block.
+    least and width are whole numbers: cell c holds least + c * width up to the next cell's first.
     """
-    schema = "dims int, ids binary, width int, cells binary, rests binary"
+    schema = "dims int, ids binary, least long, width long, cells binary, rests binary"
     kinds = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dims, ids, v in _blocks(batches, size):
-            c = np.floor_divide(v, cell)
-            rest = np.sqrt(((v - (c * cell + (cell - 1) / 2)) ** 2).sum(axis=1))
-            width = next(w for w in (1, 2, 4, 8) if w == 8 or (np.abs(c).max(initial=0) < 1 << (8 * w - 1)))
+            least, most = (int(v.min()), int(v.max())) if v.size else (0, 0)
+            width = (most - least) // cells + 1
+            c = (v - least) // width
+            rest = np.sqrt(((v - _centres(c, least, width)) ** 2).sum(axis=1))
             yield pa.RecordBatch.from_pylist([{
-                "dims": dims, "ids": ids.astype("<i8").tobytes(), "width": width,
-                "cells": c.astype(f"<i{width}").tobytes(), "rests": rest.astype("<f8").tobytes()}], schema=kinds)
+                "dims": dims, "ids": ids.astype("<i8").tobytes(), "least": least, "width": width,
+                "cells": c.astype("<u1" if cells <= 256 else "<u4").tobytes(), "rests": rest.astype("<f8").tobytes()}], schema=kinds)
 
     return vectors.select("vec_id", "v").mapInArrow(run, schema)
 
 
+def _centres(c: np.ndarray, least: int, width: int) -> np.ndarray:
+    return c.astype(np.float64) * width + (least + (width - 1) / 2)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of ``size`` vectors of the same length as arrays."""
     held: dict[int, list] = {}
@@ -74,52 +80,82 @@ def _block(dims: int, own: list) -> tuple[int, np.ndarray, np.ndarray]:
     return dims, np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.int64).reshape(len(own), dims)
 
 
-def pack(vectors: DataFrame, size: int) -> DataFrame:
-    """(dims, ids, vs) blocks of exact vectors, for the queries."""
-    schema = "dims int, ids binary, vs binary"
+def pack(queries: DataFrame, size: int = QUERIES) -> DataFrame:
+    """(dims, qb, q_ids, vs, kths): blocks of queries with, if known, the bound to reach; qb names a block.
+
+    Store it before it is used twice: rows may be packed in another order the next time.
+    """
+    schema = "dims int, q_ids binary, vs binary, kths binary"
     kinds = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for dims, ids, v in _blocks(batches, size):
-            yield pa.RecordBatch.from_pylist([{"dims": dims, "ids": ids.astype("<i8").tobytes(),
-                                               "vs": v.astype("<i8").tobytes()}], schema=kinds)
+        kths: dict[int, float] = {}
+
+        def noted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kths.update(zip(batch.column("vec_id").to_pylist(), batch.column("kth").to_pylist()))
+                yield batch
+
+        for dims, ids, v in _blocks(noted(), size):
+            least = np.array([-np.inf if (x := kths.pop(i)) is None else x for i in ids.tolist()])
+            yield pa.RecordBatch.from_pylist([{"dims": dims, "q_ids": ids.astype("<i8").tobytes(), "vs": v.astype("<i8").tobytes(),
+                                               "kths": least.astype("<f8").tobytes()}], schema=kinds)
+
+    return queries.select("vec_id", "v", "kth").mapInArrow(run, schema).select(
+        "dims", F.xxhash64("q_ids").alias("qb"), "q_ids", "vs", "kths")
+
+
+def _bounds(d, i, least, width, c, r, qi, qv) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, low, high, own) for parts of a query block against a block of cells."""
+    kind = "<u1" if len(c) == len(i) // 8 * d else "<u4"
+    i, qi = np.frombuffer(i, "<i8"), np.frombuffer(qi, "<i8")
+    centre = _centres(np.frombuffer(c, kind).reshape(len(i), d), least, width)
+    rest, q = np.frombuffer(r, "<f8"), np.frombuffer(qv, "<i8").astype(np.float64).reshape(len(qi), d)
+    corner, norm = np.abs(q).sum(axis=1) * (width - 1) / 2, np.sqrt((q ** 2).sum(axis=1))
+    for at in range(0, len(qi), 128):
+        part = slice(at, at + 128)
+        mid = q[part] @ centre.T
+        # the factors and the one cover the rounding of these floats
+        off = np.minimum(corner[part, None], norm[part, None] * rest[None, :]) * (1 + 1e-9) + 1 + np.abs(mid) * 1e-9
+        own = qi[part, None] == i[None, :]
+        low, high = mid - off, mid + off
+        low[own] = high[own] = -np.inf
+        yield part, low, high, own
+
+
+_SCAN = ["dims", "ids", "least", "width", "cells", "rests", "q_ids", "vs", "kths"]
+
+
+def _met(cells: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every block of cells with every block of queries of its length."""
+    names = queries.groupBy("dims").agg(F.collect_list("qb").alias("names"))
+    return (cells.join(names, "dims").withColumn("qb", F.explode("names")).drop("names")
+            .join(queries, ["dims", "qb"]).select(_SCAN))
+
+
+def lower_bounds(cells: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, low): the k largest lower bounds of each query in each block of cells."""
+    def run(*lists: list) -> Iterator[dict[str, object]]:
+        for *block, _ in zip(*lists):
+            ids = np.frombuffer(block[6], "<i8")
+            for part, low, _, _ in _bounds(*block):
+                top = np.partition(low, low.shape[1] - k, axis=1)[:, -k:] if low.shape[1] > k else low
+                seen = np.isfinite(top)
+                yield {"query_id": np.broadcast_to(ids[part, None], top.shape)[seen], "low": top[seen]}
+
+    return map_batches(_met(cells, queries), run, "query_id long, low double", *_SCAN)
 
-    return vectors.select("vec_id", "v").mapInArrow(run, schema)
 
+def candidates(cells: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, vec_id, high): everything whose upper bound reaches the kth lower bound of its query."""
+    def run(*lists: list) -> Iterator[dict[str, object]]:
+        for *block, kths in zip(*lists):
+            ids, vectors, kths = np.frombuffer(block[6], "<i8"), np.frombuffer(block[1], "<i8"), np.frombuffer(kths, "<f8")
+            for part, _, high, own in _bounds(*block):
+                a, b = np.nonzero((high >= kths[part, None]) & ~own)
+                yield {"query_id": ids[part][a], "vec_id": vectors[b], "high": high[a, b]}
 
-def candidates(cells: DataFrame, queries: DataFrame, k: int, cell: int = CELL) -> DataFrame:
-    """(query_id, vec_id, low, high): per pair of blocks, all that may be among the k best of that pair."""
-    number = F.row_number().over(Window.partitionBy("dims").orderBy("ids")).alias("qb")
-    blocks = queries.select("dims", F.col("ids").alias("q_ids"), "vs", number)
-    counts = blocks.groupBy("dims").agg(F.max("qb").alias("n"))
-    pairs = (cells.join(counts, "dims").withColumn("qb", F.explode(F.sequence(F.lit(1), "n"))).drop("n")
-             .join(blocks, ["dims", "qb"]))
-
-    def run(dims: list, ids: list, width: list, cell_bytes: list, rests: list, q_ids: list, vs: list) -> dict[str, object]:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "low": [], "high": []}
-        for d, i, w, c, r, qi, qv in zip(dims, ids, width, cell_bytes, rests, q_ids, vs):
-            i, qi = np.frombuffer(i, "<i8"), np.frombuffer(qi, "<i8")
-            centre = np.frombuffer(c, f"<i{w}").astype(np.float64).reshape(len(i), d) * cell + (cell - 1) / 2
-            rest, q = np.frombuffer(r, "<f8"), np.frombuffer(qv, "<i8").astype(np.float64).reshape(len(qi), d)
-            corner, norm = np.abs(q).sum(axis=1) * (cell - 1) / 2, np.sqrt((q ** 2).sum(axis=1))
-            for at in range(0, len(qi), 256):
-                part = slice(at, at + 256)
-                mid = q[part] @ centre.T
-                # the factor and the one cover the rounding of these floats
-                off = np.minimum(corner[part, None], norm[part, None] * rest[None, :]) * (1 + 1e-9) + 1 + np.abs(mid) * 1e-9
-                low, high = mid - off, mid + off
-                own = qi[part, None] == i[None, :]
-                low[own] = high[own] = -np.inf
-                kth = np.partition(low, len(i) - k, axis=1)[:, len(i) - k] if len(i) > k else np.full(len(low), -np.inf)
-                a, b = np.nonzero((high >= kth[:, None]) & ~own)
-                out["query_id"].append(qi[part][a])
-                out["vec_id"].append(i[b])
-                out["low"].append(low[a, b])
-                out["high"].append(high[a, b])
-        return {n: np.concatenate(x) for n, x in out.items()} if out["low"] else {}
-
-    return map_batches(pairs, run, "query_id long, vec_id long, low double, high double",
-                       "dims", "ids", "width", "cells", "rests", "q_ids", "vs")
+    return map_batches(_met(cells, queries), run, "query_id long, vec_id long, high double", *_SCAN)
 
 
 def _score(asked: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
@@ -142,7 +178,7 @@ def _score(asked: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFram
 
 
 def top_k(vectors: DataFrame, is_query: str, k: int = 20, scratch: Scratch | None = None, id_col: str = "vec_id",
-          vector_col: str = "embedding", scale: int = 64, cell: int = CELL) -> DataFrame:
+          vector_col: str = "embedding", scale: int = 64, cells: int = CELLS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest products of each query with all other vectors.
 
     ``is_query`` is a condition on ``vec_id``. Ties go to the smaller id; a query with fewer than k
@@ -151,21 +187,21 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 20, scratch: Scratch | Non
     """
     scratch = scratch or Scratch(vectors.sparkSession, "top-k")
     exact = scratch.put(whole(vectors, id_col, vector_col, scale).distinct(), "vectors")
-    cells = scratch.put(approximate(exact, cell), "cells")
+    file = scratch.put(approximate(exact, cells), "cells")
     queries = exact.where(is_query)
-    found = candidates(cells, pack(queries, QUERIES), k, cell)
-    # over all blocks: the kth lower bound of a query, and the order in which vectors are read
-    by = Window.partitionBy("query_id")
-    found = scratch.put(
-        found.withColumn("at", F.row_number().over(by.orderBy(F.desc("low"), "vec_id")))
-        .withColumn("kth", F.min(F.when(F.col("at") == k, F.col("low"))).over(by))
-        .where("kth IS NULL OR high >= kth")
-        .withColumn("turn", F.row_number().over(by.orderBy(F.desc("high"), "vec_id"))), "candidates")
+    lows = lower_bounds(file, scratch.put(pack(queries.withColumn("kth", F.lit(None).cast("double"))), "queries"), k)
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low")))
+    kths = scratch.put(lows.withColumn("nth", nth).where(F.col("nth") == k).select(
+        F.col("query_id").alias("vec_id"), F.col("low").alias("kth")), "kths")
+    found = candidates(file, scratch.put(pack(queries.join(kths, "vec_id", "left")), "bounded-queries"))
+    turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), "vec_id"))
+    found = scratch.put(found.withColumn("turn", turn), "candidates")
     first = scratch.put(_score(found.where(F.col("turn") <= k).select("query_id", "vec_id"), exact, queries), "first")
-    certain = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    certain = first.groupBy("query_id").agg(F.min("score").alias("least"))
     rest = found.where(F.col("turn") > k).join(certain, "query_id").where(F.col("high") >= F.col("least"))
     scored = first.union(_score(rest.select("query_id", "vec_id"), exact, queries))
-    best = scored.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "vec_id")))
+    best = scored.withColumn("rank", F.row_number().over(
+        Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return best.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
