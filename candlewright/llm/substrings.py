@@ -196,10 +196,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-x AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35),
-n AS (SELECT r, s, count(*) OVER (PARTITION BY array_to_string(list_slice(w, s, s + 34), ' ')) AS n FROM x),
+u AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+x AS (SELECT r, p AS s, string_agg(x, ' ') OVER t AS k, count(*) OVER t AS words FROM u
+  WINDOW t AS (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+n AS (SELECT r, s, count(*) OVER (PARTITION BY k) AS n FROM x WHERE words = 35),
 g AS (SELECT DISTINCT r, s + i AS p FROM n, range(35) AS t(i) WHERE n > 1),
-l AS (SELECT r, list(p) AS p FROM g GROUP BY r),
-k AS (SELECT doc_id, w, coalesce(p, []) AS p FROM d LEFT JOIN l USING (r))
-SELECT doc_id, len(w) AS n_words, len(p) AS n_removed,
-  sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(p, i)), ' '), '')) AS kept_sha256 FROM k"""
+k AS (SELECT u.r, count(g.p) AS gone, string_agg(x, ' ' ORDER BY u.p) FILTER (WHERE g.p IS NULL) AS kept
+  FROM u LEFT JOIN g ON g.r = u.r AND g.p = u.p GROUP BY u.r)
+SELECT doc_id, len(w) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)"""
