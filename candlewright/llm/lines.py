@@ -138,9 +138,8 @@ def _classes(rows: DataFrame) -> DataFrame:
         F.min("line").alias("line"), F.min(F.struct("doc_id", "th", "no")).alias("first"), F.sum("n").alias("n"))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
     """(id, c, similar) of pairs of classes by their exact similarity."""
-    lines = classes.select("id", "line")
     both = pairs.join(lines, "id").join(lines.select(F.col("id").alias("c"), F.col("line").alias("other")), "c")
 
     def run(ids: list, cs: list, lines: list, others: list) -> Iterator[dict[str, object]]:
@@ -154,9 +153,28 @@ def _verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return map_batches(both, run, "id long, c long, similar boolean", "id", "c", "line", "other")
 
 
-def _tiles(few: DataFrame, members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+def _similar(x: list[set[int]], y: list[set[int]], x_groups: list[int], y_groups: list[int],
+             least: float) -> list[tuple[int, int]]:
+    """Places of similar sets of two groups; a large tile counts what they share by a product of 0/1 tables."""
+    if len(x) * len(y) <= 256:
+        return [(i, j) for i, own in enumerate(x) for j, other in enumerate(y)
+                if x_groups[i] != y_groups[j] and jaccard(own, other, least)]
+    both = set().union(*x) & set().union(*y)
+    column = {h: i for i, h in enumerate(both)}
+    has = []
+    for sets in (x, y):
+        grid = np.zeros((len(sets), len(column)), np.float32)
+        for row, own in zip(grid, sets):
+            row[[column[h] for h in own & both]] = 1
+        has.append(grid)
+    shared = has[0] @ has[1].T
+    sizes = np.array(list(map(len, x)))[:, None] + np.array(list(map(len, y)))[None, :]
+    apart = np.array(x_groups)[:, None] != np.array(y_groups)[None, :]
+    return list(zip(*(k.tolist() for k in np.nonzero((shared >= least * (sizes - shared)) & apart))))
+
+
+def _tiles(few: DataFrame, members: DataFrame, lines: DataFrame, least: float) -> DataFrame:
     """Edges (a, b) between rows of ``few`` and of ``members`` (band, id, component) of one band and two components."""
-    lines = classes.select("id", "line")
     sizes = few.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("nf")).join(
         members.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("na")), "band")
 
@@ -171,23 +189,21 @@ def _tiles(few: DataFrame, members: DataFrame, classes: DataFrame, least: float)
     pairs = side(few, "nf", "na", "left").join(side(members, "na", "nf", "right"), ["band", "f", "a"])
 
     def run(lefts: list, rights: list) -> dict[str, object]:
-        a, b = [], []
-        for left, right in zip(lefts, rights):
-            x, y = (hashed_sets([r["line"] for r in rows]) for rows in (left, right))
-            sizes = np.array(list(map(len, x)))[:, None] + np.array(list(map(len, y)))[None, :]
-            both = set().union(*x) & set().union(*y)
-            column = {h: i for i, h in enumerate(both)}
-            has = []
-            for sets in (x, y):
-                grid = np.zeros((len(sets), len(column)), np.float32)
-                for row, own in zip(grid, sets):
-                    row[[column[h] for h in own & both]] = 1
-                has.append(grid)
-            shared = has[0] @ has[1].T
-            groups = [np.array([r["component"] for r in rows]) for rows in (left, right)]
-            i, j = np.nonzero((shared >= least * (sizes - shared)) & (groups[0][:, None] != groups[1][None, :]))
-            a += [left[k]["id"] for k in i]
-            b += [right[k]["id"] for k in j]
+        a, b, at = [], [], 0
+        while at < len(lefts):
+            # lines of many tiles are hashed at once, each of them once
+            known: dict[str, None] = {}
+            end = at
+            while end < len(lefts) and (end == at or len(known) < 4 * TILE):
+                known.update(dict.fromkeys(r["line"] for rows in (lefts[end], rights[end]) for r in rows))
+                end += 1
+            sets = dict(zip(known, hashed_sets(list(known))))
+            for left, right in zip(lefts[at:end], rights[at:end]):
+                for i, j in _similar([sets[r["line"]] for r in left], [sets[r["line"]] for r in right],
+                                     [r["component"] for r in left], [r["component"] for r in right], least):
+                    a.append(left[i]["id"])
+                    b.append(right[j]["id"])
+            at = end
         child, root = forest(a, b)
         return {"a": child, "b": root}
 
@@ -220,7 +236,10 @@ def similar_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
     signed = map_batches(classes, sign, "key long, band long, id long, c long", "id", "line")
     first = F.when(F.col("c") >= 0, F.col("c")).otherwise(F.min("id").over(Window.partitionBy("key", F.col("c") >= 0)))
     pairs = scratch.put(signed.withColumn("c", first).where("id <> c").select("band", "id", "c"), "pairs")
-    checked = scratch.put(_verified(pairs.select("id", "c").distinct(), classes, least), "checked")
+    # the lines that are compared at all, so that the others move once
+    used = pairs.select("id").union(pairs.select("c")).distinct()
+    lines = scratch.put(classes.select("id", "line").join(used, "id", "left_semi"), "lines")
+    checked = scratch.put(_verified(pairs.select("id", "c").distinct(), lines, least), "checked")
     edges = checked.where("similar").select(F.col("id").alias("a"), F.col("c").alias("b"))
     failed = pairs.join(checked.where("NOT similar"), ["id", "c"]).select("band", "id")
     bands = scratch.put(failed.select("band").distinct(), "failed")
@@ -235,13 +254,13 @@ def similar_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
                    .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("groups"))
                    .where("groups > 1").select("band", "main"))
         few = members.join(largest, "band").where("component <> main").drop("main")
-        tiles = scratch.put(_tiles(few, members, classes, least), "tiles")
+        tiles = scratch.put(_tiles(few, members, lines, least), "tiles")
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(tiles), scratch, "all")
     members = classes.join(found.withColumnRenamed("node", "id"), "id", "left").where("n > 1 OR component IS NOT NULL")
     members = scratch.put(members.select("k1", "k2", "first", F.coalesce("component", "id").alias("component")), "members")
     keeps = members.groupBy("component").agg(F.min("first").alias("keep"))
     out = scratch.put(members.join(keeps, "component").select("k1", "k2", "keep"), "keeps")
-    scratch.drop("classes", "pairs", "checked", "failed", "found", "in-bands", "tiles", "members")
+    scratch.drop("classes", "lines", "pairs", "checked", "failed", "found", "in-bands", "tiles", "members")
     return out
 
 
