@@ -149,7 +149,8 @@ def write_ids(docs: DataFrame, path: str, scratch: Scratch, end_id: int | None =
     """Encode every row of ``docs``, write the blocks, and return them as read back.
 
     Rows are in ascending id, null ids first; rows of the same id are in the order of their texts'
-    hash. A null text is empty. ``path`` is a byte-level BPE file, ``end_id`` follows each document.
+    hash. A null text is empty. ``path`` is a byte-level BPE file of the tokenizers library, and the ids are
+    those of its encode() without special tokens added; ``end_id`` follows each document.
     """
     kinds = to_arrow_schema(T.StructType.fromDDL(BLOCK_SCHEMA))
 
