@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram hits, a bound by shared words, then Smith-Waterman alignment.
 
-One pass over the corpus finds every n-gram of a test item and keeps the words
-around it, so a passage that holds part of an item is one row. Over the whole corpus
-each item's n-grams are counted; those no more frequent than the item's median are its
-seeds, which leaves common phrases out and yet keeps items that leaked a thousand times.
-Passages with a seed are aligned with the item word by word. The score is that of the
-best local alignment over that of the item with itself, so a copy with a fifth of its
-words exchanged has about 0.7.
+One pass over the corpus finds every n-gram of a test item and takes the words around it,
+as far as an alignment of the least score can reach. Each word of an item matches once at
+most, so a passage that shares too few words with the item can't reach the least score and
+is left out; common phrases end there. All others are aligned with the item word by word,
+however often it leaked. The score is that of the best local alignment over that of the
+item with itself, so a copy with a fifth of its words exchanged has about 0.7. A copy that
+keeps no n-gram of the item is not found.
 
 The test items of a run are few and travel with the tasks; when there are more n-grams
 than ``GRAMS``, blocks of items are run one after another.
@@ -26,6 +26,8 @@ from candlewright.llm.tables import Scratch, id_and_text, map_batches, spans
 #: n-grams of test items that go to the tasks at once (16 bytes each).
 GRAMS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Words of the passages that are aligned at once.
+CELLS = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = bytes.maketrans(_PUNCTUATION + bytes(range(65, 91)), b" " * len(_PUNCTUATION) + bytes(range(97, 123)))
@@ -58,21 +60,33 @@ def align(item: np.ndarray, passages: list[np.ndarray]) -> list[int]:
 class Items:
     """A block of test items: the sorted hashes of their n-grams, and which item each is of."""
 
-    def __init__(self, rows: list[tuple[int, list[bytes]]], n: int):
-        self.ids, self.words, self.n = [i for i, _ in rows], [w for _, w in rows], n
+    def __init__(self, rows: list[tuple[int, list[bytes]]], n: int, least: float):
+        self.ids, self.words, self.n, self.least = [i for i, _ in rows], [w for _, w in rows], n, least
+        own = [word_hashes(w) for w in self.words]
+        self.bags = [np.unique(h, return_counts=True) for h in own]
+        # all words match, and gaps take what they score above the least
+        self.reach = np.array([len(h) + max(0, int(MATCH * len(h) * (1 - least) / -GAP)) for h in own])
         with np.errstate(over="ignore"):
-            grams = [np.unique(rolling(word_hashes(w), n, _BASE)) for w in self.words]
+            grams = [np.unique(rolling(h, n, _BASE)) for h in own]
         hashes, owner = np.concatenate(grams), np.repeat(np.arange(len(grams)), list(map(len, grams)))
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.owner = hashes[order], owner[order]
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[self.hashes & np.uint64((1 << 22) - 1)] = True
 
-    def hits(self, words: list[bytes]) -> Iterator[tuple[int, int, list[bytes], list[int]]]:
-        """(item, first word, words, n-grams) of every passage around n-grams of one item."""
+    def allows(self, item: int, passage: np.ndarray) -> bool:
+        """Whether a passage (word hashes) shares as many words with an item as the least score takes."""
+        known, counts = self.bags[item]
+        found, times = np.unique(passage, return_counts=True)
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        return np.minimum(counts[at], times)[known[at] == found].sum() >= self.least * len(self.words[item])
+
+    def hits(self, words: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+        """(item, words) of every passage around n-grams of one item that may align with it."""
         if len(words) < self.n:
             return
-        h = rolling(word_hashes(words), self.n, _BASE)
+        own = word_hashes(words)
+        h = rolling(own, self.n, _BASE)
         at = np.flatnonzero(self.maybe[h & np.uint64((1 << 22) - 1)])
         low, high = (np.searchsorted(self.hashes, h[at], side) for side in ("left", "right"))
         many = high - low
@@ -82,13 +96,13 @@ class Items:
         owner = self.owner[np.repeat(low, many) + np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)]
         order = np.lexsort((place, owner))
         place, owner = place[order], owner[order]
-        reach = np.array(list(map(len, self.words)))[owner]
+        reach = self.reach[owner]
         new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (place[1:] - place[:-1] > reach[1:])))
         starts = np.flatnonzero(new)
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(place)]):
-            first = max(0, int(place[a] - reach[a]))
-            yield (int(owner[a]), first, words[first:int(place[b - 1] + self.n + reach[a])],
-                   h[place[a:b]].view(np.int64).tolist())
+            part = slice(max(0, int(place[a] - reach[a])), int(place[b - 1] + self.n + reach[a]))
+            if self.allows(int(owner[a]), own[part]):
+                yield int(owner[a]), words[part]
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, grams: int) -> Iterator[list]:
@@ -119,55 +133,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
     scratch = scratch or Scratch(spark, "contamination")
     rows, out = id_and_text(docs, id_col, text_col), None
     for number, block in enumerate(_blocks(benchmark, item_col, item_text_col, n, grams)):
-        found = _run(rows, Items(block, n), least, scratch, number)
+        found = scratch.put(_run(rows, Items(block, n, least)), f"found-{number}")
         out = found if out is None else out.union(found)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, score double")
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
-def _run(rows: DataFrame, items: Items, least: float, scratch: Scratch, number: int) -> DataFrame:
+def _run(rows: DataFrame, items: Items) -> DataFrame:
 
     def search(ids: list, texts: list) -> Iterator[dict[str, object]]:
         for part in spans(texts):
-            out: dict[str, list] = {k: [] for k in ("doc_id", "item", "passage", "grams")}
+            by: dict[int, list[tuple[object, list[bytes]]]] = {}
             for key, text in zip(ids[part], texts[part]):
-                for item, _, words, grams in items.hits(words_of(text)):
-                    for name, value in zip(out, (key, item, b" ".join(words), grams)):
-                        out[name].append(value)
+                for item, words in items.hits(words_of(text)):
+                    by.setdefault(item, []).append((key, words))
+            out: dict[str, list] = {"doc_id": [], "item_id": [], "score": []}
+            for item, own in by.items():
+                number = {w: i for i, w in enumerate(dict.fromkeys(items.words[item]))}
+                target = np.array([number[w] for w in items.words[item]])
+                own.sort(key=lambda x: -len(x[1]))
+                at = 0
+                while at < len(own):
+                    some = own[at:at + max(1, min(256, CELLS // len(own[at][1])))]
+                    at += len(some)
+                    lines = [np.array([number.get(w, -2) for w in words]) for _, words in some]
+                    for (key, _), got in zip(some, align(target, lines)):
+                        if got >= items.least * MATCH * len(target):
+                            out["doc_id"].append(key)
+                            out["item_id"].append(items.ids[item])
+                            out["score"].append(round(got / (MATCH * len(target)), 6))
             yield out
 
-    passages = scratch.put(map_batches(rows, search, "doc_id long, item int, passage binary, grams array<long>",
-                                       "doc_id", "text"), f"passages-{number}")
-    counts = passages.select("item", F.explode("grams").alias("gram")).groupBy("item", "gram").agg(F.count("*").alias("n"))
-    counts = scratch.put(counts, f"counts-{number}")
-    usual = counts.groupBy("item").agg(F.median("n").alias("usual"))
-    # at most the n-grams of the block
-    seeds: dict[int, set[int]] = {}
-    for item, gram in counts.join(usual, "item").where("n <= usual").select("item", "gram").toLocalIterator():
-        seeds.setdefault(item, set()).add(gram)
-
-    def score(ids: list, owners: list, texts: list, grams: list) -> dict[str, object]:
-        by: dict[int, list[int]] = {}
-        for i, (item, own) in enumerate(zip(owners, grams)):
-            if not seeds.get(item, set()).isdisjoint(own):
-                by.setdefault(item, []).append(i)
-        out: dict[str, list] = {"doc_id": [], "item_id": [], "score": []}
-        for item, which in by.items():
-            number = {w: i for i, w in enumerate(dict.fromkeys(items.words[item]))}
-            target = np.array([number[w] for w in items.words[item]])
-            which.sort(key=lambda i: len(texts[i]))
-            for at in range(0, len(which), 256):
-                part = which[at:at + 256]
-                lines = [np.array([number.get(w, -2) for w in texts[i].split()]) for i in part]
-                for i, got in zip(part, align(target, lines)):
-                    if got >= least * MATCH * len(target):
-                        out["doc_id"].append(ids[i])
-                        out["item_id"].append(items.ids[item])
-                        out["score"].append(round(got / (MATCH * len(target)), 6))
-        return out
-
-    return map_batches(passages, score, "doc_id long, item_id long, score double", "doc_id", "item", "passage", "grams")
+    return map_batches(rows, search, "doc_id long, item_id long, score double", "doc_id", "text")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -196,6 +196,20 @@ def test_contamination_against_full_alignment(spark):
     assert blocks == got
 
 
+def test_edited_copies_beside_exact_ones(spark):
+    rng = random.Random(4)
+    item = [f"w{i}" for i in range(30)]
+    every = {k: [w if i % k else f"new{i}" for i, w in enumerate(item)] for k in (4, 5)}
+    wide = [x for i, w in enumerate(item) for x in ([w, "more"] if i % 2 and i < 27 else [w])]
+    around = lambda words: f"{prose(rng, 40)} {' '.join(words)} {prose(rng, 40)}"
+    rows = [(0, around(item)), (1, around(every[4])), (2, around(wide)), *((10 + i, around(every[5])) for i in range(200)),
+            *((300 + i, around(item[:3])) for i in range(50))]
+    got = contamination.contaminated(table(spark, rows), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    want = {d: round(brute_alignment(item, t.split()) / 60, 6) for d, t in rows}
+    assert counted(got.collect()) == counted((d, 7, s) for d, s in want.items() if s >= 0.5)
+    assert [d for d in want if want[d] >= 0.5] == [0, 1, 2, *range(10, 210)]
+
+
 def test_contamination_without_rows(spark):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert contamination.contaminated(table(spark, []), bench).count() == 0
