@@ -14,7 +14,7 @@ Components of verified edges keep their first line.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -173,7 +173,22 @@ def _similar(x: list[set[int]], y: list[set[int]], x_groups: list[int], y_groups
     return list(zip(*(k.tolist() for k in np.nonzero((shared >= least * (sizes - shared)) & apart))))
 
 
-def _tiles(few: DataFrame, members: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+def across(members: DataFrame, lines: DataFrame, least: float, sets_of: Callable[[list], list[set]] = hashed_sets,
+           radius: int | None = None) -> DataFrame:
+    """Edges (a, b) between similar ``members`` (band, id, component) of one band and two components.
+
+    All but the largest component of a band are compared with all its members. lines (id, line) has what ``sets_of``
+    makes sets of; with a ``radius`` only ids that differ in so many bits at most are linked.
+    """
+    largest = (members.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band")
+               .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("groups"))
+               .where("groups > 1").select("band", "main"))
+    few = members.join(largest, "band").where("component <> main").drop("main")
+    return _tiles(few, members, lines, least, sets_of, radius)
+
+
+def _tiles(few: DataFrame, members: DataFrame, lines: DataFrame, least: float, sets_of: Callable[[list], list[set]],
+           radius: int | None) -> DataFrame:
     """Edges (a, b) between rows of ``few`` and of ``members`` (band, id, component) of one band and two components."""
     sizes = few.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("nf")).join(
         members.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("na")), "band")
@@ -197,12 +212,14 @@ def _tiles(few: DataFrame, members: DataFrame, lines: DataFrame, least: float) -
             while end < len(lefts) and (end == at or len(known) < 4 * TILE):
                 known.update(dict.fromkeys(r["line"] for rows in (lefts[end], rights[end]) for r in rows))
                 end += 1
-            sets = dict(zip(known, hashed_sets(list(known))))
+            sets = dict(zip(known, sets_of(list(known))))
             for left, right in zip(lefts[at:end], rights[at:end]):
                 for i, j in _similar([sets[r["line"]] for r in left], [sets[r["line"]] for r in right],
                                      [r["component"] for r in left], [r["component"] for r in right], least):
-                    a.append(left[i]["id"])
-                    b.append(right[j]["id"])
+                    x, y = left[i]["id"], right[j]["id"]
+                    if radius is None or ((x ^ y) & 0xFFFFFFFFFFFFFFFF).bit_count() <= radius:
+                        a.append(x)
+                        b.append(y)
             at = end
         child, root = forest(a, b)
         return {"a": child, "b": root}
@@ -250,11 +267,7 @@ def similar_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
         members = pairs.select("band", "id").union(pairs.select("band", "c")).distinct().join(bands, "band", "left_semi")
         members = scratch.put(members.join(found.withColumnRenamed("node", "id"), "id", "left").select(
             "band", "id", F.coalesce("component", "id").alias("component")), "in-bands")
-        largest = (members.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band")
-                   .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("groups"))
-                   .where("groups > 1").select("band", "main"))
-        few = members.join(largest, "band").where("component <> main").drop("main")
-        tiles = scratch.put(_tiles(few, members, lines, least), "tiles")
+        tiles = scratch.put(across(members, lines, least), "tiles")
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(tiles), scratch, "all")
     members = classes.join(found.withColumnRenamed("node", "id"), "id", "left").where("n > 1 OR component IS NOT NULL")
     members = scratch.put(members.select("k1", "k2", "first", F.coalesce("component", "id").alias("component")), "members")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import sys
 import zlib
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from helpers import Sets, corpus, counted, table  # noqa: E402
+from helpers import Sets, corpus, counted, prose, table  # noqa: E402
 
 from candlewright.llm import bpe, grammar, lines, simhash, substrings  # noqa: E402
 from candlewright.llm.components import components  # noqa: E402
@@ -234,6 +235,38 @@ def test_keep_one_of_each_group(spark, docs):
     assert simhash.keep_one(table(spark, [])).count() == 0
 
 
+def test_bits_of_negative_differences():
+    found = simhash._within([0, 5], [1 - (1 << 63), 5, -1], 2)
+    assert found.T.tolist() == [[0, 1 - (1 << 63)], [0, 5], [5, 1 - (1 << 63)]]
+
+
+@pytest.mark.parametrize("radius", [12, 26])
+def test_keep_one_against_all_pairs_within_the_radius(spark, radius):
+    # at 26 bits most texts have unrelated neighbours of smaller value, and a third has half-similar ones
+    rng = random.Random(radius)
+    rows = []
+    for _ in range(50):
+        base = prose(rng, rng.randrange(60, 200)).split()
+        for changes in (0, 1, 2, 3, 6, 9, 14):
+            own = list(base)
+            for at in rng.sample(range(len(own)), changes):
+                own[at] = "changed"
+            rows.append((len(rows), " ".join(own)))
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    rows = [(order[i], t) for i, t in rows]
+    prints = {d: simhash.fingerprint(t.encode(), 5) for d, t in rows}
+    shingled = {d: simhash.word_shingles(t.encode(), 5) for d, t in rows}
+    sets = Sets()
+    for d in prints:
+        for e in range(d):
+            near = ((prints[d] ^ prints[e]) & (1 << 64) - 1).bit_count() <= radius
+            if near and lines.jaccard(shingled[d], shingled[e], 0.8):
+                sets.join(d, e)
+    got = {r["doc_id"] for r in simhash.keep_one(table(spark, rows), radius=radius).select("doc_id").collect()}
+    assert got == {d for d in prints if sets.find(d) == d} and len(got) < len(rows) - 60
+
+
 # --- 7: BPE ---------------------------------------------------------------------
 
 def test_encode_and_decode_against_the_library(docs, library):
