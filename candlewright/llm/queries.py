@@ -24,7 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": substrings.OP1_SQL,
     "op6_warc": warc.OP6_SQL,
-    "op9_benchmark_decontamination": contamination.op9_benchmark_decontamination,
     "op8_license_scan": licenses.OP8_SQL,
     "op10_exact_top_k": topk.OP10_SQL,
 }

@@ -256,3 +256,7 @@ def test_pipeline_stages_keep_the_columns(spark):
 def test_every_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
     assert numbers == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_statements_are_sql():
+    assert all(isinstance(sql, str) for sql in ORACLE_SQL.values())
