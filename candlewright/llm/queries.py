@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.llm import bpe, contamination, grammar, hard_negatives, labelling, licenses, lines, simhash, substrings, topk, warc
+from candlewright.llm import bpe, contamination, grammar, hard_negatives, labelling, licenses, lines, periodic, simhash, substrings, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_benchmark_decontamination": contamination.op9_benchmark_decontamination,
     "op10_exact_top_k": topk.op10_exact_top_k,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
 }
 
