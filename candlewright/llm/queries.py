@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.llm import bpe, contamination, grammar, hard_negatives, labelling, licenses, lines, periodic, simhash, substrings, topk, warc
+from candlewright.llm import (
+    bpe, contamination, grammar, hard_negatives, labelling, licenses, lines, periodic, simhash, substrings, suffix_arrays, topk, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_top_k": topk.op10_exact_top_k,
     "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_suffix_array_dedup": suffix_arrays.op13_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
