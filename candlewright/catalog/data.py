@@ -15,7 +15,6 @@ from candlewright.operators.htf import attach_asof
 from candlewright.sources.coverage import coverage, delta_hours, missing_hours
 from candlewright.sources.fixtures import event_ticks, order_ticks
 from candlewright.sources.ticks import decode_files, divisor, path_keys, rejects, to_ticks
-from candlewright.streaming.tick_bars import run_once, stream_bars
 
 BAR = ["symbol", "ts_utc", "open", "high", "low", "close", "volume"]
 
@@ -185,15 +184,3 @@ def asof_attach(spark, root):
     sparse = bars.groupBy("symbol", bucket_start("ts_utc", H4)).agg(
         F.max("ts_utc").alias("ts_utc"), F.max_by("close", "ts_utc").alias("last_close"))
     return attach_asof(bars.select("symbol", "ts_utc"), sparse, ["last_close"])
-
-
-@query("stream_bars", f"""{bars_sql(M15)} SELECT symbol, ts AS ts_utc, open, high, low, close, volume FROM b
-  WHERE ts + INTERVAL '15 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '2 hours'""")
-def streamed_bars(spark, root):
-    ticks = spark.read.parquet(f"{root}/events.parquet")
-    stream = (spark.readStream.schema(ticks.schema).option("pathGlobFilter", "events.parquet").parquet(root))
-    logical = stream.select(
-        F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"),
-        F.col("event_id").alias("seq"), F.col("value").alias("price"),
-        F.get_json_object("props", "$.k").cast("double").alias("volume"))
-    return run_once(spark, stream_bars(logical, M15, "2 hours"))

@@ -295,13 +295,18 @@ _UP = "CASE WHEN s.bu < r.u OR r.c > r.u THEN s.bu ELSE r.u END"
 _LO = "CASE WHEN s.bl > r.l OR r.c < r.l THEN s.bl ELSE r.l END"
 
 
-@query("gate_supertrend", f"""{R1H}, {smooth_sql('a', 'i', {'atr': ('tr', 0.1)})},
+def supertrend_sql() -> str:
+    """``k``: hourly bars with the active line and direction ``d``."""
+    return f"""{R1H}, {smooth_sql('a', 'i', {'atr': ('tr', 0.1)})},
   s0 AS MATERIALIZED (SELECT symbol, n, close, (high + low) / 2 + 3 * atr AS bu, (high + low) / 2 - 3 * atr AS bl FROM i JOIN a USING (symbol, n)),
   r AS (SELECT symbol, n, bu AS u, bl AS l, close AS c, 1 AS d FROM s0 WHERE n = 0 UNION ALL
   SELECT s.symbol, s.n, {_UP}, {_LO}, s.close, CASE WHEN r.d = 1 THEN CASE WHEN s.close > {_UP} THEN -1 ELSE 1 END
     ELSE CASE WHEN s.close < {_LO} THEN 1 ELSE -1 END END
   FROM r JOIN s0 s ON s.symbol = r.symbol AND s.n = r.n + 1),
-  k AS (SELECT *, CASE WHEN d = 1 THEN u ELSE l END AS line{JOIN})
+  k AS (SELECT *, CASE WHEN d = 1 THEN u ELSE l END AS line{JOIN})"""
+
+
+@query("gate_supertrend", f"""{supertrend_sql()}
   SELECT {KEY} {r6('line', 'supertrend')}, d::BIGINT AS st_direction, {gate_sql('close > line', 'close < line')} FROM k""")
 def gate_supertrend(spark, root):
     df = add_supertrend(event_bars(spark, root, H1), 10, 3.0)
@@ -325,7 +330,7 @@ def gate_supertrend_sma(spark, root):
                 F.col("supt_long").alias("long"), F.col("supt_short").alias("short"), supertrend="supertrend")
 
 
-def _zigzag_sql(source: str, p: str) -> str:
+def zigzag_sql(source: str, p: str) -> str:
     """One row per bar: trend ``t``, leg extremes, last extremes and ``bias``."""
     down = f"(r.t = 1 AND NOT s.high > r.h AND s.low < r.h - s.close * {p})"
     up = f"(r.t = -1 AND NOT s.low < r.l AND s.high > r.l + s.close * {p})"
@@ -347,13 +352,13 @@ def _pivot(df):
                      F.col("pivot_long").alias("long"), F.col("pivot_short").alias("short"))
 
 
-@query("gate_pivot", f"{R1H}, {_zigzag_sql('i', '0.3::DOUBLE')} SELECT {KEY} t::BIGINT AS zz_trend, bias::BIGINT AS zz_bias, {gate_sql('bias = 1', 'bias = -1')}{JOIN}")
+@query("gate_pivot", f"{R1H}, {zigzag_sql('i', '0.3::DOUBLE')} SELECT {KEY} t::BIGINT AS zz_trend, bias::BIGINT AS zz_bias, {gate_sql('bias = 1', 'bias = -1')}{JOIN}")
 def gate_pivot(spark, root):
     return _pivot(st.run_studies(add_zigzag(event_bars(spark, root, H1), 30.0), pivot_gate()))
 
 
 @query("gate_pivot_htf", f"""{R1H}, hb AS (SELECT symbol, time_bucket(INTERVAL '14400 seconds', ts) AS hts, max(high) AS high, min(low) AS low, last(close ORDER BY ts) AS close FROM b GROUP BY 1, 2),
-  hn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY hts) - 1 AS n FROM hb), {_zigzag_sql('hn', '0.1::DOUBLE')},
+  hn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY hts) - 1 AS n FROM hb), {zigzag_sql('hn', '0.1::DOUBLE')},
   hp AS (SELECT symbol, hts, lag(t) OVER w AS t, lag(bias) OVER w AS bias FROM hn JOIN r USING (symbol, n) WINDOW w AS (PARTITION BY symbol ORDER BY hts))
   SELECT i.symbol, i.ts AS ts_utc, t::BIGINT AS zz_trend, bias::BIGINT AS zz_bias, {gate_sql('bias = 1', 'bias = -1')}
   FROM i JOIN hp ON hp.symbol = i.symbol AND hp.hts = time_bucket(INTERVAL '14400 seconds', i.ts)""")

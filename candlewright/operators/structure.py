@@ -62,7 +62,34 @@ def add_supertrend(bars: DataFrame, n: int = 10, factor: float = 3.0, seed: str
     })
 
 
-def _zigzag_kernel(pct: float):
+def supertrend_bars_kernel(n: int, factor: float):
+    """The supertrend rule from bars themselves: carries the range average and the close before; and its first state.
+
+    A bar without a true range lets the average stand, and the next one weighs more the longer the gap was.
+    """
+    alpha = 1.0 / n
+
+    def kernel(rows, state):
+        *own, average, weight, close_before = state
+        ups, lows = [], []
+        for high, low, close in zip(rows["high"].tolist(), rows["low"].tolist(), rows["close"].tolist()):
+            sizes = [x for x in (high - low, abs(high - close_before), abs(low - close_before)) if x == x]
+            reach = max(sizes, default=float("nan"))
+            weight *= 1 - alpha
+            if reach == reach:
+                average = reach if average != average else (weight * average + alpha * reach) / (weight + alpha)
+                weight = 1.0
+            close_before = close
+            ups.append((high + low) / 2 + factor * average)
+            lows.append((high + low) / 2 - factor * average)
+        columns, own = _supertrend_kernel(rows.assign(st_up=ups, st_low=lows), own)
+        return columns, [*own, average, weight, close_before]
+
+    nan = float("nan")
+    return kernel, [0.0] * 5 + [nan, 1.0, nan]
+
+
+def zigzag_kernel(pct: float):
     share = pct / 100
 
     def kernel(rows, state):
@@ -102,7 +129,7 @@ def _step(now: float, before: float) -> float:
 def add_zigzag(bars: DataFrame, pct: float = 0.2, block_rows: int = CHAIN_ROWS) -> DataFrame:
     """Percent-reversal legs: ``zz_trend`` and structure ``zz_bias`` in {1, 0, -1}."""
     return run_chained(
-        bars, _zigzag_kernel(pct), [0.0] * 6,
+        bars, zigzag_kernel(pct), [0.0] * 6,
         "zz_trend int, zz_bias int", inputs=("high", "low", "close"), block_rows=block_rows)
 
 

@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import threading
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from candlewright.session import staging_root
 from candlewright.sources.ticks import FILE_GLOB, decode_files, to_ticks
+from candlewright.streaming.closing import watermarked
+from candlewright.streaming.runs import instant, wall_clock
 
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
-def _epoch() -> Column:
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-
-
-def _instant(ts: Column) -> Column:
-    """UTC wall clock as an instant, as watermarks need; no session zone involved."""
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), ts))
-
-
-def _wall_clock(ts: Column) -> Column:
-    zero = F.lit(0)
-    seconds = (F.unix_micros(ts).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
-    return _epoch() + F.make_dt_interval(zero, zero, zero, seconds)
-
-
 def stream_records(spark: SparkSession, root: str, volume_type: str = "int32",
                    files_per_batch: int = 1000) -> DataFrame:
     """Decoded files as they come; ``rejects`` of it is the stream of files that could not be used."""
@@ -44,14 +26,15 @@ def stream_tick_files(spark: SparkSession, root: str, volume_type: str = "int32"
     return to_ticks(stream_records(spark, root, volume_type, files_per_batch))
 
 
-def stream_bars(ticks: DataFrame, seconds: int, delay: str = "2 hours") -> DataFrame:
+def stream_bars(ticks: DataFrame, seconds: int, delay: str = "2 hours", closing: str | None = None) -> DataFrame:
     """Final bars of a tick stream, each emitted once the watermark has passed it.
 
     The same two aggregates as the batch build. State holds the ticks of the
     windows still open, so it is bounded by the delay, not by the history.
+    With ``closing``, the folder of a closing row, a run after ``closing.close`` emits these as well.
     """
     width = f"{seconds} seconds"
-    timed = ticks.withColumn("event_time", _instant(F.col("ts"))).withWatermark("event_time", delay)
+    timed = watermarked(ticks, instant(F.col("ts")), delay, closing)
     tick_time = F.unix_micros("event_time").alias("tick_time")
     distinct = timed.groupBy(F.window("event_time", width).alias("w"), "symbol", tick_time, "price").agg(
         F.max_by("volume", "seq").alias("volume"), F.max("seq").alias("seq"))
@@ -63,63 +46,5 @@ def stream_bars(ticks: DataFrame, seconds: int, delay: str = "2 hours") -> DataF
             F.min("price").alias("low"), F.max_by("price", order).alias("close"),
             F.sum("volume").alias("volume"))
     )
-    return bars.select("symbol", _wall_clock(F.col("w.start")).alias("ts_utc"),
+    return bars.select("symbol", wall_clock(F.col("w.start")).alias("ts_utc"),
                        "open", "high", "low", "close", "volume")
-
-
-class _LateRows(StreamingQueryListener):
-    """State rows refused for coming after the watermark, by run and batch; Spark keeps only the latest reports."""
-
-    def __init__(self):
-        self.runs: dict[str, dict[int, int]] = {}
-        self.ended: dict[str, threading.Event] = {}
-
-    def onQueryStarted(self, event):
-        pass
-
-    def onQueryIdle(self, event):
-        pass
-
-    def onQueryProgress(self, event):
-        report = event.progress
-        dropped = sum(op.numRowsDroppedByWatermark for op in report.stateOperators)
-        self.runs.setdefault(str(report.runId), {})[report.batchId] = dropped
-
-    def onQueryTerminated(self, event):
-        self.ended.setdefault(str(event.runId), threading.Event()).set()
-
-
-_late: dict[str, _LateRows] = {}
-
-
-def _listener(spark: SparkSession) -> _LateRows:
-    app = spark.sparkContext.applicationId
-    if app not in _late:
-        _late[app] = _LateRows()
-        spark.streams.addListener(_late[app])
-    return _late[app]
-
-
-def write_available(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Process what is there and stop; a later call with the same paths resumes."""
-    listener = _listener(rows.sparkSession)
-    query = (rows.writeStream.format("parquet").option("path", path)
-             .option("checkpointLocation", checkpoint).outputMode("append")
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    # reports arrive in order, so all are in when the end is
-    listener.ended.setdefault(str(query.runId), threading.Event()).wait(60)
-    return query
-
-
-def late_rows(query: StreamingQuery) -> int:
-    """State rows that all batches of a run of ``write_available`` refused for coming after the watermark."""
-    app = query._jsq.sparkSession().sparkContext().applicationId()
-    return sum(_late[app].runs.get(str(query.runId), {}).values())
-
-
-def run_once(spark: SparkSession, bars: DataFrame) -> DataFrame:
-    """Run the stream over everything available and read back what it emitted."""
-    base = f"{staging_root(spark)}/stream-{uuid.uuid4().hex}"
-    write_available(bars, f"{base}/bars", f"{base}/checkpoint")
-    return spark.read.schema(bars.schema).parquet(f"{base}/bars")

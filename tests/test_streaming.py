@@ -1,10 +1,18 @@
 import pandas as pd
-from conftest import rows
+import pytest
+from conftest import indexed, rows, walk
+from pyspark.sql import types as T
 from test_sources import put
 
 from candlewright.operators.bars import ticks_to_bars
+from candlewright.operators.structure import add_supertrend, add_zigzag
+from candlewright.schema import BARS, TICKS
 from candlewright.sources.ticks import read_ticks, rejects
-from candlewright.streaming.tick_bars import late_rows, stream_bars, stream_records, stream_tick_files, write_available
+from candlewright.streaming.closing import close, open_closing
+from candlewright.streaming.maintained import maintain_bars, maintained_bars, stored_ticks, take_batch, touched_ticks
+from candlewright.streaming.runs import late_rows, write_available
+from candlewright.streaming.structure import stream_supertrend, stream_zigzag
+from candlewright.streaming.tick_bars import stream_bars, stream_records, stream_tick_files
 
 BAR = ["symbol", "ts_utc", "open", "high", "low", "close", "volume"]
 
@@ -63,3 +71,102 @@ def test_late_counts_cover_all_batches_and_rejects_stream(spark, tmp_path):
     refused = str(tmp_path / "refused")
     write_available(rejects(stream_records(spark, str(raw))), refused, str(tmp_path / "check2"))
     assert [r.path[-31:] for r in spark.read.parquet(refused).collect()] == ["EURUSD/2024/01/02/09h_ticks.bi5"]
+
+
+# --- closing, late ticks, state machines --------------------------------------------------
+
+def dropped(path, pdf, name):
+    """One file of bars arrives."""
+    path.mkdir(parents=True, exist_ok=True)
+    pdf.to_parquet(path / f"{name}.parquet", index=False, coerce_timestamps="us")
+
+
+def test_a_closing_row_drains_open_windows_and_ends_the_stream(spark, tmp_path):
+    raw, out, check = tmp_path / "raw", str(tmp_path / "out"), str(tmp_path / "check")
+    closing = open_closing(spark, TICKS, str(tmp_path / "closing"))
+    stream = lambda: stream_bars(stream_tick_files(spark, str(raw)).select(*TICKS.fieldNames()), 900, "2 hours", closing)
+    for h in range(4):
+        put(raw, "EURUSD", "2024/01/02", h, hour(h, 110_000 + h))
+    write_available(stream(), out, check)
+    batch = rows(ticks_to_bars(read_ticks(spark, str(raw)), 900).select(*BAR), "symbol", "ts_utc")
+    assert 0 < len(emitted(spark, out)) < len(batch)
+    close(spark, TICKS, "ts", closing)
+    write_available(stream(), out, check)
+    pd.testing.assert_frame_equal(emitted(spark, out), batch)
+    put(raw, "EURUSD", "2024/01/02", 9, hour(9, 110_000))          # after the end all is late
+    close(spark, TICKS, "ts", closing)
+    assert late_rows(write_available(stream(), out, check)) > 0
+    pd.testing.assert_frame_equal(emitted(spark, out), batch)
+
+
+def test_late_ticks_replace_the_bars_of_their_slots_only(spark, tmp_path):
+    raw, base = tmp_path / "raw", str(tmp_path / "base")
+    run = lambda: maintain_bars(stream_tick_files(spark, str(raw)), base, 900)
+    for day in (2, 3, 4):
+        put(raw, "EURUSD", f"2024/01/0{day}", 7, hour(7, 110_000 + day))
+    run()
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "base/bars").rglob("*.parquet")}
+    put(raw, "EURUSD", "2024/01/03", 7 + 1, hour(8, 90_000))
+    put(raw, "EURJPY", "2024/01/03", 7, hour(7, 90_000))
+    put(raw, "EURUSD", "2024/01/03", 2, [(5, 1, 2, 3, 4)])
+    run()
+    kept = {f: t for f, t in files.items() if f.exists() and f.stat().st_mtime_ns == t}
+    assert {f.parent.name for f in kept} == {"slot=19724", "slot=19726"} and len(files) == 3
+    batch = ticks_to_bars(read_ticks(spark, str(raw)), 900)
+    pd.testing.assert_frame_equal(rows(maintained_bars(spark, base).select(*BAR), "symbol", "ts_utc"), rows(batch.select(*BAR), "symbol", "ts_utc"))
+    run()                                                           # nothing new
+    assert maintained_bars(spark, base).count() == batch.count()
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    base = str(tmp_path)
+    put(tmp_path / "raw", "EURUSD", "2024/01/02", 7, hour(7, 110_000))
+    ticks = read_ticks(spark, str(tmp_path / "raw"))
+    for batch_id in (0, 0, 1):
+        take_batch(ticks, batch_id, base, 900, "UTC", 86_400)
+        assert stored_ticks(spark, base).count() == ticks.count() * (batch_id + 1)
+        pd.testing.assert_frame_equal(
+            rows(maintained_bars(spark, base).select(*BAR), "symbol", "ts_utc"), rows(ticks_to_bars(ticks, 900).select(*BAR), "symbol", "ts_utc"))
+
+
+def test_only_touched_folders_of_ticks_are_read(spark, tmp_path):
+    for batch_id, day in enumerate((2, 3, 4)):
+        put(tmp_path / f"raw{day}", "EURUSD", f"2024/01/0{day}", 7, hour(7, 110_000))
+        take_batch(read_ticks(spark, str(tmp_path / f"raw{day}")), batch_id, str(tmp_path), 900, "UTC", 86_400)
+    plan = touched_ticks(spark, str(tmp_path), 1)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+
+
+def streamed(spark, source, out, check, closing, stream):
+    bars = spark.readStream.schema(BARS).option("maxFilesPerTrigger", 1).parquet(str(source))
+    write_available(stream(bars, closing), out, check)
+    return spark.read.parquet(out).toPandas().sort_values(["symbol", "ts_utc"], ignore_index=True)
+
+
+@pytest.mark.parametrize("kind", ["zigzag", "supertrend"])
+def test_state_machines_equal_the_batch_also_after_a_restart(spark, tmp_path, kind):
+    bars = pd.concat([walk("A", 400, seed=1), walk("B", 250, seed=2), walk("C", 1, seed=3)], ignore_index=True)
+    bars.loc[[5, 77, 401], ["high", "low", "close"]] = None
+    source, out, check = tmp_path / "bars", str(tmp_path / "out"), str(tmp_path / "check")
+    closing = open_closing(spark, T.StructType([BARS["symbol"], BARS["ts_utc"], *(BARS[c] for c in ("high", "low", "close"))]), str(tmp_path / "closing"))
+    if kind == "zigzag":
+        stream, batch = lambda b, c: stream_zigzag(b, 2.0, "1 day", c), lambda b: add_zigzag(b, 2.0)
+        values = ["zz_trend", "zz_bias"]
+    else:
+        stream, batch = lambda b, c: stream_supertrend(b, 10, 1.5, "1 day", c), add_supertrend_15
+        values = ["supertrend", "st_direction"]
+    parts = [bars[bars["ts_utc"].dt.day <= 5], bars[bars["ts_utc"].dt.day > 5]]
+    late = parts[0].sample(frac=1, random_state=1)                  # any order within a file
+    dropped(source, late, "a")
+    first = streamed(spark, source, out, check, closing, stream)
+    dropped(source, parts[1].sample(frac=1, random_state=2), "b")
+    second = streamed(spark, source, out, check, closing, stream)   # a new run resumes from the state store
+    close(spark, spark.read.parquet(closing).schema, "ts_utc", closing)
+    third = streamed(spark, source, out, check, closing, stream)
+    want = rows(batch(indexed(spark, bars)).select("symbol", "ts_utc", *values), "symbol", "ts_utc")
+    assert 0 < len(first) < len(second) < len(third) == len(want)
+    pd.testing.assert_frame_equal(third, want, check_dtype=False)
+
+
+def add_supertrend_15(bars):
+    return add_supertrend(bars, 10, 1.5)
