@@ -2,6 +2,7 @@
 
 import lzma
 import struct
+import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -14,7 +15,11 @@ from candlewright.operators.bars import (
 from candlewright.operators.htf import attach_asof
 from candlewright.sources.coverage import coverage, delta_hours, missing_hours
 from candlewright.sources.fixtures import event_ticks, order_ticks
+from candlewright.session import staging_root
+from candlewright.sources.ledger import take_new, taken_ticks
+from candlewright.sources.tick_source import apart, tick_stream, tick_table, write_tick_files
 from candlewright.sources.ticks import decode_files, divisor, path_keys, rejects, to_ticks
+from candlewright.streaming.runs import write_available
 
 BAR = ["symbol", "ts_utc", "open", "high", "low", "close", "volume"]
 
@@ -103,6 +108,66 @@ def tick_rejects(spark, root):
     return rejects(decode_files(files)).select("path", F.split_part("error", F.lit(":"), F.lit(1)).alias("reason")).distinct()
 
 
+#: Events as they come back from tick files: whole milliseconds, prices in hundred-thousandths.
+FILED = """SELECT upper(event_type) AS symbol, date_trunc('hour', ts) + to_milliseconds(
+  (minute(ts) * 60000 + floor(epoch_us(ts) % 60000000 / 1000))::BIGINT) AS ts, CAST(round(value * 100) AS BIGINT) / 100000.0::DOUBLE AS price,
+  CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS DOUBLE) AS volume FROM events"""
+
+
+def _filed(spark, root):
+    """A folder with the events as tick files."""
+    folder = f"{staging_root(spark)}/tick-files-{uuid.uuid4().hex}"
+    write_tick_files(event_ticks(spark, root).withColumn("price", F.round(F.col("price") * 100) / 100_000), folder)
+    return folder
+
+
+@query("tick_source", f"WITH t AS ({FILED}) SELECT * FROM t WHERE symbol IN ('CLICK', 'VIEW') AND ts >= '2024-01-09 06:30:00' AND ts < '2024-01-11'")
+def tick_source(spark, root):
+    """Two symbols and less than two days: files of other symbols and hours are not opened."""
+    ticks = apart(tick_table(spark, _filed(spark, root))).ticks
+    return ticks.where("symbol IN ('CLICK', 'VIEW') AND ts >= TIMESTAMP_NTZ '2024-01-09 06:30:00' AND ts < TIMESTAMP_NTZ '2024-01-11 00:00:00'").select(
+        "symbol", "ts", "price", "volume")
+
+
+@query("tick_source_stream", FILED)
+def tick_source_stream(spark, root):
+    """The same source as a stream, over all files."""
+    folder = _filed(spark, root)
+    ticks = apart(tick_stream(spark, folder, settleSeconds="0")).ticks.select("symbol", "ts", "price", "volume")
+    base = f"{staging_root(spark)}/stream-{uuid.uuid4().hex}"
+    write_available(ticks, f"{base}/ticks", f"{base}/checkpoint")
+    return spark.read.schema(ticks.schema).parquet(f"{base}/ticks")
+
+
+@query("ledger_runs", f"""WITH t AS ({FILED}), f AS (SELECT symbol, date_trunc('hour', ts) AS hour, count(*) AS n FROM t GROUP BY ALL),
+  r AS (SELECT 1 AS run_no, count(*) AS files, sum(n) AS ticks FROM f WHERE symbol <> 'VIEW'
+    UNION ALL SELECT 2, count(*), sum(n) FROM f WHERE symbol = 'VIEW'
+    UNION ALL SELECT 3, 0, 0
+    UNION ALL SELECT 3, count(*), sum(n) FROM f WHERE symbol = 'CLICK')
+  SELECT run_no::BIGINT AS run_no, files::BIGINT AS files, 0::BIGINT AS rejected, ticks::BIGINT AS ticks FROM r""")
+def ledger_runs(spark, root):
+    """Four runs: all but one symbol, that symbol, nothing new (which gives no number away), and a symbol whose files changed."""
+    base, folder = f"{staging_root(spark)}/ledger-{uuid.uuid4().hex}", _filed(spark, root)
+    ticks = apart(tick_table(spark, folder)).ticks
+    names = [r.symbol for r in ticks.where("symbol <> 'VIEW'").select("symbol").distinct().collect()]
+    runs = [take_new(spark, folder, base, symbols=names), take_new(spark, folder, base), take_new(spark, folder, base)]
+    write_tick_files(ticks.where("symbol = 'CLICK'").withColumn("price", F.col("price") + 1), folder)
+    runs.append(take_new(spark, folder, base))
+    return spark.createDataFrame(runs, "run_no long, run string, files long, rejected long, ticks long").drop("run")
+
+
+@query("ledger_ticks", FILED + " WHERE event_type <> 'view' UNION ALL "
+       + FILED.replace("AS BIGINT) / 100000", "AS BIGINT) + 50000) / 100000").replace("CAST(round", "(CAST(round") + " WHERE event_type = 'view'")
+def ledger_ticks(spark, root):
+    """Ticks of two runs, the second after one symbol's files were replaced: each file counts once, as it is now."""
+    base, folder = f"{staging_root(spark)}/ledger-{uuid.uuid4().hex}", _filed(spark, root)
+    take_new(spark, folder, base)
+    ticks = apart(tick_table(spark, folder)).ticks.where("symbol = 'VIEW'")
+    write_tick_files(ticks.withColumn("price", F.col("price") + 0.5), folder)
+    take_new(spark, folder, base)
+    return taken_ticks(spark, base).select("symbol", "ts", "price", "volume")
+
+
 def _hours(spark, root):
     """Hours with events as present hours."""
     return event_ticks(spark, root).select("symbol", bucket_start("ts", H1).alias("hour_ts")).distinct()

@@ -49,7 +49,7 @@ _NUMBERS = ["seq", "ms", "ask_raw", "bid_raw", "ask_vol", "bid_vol"]
 _FLUSH_ROWS = 250_000
 
 
-def _records(content: bytes, volume_type: str) -> list[np.ndarray]:
+def records_of(content: bytes, volume_type: str) -> list[np.ndarray]:
     """Whole records of one file; a short one at its end is left out."""
     if not content:
         raise ValueError("empty file")
@@ -71,7 +71,7 @@ def _decoder(volume_type: str):
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    part = _records(content, volume_type)
+                    part = records_of(content, volume_type)
                 except Exception as exc:  # any unreadable file becomes a reject row
                     bad.append((path, f"{type(exc).__name__}: {exc}"))
                     continue
@@ -125,9 +125,22 @@ def rejects(records: DataFrame) -> DataFrame:
     return records.where(F.col("error").isNotNull()).select("path", "error")
 
 
-def tick_files(spark: SparkSession, root: str) -> DataFrame:
-    return (spark.read.format("binaryFile").option("pathGlobFilter", FILE_GLOB)
-            .option("recursiveFileLookup", "true").load(root))
+def tick_files(spark: SparkSession, root: str, symbols: list[str] | None = None,
+               start: str | None = None, end: str | None = None) -> DataFrame:
+    """Tick files as ``binaryFile`` rows; their content is read only if it is selected.
+
+    Without symbols and days everything below ``root`` is listed. With them, ``root`` holds the symbols'
+    folders, spelt as asked for, and only folders of these symbols and days are looked into (first and last
+    day inclusive).
+    """
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", FILE_GLOB)
+    if symbols is None and start is None and end is None:
+        return reader.option("recursiveFileLookup", "true").load(root)
+    days = "*/*/*"
+    if start is not None or end is not None:
+        days = "{" + ",".join(f"{d:%Y/%m/%d}" for d in pd.date_range(start, end, freq="D")) + "}"
+    names = "*" if symbols is None else "{" + ",".join(symbols) + "}"
+    return reader.load(f"{root.rstrip('/')}/{names}/{days}/{FILE_GLOB}")
 
 
 class TickRead(NamedTuple):
