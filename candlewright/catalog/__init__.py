@@ -1,6 +1,6 @@
 """Registered queries over the given tables and the SQL that states their results."""
 
-from candlewright.catalog import checks, data, indicators, outcomes, strategy, streams, trigger
+from candlewright.catalog import checks, data, indicators, outcomes, stores, strategy, streams, trigger
 from candlewright.catalog.base import REGISTRY
 
-__all__ = ["REGISTRY", "checks", "data", "indicators", "outcomes", "strategy", "streams", "trigger"]
+__all__ = ["REGISTRY", "checks", "data", "indicators", "outcomes", "stores", "strategy", "streams", "trigger"]

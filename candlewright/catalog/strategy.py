@@ -105,7 +105,7 @@ def trades(spark, root):
 _STAGES = [("raw", "sig"), ("time", "sig_time"), ("rsi", "sig_rsi"), ("risk", "sig_risk")]
 
 
-def _funnel_sql() -> str:
+def funnel_sql() -> str:
     """One branch per stage, each comparing with the stage before."""
     parts = []
     for k, (name, col) in enumerate(_STAGES):
@@ -120,7 +120,7 @@ def _funnel_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-@query("funnel", f"{strategy_sql(allow=False)} {_funnel_sql()}")
+@query("funnel", f"{strategy_sql(allow=False)} {funnel_sql()}")
 def signal_funnel(spark, root):
     return funnel.signal_funnel(run_strategy(bars(spark, root), REJECT))
 

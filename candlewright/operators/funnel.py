@@ -92,16 +92,28 @@ def funnel_flags(df: DataFrame, session: Column, rsi_long: Column, rsi_short: Co
     return out.withColumn("sig_rsi", F.when(F.coalesce(passes, F.lit(False)), F.col("sig_time")))
 
 
-def signal_funnel(df: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """One row per stage from one pass over the flags ``sig_<stage>`` and ``adjusted``."""
+def flow_columns() -> list[Column]:
+    """Signals of each side at each stage, and the adjusted ones."""
     columns = []
     for stage in STAGES:
         for side in ("BUY", "SELL"):
             columns.append(F.count_if(F.col(f"sig_{stage}") == side).alias(f"{stage}_{side.lower()}"))
     for side in ("BUY", "SELL"):
         columns.append(F.count_if(F.col("adjusted") & (F.col("sig_risk") == side)).alias(f"adj_{side.lower()}"))
-    wide = df.groupBy(*keys).agg(*columns)
+    return columns
+
+
+def flow_names() -> list[str]:
+    return [f"{stage}_{side}" for stage in (*STAGES, "adj") for side in ("buy", "sell")]
+
+
+def signal_funnel(df: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """One row per stage from one pass over the flags ``sig_<stage>`` and ``adjusted``."""
+    return flow_rows(df.groupBy(*keys).agg(*flow_columns()), keys)
+
 
+def flow_rows(wide: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows (step, stage, counts, shares) of counts named as ``flow_names`` has them."""
     entries = []
     for i, stage in enumerate(STAGES):
         before = STAGES[max(i - 1, 0)]

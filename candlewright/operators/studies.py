@@ -7,7 +7,7 @@ merges any number of them so that they share scans and shuffles.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,13 +51,16 @@ def run_studies(bars: DataFrame, *studies: Study, gates: bool = True,
         out = out.withColumn("trade_date", F.to_date("ts")).withColumns(daily)
     if steps:
         out = over_blocks(out, max(s.lookback for s in studies), steps, block_rows)
-    if gates:
-        out = out.withColumns({
-            f"{s.name}_{side}": F.coalesce(gate, F.lit(False))
-            for s in studies for side, gate in (("long", s.long), ("short", s.short))
-            if gate is not None
-        })
-    return out
+    return study_gates(out, studies) if gates else out
+
+
+def study_gates(df: DataFrame, studies: Sequence[Study]) -> DataFrame:
+    """Add ``<name>_long`` and ``<name>_short`` of studies whose columns are there; undecided is false."""
+    return df.withColumns({
+        f"{s.name}_{side}": F.coalesce(gate, F.lit(False))
+        for s in studies for side, gate in (("long", s.long), ("short", s.short))
+        if gate is not None
+    })
 
 
 # --- values -----------------------------------------------------------------

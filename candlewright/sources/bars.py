@@ -28,6 +28,16 @@ def read_bars_csv(spark: SparkSession, path: str, symbol: str, **columns: str) -
         *[c for c in typed[1:]])
 
 
+def read_bars_csv_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Bars as ``write_bars`` has them in CSV, one folder per symbol; a filter on ``symbol`` prunes folders.
+
+    The columns are in the order they were written, and typed without a look at the data.
+    """
+    schema = T.StructType([*CSV_SCHEMA.fields, T.StructField("symbol", T.StringType())])
+    rows = spark.read.schema(schema).option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+    return rows.select("symbol", F.col("timestamp").alias("ts_utc"), F.col("timestamp").alias("ts"), *OHLCV)
+
+
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
     """The Parquet bar table; filters on its folder columns prune, others reach the scan."""
     schema = T.StructType([*BARS.fields[1:], BARS.fields[0], T.StructField("trade_date", T.DateType())])
@@ -76,6 +86,29 @@ def write_trades(trades: DataFrame, path: str, mode: str = "errorifexists") -> N
     _write_csv(trades, TRADE_COLUMNS, path, mode)
 
 
+_KINDS = {"symbol": "string", "ts": "timestamp_ntz", "candle_type": "int", "we_buy": "boolean", "we_sell": "boolean",
+          "signal": "string", "comment": "string"}
+
+
+def _read_csv(spark: SparkSession, wanted: list[str], path: str) -> DataFrame:
+    named = spark.read.option("header", True).csv(path)
+    return named.select(*(F.col(c).cast(_KINDS.get(c, "double")).alias(c) for c in ["symbol", *wanted] if c in named.columns))
+
+
+def read_signals(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_signals`` wrote, by the names in its header."""
+    return _read_csv(spark, SIGNAL_COLUMNS, path)
+
+
+def read_trades(spark: SparkSession, path: str) -> DataFrame:
+    return _read_csv(spark, TRADE_COLUMNS, path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """Nested report rows; their fields are taken from the files."""
+    return spark.read.json(path)
+
+
 def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Nested report rows as JSON lines, one per symbol or parameter set."""
     report.write.mode(mode).json(path)
