@@ -4,14 +4,20 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from candlewright.catalog.base import H1, M15, bars_sql, event_bars, query
+from candlewright.catalog.base import (
+    H1, M15, bars_sql, event_bars, gate_sql, query, r6, show, smooth_sql)
 from candlewright.catalog.data import BAR
-from candlewright.catalog.indicators import I15, KEY, gate_sql, over, r6, sma_sql, show
+from candlewright.catalog.indicators import I15, KEY, R1H, sma_sql
 from candlewright.catalog.strategy import CLAMP, REJECT, funnel_sql, strategy_sql
 from candlewright.operators import studies as st
+from candlewright.operators.blocks import index_bars
+from candlewright.operators.resumed import carry_of, resume_studies
+from candlewright.operators.studies import run_studies
+from candlewright.operators.summaries import describe_days, rank_error, store_summaries, stored_summaries
 from candlewright.plans.outputs import read_output, run_funnel, write_run
 from candlewright.plans.strategy import run_strategy
-from candlewright.session import staging_root
+from candlewright.schema import BARS, OHLCV
+from candlewright.session import stage, staging_root
 from candlewright.sources import bars as sinks
 from candlewright.sources.block_store import store_blocks, studies_on_blocks
 
@@ -56,6 +62,49 @@ def block_store_studies(spark, root):
     return show(df, "symbol", "ts_utc", *(c.alias(k) for k, c in both.items()), roc="roc")
 
 
+_DAYS = "ts >= '2024-01-05' AND ts < '2024-01-21'"
+
+
+@query("dq_summaries", bars_sql(M15) + f""", v AS (UNPIVOT (SELECT symbol, ts, open, high, low, close, volume FROM b WHERE {_DAYS}) ON open, high, low, close, volume INTO NAME "column" VALUE value)
+  SELECT symbol, "column", count(*) AS count, round(avg(value), 6) + 0.0 AS mean, round(stddev_samp(value), 6) + 0.0 AS std, min(value) AS min, max(value) AS max,
+  true AS p25_near, true AS p50_near, true AS p75_near FROM v GROUP BY 1, 2""")
+def dq_summaries(spark, root):
+    """Sixteen days from stored summaries, which came in two parts; are the quartiles as near the wanted ranks as stated?"""
+    bars, path = event_bars(spark, root), _folder(spark, "summaries")
+    late = F.dayofmonth("ts_utc") % 3 == 0
+    store_summaries(bars.where(~late), path)
+    store_summaries(bars.where(late), path)
+    days = F.col("trade_date").between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-20").cast("date"))
+    got = describe_days(stored_summaries(spark, path).where(days))
+    values = bars.where(F.to_date("ts_utc").between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-20").cast("date"))).select(
+        "symbol", F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in OHLCV))))
+    quartiles = got.select("symbol", "column", *(F.col(p).alias(f"_{p}") for p in ("p25", "p50", "p75")))
+    n, near = F.count(F.lit(1)), {}
+    for p, share in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+        below, upto = F.count_if(F.col("value") < F.col(f"_{p}")), F.count_if(F.col("value") <= F.col(f"_{p}"))
+        near[f"{p}_near"] = (below <= (share + rank_error()) * n) & (upto >= (share - rank_error()) * n)
+    ranks = values.join(quartiles, ["symbol", "column"]).groupBy("symbol", "column").agg(*(c.alias(k) for k, c in near.items()))
+    return show(got.join(ranks, ["symbol", "column"]), "symbol", "column", "count", "min", "max", *near, mean="mean", std="std")
+
+
+_CARRIED = {"atr": ("tr", 1 / 14), "ema": ("close", 2 / 21), "g": ("greatest(coalesce(close - pc, 0), 0)", 1 / 14),
+            "l": ("greatest(coalesce(pc - close, 0), 0)", 1 / 14)}
+
+
+@query("resumed_studies", f"""{R1H}, {smooth_sql('r', 'i', _CARRIED)} SELECT i.symbol, i.ts AS ts_utc, i.n AS bar_no, {r6('r.atr', 'atr')}, {r6('r.ema', 'ema')},
+  {r6('CASE WHEN i.n < 13 OR r.l = 0 THEN 100.0::DOUBLE ELSE 100.0::DOUBLE - 100.0::DOUBLE / (1 + r.g / r.l) END', 'rsi')}
+  FROM i JOIN r USING (symbol, n) WHERE i.ts >= '2024-01-20'""")
+def resumed_studies(spark, root):
+    """Two parts carried on from the bars before the 20th; only their own bars are read."""
+    bars, chosen = event_bars(spark, root, H1), (st.atr(14), st.ema(20), st.rsi(14))
+    day = F.dayofmonth("ts_utc")
+    plain = bars.select(*BARS.fieldNames())
+    history = run_studies(index_bars(stage(plain.where(day < 20), "history")), *chosen)
+    first = resume_studies(plain.where(day.between(20, 25)), stage(carry_of(history, *chosen), "carry"), *chosen)
+    second = resume_studies(plain.where(day > 25), stage(first.carry, "carry"), *chosen)
+    return show(first.bars.unionByName(second.bars), "symbol", "ts_utc", "bar_no", atr="atr", ema="ema", rsi="rsi")
+
+
 def _written(spark, root, cfg):
     base = _folder(spark, "outputs")
     return base, write_run(run_strategy(event_bars(spark, root, H1), cfg), cfg, base)
