@@ -13,6 +13,7 @@ from candlewright.streaming.maintained import maintain_bars, maintained_bars, st
 from candlewright.streaming.runs import late_rows, write_available
 from candlewright.streaming.structure import stream_supertrend, stream_zigzag
 from candlewright.streaming.tick_bars import stream_bars, stream_records, stream_tick_files
+from candlewright.streaming.watch import watch
 
 BAR = ["symbol", "ts_utc", "open", "high", "low", "close", "volume"]
 
@@ -170,3 +171,30 @@ def test_state_machines_equal_the_batch_also_after_a_restart(spark, tmp_path, ki
 
 def add_supertrend_15(bars):
     return add_supertrend(bars, 10, 1.5)
+
+
+def test_gaps_silence_and_order_faults(spark, tmp_path):
+    source, out, check = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
+    schema = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("ts_utc", T.TimestampNTZType()), T.StructField("seq", T.LongType())])
+    closing = open_closing(spark, schema, str(tmp_path / "closing"))
+    start = pd.Timestamp("2024-01-01")
+
+    def arrive(name, **hours):
+        rows_ = [(s, start + pd.Timedelta(hours=h), i) for s, hs in hours.items() for i, h in enumerate(hs)]
+        dropped(source, pd.DataFrame(rows_, columns=["symbol", "ts_utc", "seq"]).sample(frac=1, random_state=0), name)
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        write_available(watch(stream, 3600, 86_400, delay="5 hours", closing=closing), out, check)
+        got = spark.read.parquet(out).toPandas()
+        hour = lambda c: (got[c] - start) / pd.Timedelta(hours=1)
+        return sorted((s, k, a, None if b != b else b) for s, k, a, b in zip(got["symbol"], got["kind"], hour("since"), hour("until")))
+
+    got = arrive("a", A=[0, 1, 3, 2, 4], B=[0, 1], C=[10, 8, 9, 9])
+    assert got == [("A", "order", 3, 2), ("C", "order", 10, 8)]
+    got = arrive("b", A=[9, 12, 40])                                 # B is silent though no bar of its own comes
+    assert got == [("A", "gap", 4, 9), ("A", "gap", 9, 12), ("A", "order", 3, 2), ("B", "silent", 1, None), ("C", "order", 10, 8), ("C", "silent", 10, None)]
+    got = arrive("c", B=[41, 42], A=[41, 80])
+    assert ("B", "gap", 1, 41) in got and ("A", "gap", 12, 40) in got and ("A", "silent", 12, None) not in got
+    close(spark, schema, "ts_utc", closing)
+    got = arrive("d", A=[0])
+    assert [g for g in got if g[0] == "A" and g[1] != "order"] == [("A", "gap", 4, 9), ("A", "gap", 9, 12), ("A", "gap", 12, 40), ("A", "gap", 41, 80), ("A", "silent", 41, None), ("A", "silent", 80, None)]
+    assert ("B", "silent", 42, None) in got and ("A", "order", 80, 0) in got
