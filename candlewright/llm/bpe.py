@@ -279,16 +279,16 @@ class Decoder:
         return text
 
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", kept_words: int = KEPT_WORDS) -> DataFrame:
     """(doc_id, ids, n_tokens, decoded) of every row of ``docs``.
 
     ``ids`` are little-endian unsigned 32-bit integers. ``path`` is a byte-level BPE file of the
     tokenizers library, readable on every executor; the ids are those of its encode() without special
     tokens added, truncation or padding, the text is that of its decode(ids, skip_special_tokens=False).
-    A null text counts as empty. No shuffle.
+    A null text counts as empty. No shuffle. A worker keeps the ids of ``kept_words`` words at most.
     """
     return _coded(docs, path, id_col, text_col, "ids binary, n_tokens long, decoded string", lambda ids, text: {
-        "ids": ids, "n_tokens": len(ids) // 4, "decoded": text})
+        "ids": ids, "n_tokens": len(ids) // 4, "decoded": text}, kept_words)
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,10 +299,11 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             "decoded_sha256": hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()})
 
 
-def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, columns: str, row: Callable) -> DataFrame:
+def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, columns: str, row: Callable,
+           kept_words: int = KEPT_WORDS) -> DataFrame:
     def run(keys: list, texts: list) -> dict[str, object]:
         vocabulary = Vocabulary.at(path)
-        encoder = held(("encoder", path), lambda: Encoder(vocabulary))
+        encoder = held(("encoder", path, kept_words), lambda: Encoder(vocabulary, kept_words=kept_words))
         rows = []
         for part in spans(texts):
             for ids in encoder.encode(texts[part]):

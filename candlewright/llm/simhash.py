@@ -12,6 +12,7 @@ Every batch sends on the edges of a spanning forest only, never all its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import product
 
 import numpy as np
@@ -23,6 +24,8 @@ from candlewright.llm.components import components, forest
 from candlewright.llm.lines import across, jaccard
 from candlewright.llm.tables import Scratch, id_and_text, map_batches
 
+#: Pairs of large tiles that are handed to Python at once, each a megabyte and more.
+HANDED = 8
 #: Fingerprints of a block, about; two blocks are compared at once.
 BLOCK = 2048
 #: A fingerprint, how many shingles the text has, and one bit per 512th of the hash values: whether an odd number of
@@ -198,6 +201,18 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return map_batches(rows, run, "doc_id long, fp long, th long, packed binary", "doc_id", "text", "th")
 
 
+@contextmanager
+def _few_at_once(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside hand rows to Python in batches of ``HANDED``."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(HANDED))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, radius: int = 12,
              least: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``docs`` that are alone or have the smallest id of their group; all columns stay.
@@ -213,7 +228,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th", "packed"))).alias("first")
     classes = scratch.put(prints.groupBy("fp").agg(first).select(
         "fp", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("th"), F.col("first.packed").alias("packed")), "classes")
-    close = scratch.put(plausible(classes.where("first_id IS NOT NULL").select("fp", "packed"), radius, least).distinct(), "close")
+    with _few_at_once(docs.sparkSession):
+        close = scratch.put(plausible(classes.where("first_id IS NOT NULL").select("fp", "packed"), radius, least).distinct(), "close")
     used = (close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
             .join(classes.select(F.col("fp").alias("id"), "first_id", "th"), "id"))
     texts = id_and_text(docs, id_col, text_col).withColumn("own", F.xxhash64("text"))
