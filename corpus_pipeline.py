@@ -38,7 +38,8 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """(doc_id, n_tokens, ids, decoded_sha256) of what is left."""
     import public_tokenizers
 
-    coded = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # workers go on to other stages with what they keep
+    coded = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), kept_words=100_000)
     return coded.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
