@@ -89,7 +89,8 @@ def watch(arrivals: DataFrame, bar_seconds: int, silent_seconds: int = 86_400, t
     ``order``: a row came after one of a later time; since and until are the times of both. ``gap``: two
     neighbours in time are more than ``bar_seconds`` apart. ``silent``: nothing for ``silent_seconds`` after
     since; a gap that ends later is reported as well. Order is that of ``sequence`` within a micro-batch and of
-    the micro-batches; rows without a time are left out, and rows of one time are one to the gaps.
+    the micro-batches; rows without a time are left out, and rows of one time are one to the gaps. Rows later
+    than the delay are Spark's late rows (``late_rows`` counts them) and take no part, in order neither.
     """
     use_rocksdb(arrivals.sparkSession)
     rows = arrivals.select("symbol", F.col(time).alias("ts_utc"), F.col(sequence).cast("long").alias("seq"))
