@@ -25,7 +25,6 @@ from candlewright.llm.tables import Scratch, map_batches, spans
 
 #: A perfect difference cover: every step from 1 to 20 is one difference modulo 21.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
-_KNOWN = 1 << 31
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -53,8 +52,8 @@ def rolling(h: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
         width, power = 2 * width, np.uint64(int(power) ** 2 & 0xFFFFFFFFFFFFFFFF)
 
 
-def _send(keys: list[np.ndarray], rows: np.ndarray, places: np.ndarray) -> dict[str, object]:
-    """Which of equal keys stand for the others; ``rows`` and ``places`` say where they are."""
+def _send(keys: list[np.ndarray], rows: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(keys, places): which of equal keys stand for the others; a place ~at is known to repeat."""
     order = np.lexsort(keys[::-1])
     new = np.ones(len(order), bool)
     for k in keys[:1]:
@@ -65,29 +64,37 @@ def _send(keys: list[np.ndarray], rows: np.ndarray, places: np.ndarray) -> dict[
     counts = np.diff(np.append(starts, len(order)))
     known, extra = np.empty(len(order), bool), np.empty(len(order), bool)
     known[order], extra[order] = np.repeat(counts > 1, counts), ~new
-    at = np.flatnonzero(extra)
+    others = np.flatnonzero(extra)
     own = [k.copy() for k in keys]
-    own[0][at] = _mix(own[0][at] ^ _mix(rows[at].astype(np.uint64) * _BASE[1] + places[at].astype(np.uint64)))
-    return {"keys": own, "places": places | np.where(known, _KNOWN, 0)}
+    own[0][others] = _mix(own[0][others] ^ _mix(rows[others] * _BASE[1] + at[others].astype(np.uint64)))
+    return own, np.where(known, ~at, at)
+
+
+def _sent(keys: list[list[np.ndarray]], which: list[np.ndarray], at: list[np.ndarray], ids: list, ths: list) -> dict[str, object]:
+    which, at = np.concatenate(which), np.concatenate(at)
+    th = np.array(ths, np.int64)[which]
+    # rows of all batches, equal ones too, have keys of their own
+    own, places = _send([np.concatenate(k) for k in keys], _mix(th.view(np.uint64)) + which.astype(np.uint64), at)
+    out = {name: k.view(np.int64) for name, k in zip(("key", "more"), own)}
+    return out | {"doc_id": [ids[i] for i in which.tolist()], "th": th, "place": places}
 
 
 def _row_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows are told apart by id and a hash of the text, so rows of one id may differ."""
+    """Rows are told apart by id and a 64-bit hash of the text, so rows of one id may differ."""
     text = F.col(text_col).cast("binary")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       F.coalesce(F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(0)).alias("th"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def _repeats(sent: DataFrame, keys: list[str]) -> DataFrame:
     """(doc_id, th, at) of the rows whose key is there more than once."""
     many = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
-    known = F.col("place").bitwiseAND(F.lit(_KNOWN)) != 0
-    return sent.withColumn("many", many | known).where("many").select(
-        "doc_id", F.shiftright("place", 32).alias("th"), F.col("place").bitwiseAND(F.lit(_KNOWN - 1)).cast("int").alias("at"))
+    at = F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))
+    return sent.withColumn("many", many | (F.col("place") < 0)).where("many").select("doc_id", "th", at.cast("int").alias("at"))
 
 
 def _lists(found: DataFrame) -> DataFrame:
-    return found.groupBy("doc_id", "th").agg(F.collect_list("at").alias("ats"))
+    """Each place once, however many equal rows there are."""
+    return found.groupBy("doc_id", "th").agg(F.collect_set("at").alias("ats"))
 
 
 def _with(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -118,14 +125,11 @@ def repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
                 at = np.flatnonzero(np.resize(cover, len(words) - anchor + 1))
                 keys.append(rolling(word_hashes(words), anchor, _BASE[0])[at])
                 which.append(np.full(len(at), i))
-                places.append(at | ths[i] << 32)
+                places.append(at)
             if keys:
-                which = np.concatenate(which)
-                sent = _send([np.concatenate(keys)], which, np.concatenate(places))
-                yield {"key": sent["keys"][0].view(np.int64), "doc_id": [ids[i] for i in which.tolist()],
-                       "place": sent["places"]}
+                yield _sent([keys], which, places, ids, ths)
 
-    sent = map_batches(rows, anchors, "key long, doc_id long, place long", "doc_id", "th", "text")
+    sent = map_batches(rows, anchors, "key long, doc_id long, th long, place int", "doc_id", "th", "text")
     anchors_found = scratch.put(_lists(_repeats(sent, ["key"])), "anchors")
 
     def windows(ids: list, ths: list, texts: list, lists: list) -> Iterator[dict[str, object]]:
@@ -143,13 +147,11 @@ def repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
                 first.append(rolling(h, window, _BASE[0])[at])
                 second.append(rolling(_mix(h ^ _BASE[1]), window, _BASE[1])[at])
                 which.append(np.full(len(at), i))
-                places.append(at | ths[i] << 32)
-            which = np.concatenate(which)
-            sent = _send([np.concatenate(first), np.concatenate(second)], which, np.concatenate(places))
-            yield {"key": sent["keys"][0].view(np.int64), "more": sent["keys"][1].view(np.int64),
-                   "doc_id": [ids[i] for i in which.tolist()], "place": sent["places"]}
+                places.append(at)
+            yield _sent([first, second], which, places, ids, ths)
 
-    sent = map_batches(_with(rows, anchors_found, "inner"), windows, "key long, more long, doc_id long, place long", "doc_id", "th", "text", "ats")
+    sent = map_batches(_with(rows, anchors_found, "inner"), windows,
+                       "key long, more long, doc_id long, th long, place int", "doc_id", "th", "text", "ats")
     found = scratch.put(_repeats(sent, ["key", "more"]), "windows")
     scratch.drop("anchors")
     return found
@@ -172,7 +174,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
                 words = text.split() if text else []
                 gone = np.zeros(len(words) + 1, np.int64)
                 if ats:
-                    ats = np.unique(ats)
+                    ats = np.array(ats)
                     gone[ats] += 1
                     np.add.at(gone, ats + window, -1)
                     gone = np.cumsum(gone)
