@@ -2,11 +2,15 @@
 
 Documents are dealt out by ranges of their id, so each shard is a run of documents
 in order and no task holds more than its range. A shard is cut into blocks of about
-``block_ids`` ids at document ends; a block has its own grammar. Rounds of Re-Pair
-count the adjacent pairs of the whole block, replace the frequent ones by new
-symbols, and go on with the shorter sequence. A block is one row: the rules, the
-length each rule expands to, the remaining sequence, and where documents end. Ids
-from any place are found by adding up lengths and expanding only what is asked for.
+``block_ids`` ids at document ends; a block has its own grammar. Re-Pair replaces
+frequent adjacent pairs by new symbols until no pair is there often enough to save
+space: a rule costs two symbols and a length and saves a symbol where it is used, so
+three uses pay. Pairs that overlap give way to the more frequent one, and a round
+replaces all that are left; pairs seen too rarely can't come back and are not looked
+at again. A block is one row: the rules, the length each rule expands to, the
+remaining sequence, all in as many bits as the largest number takes, and where
+documents end. Ids from any place are found by adding up lengths and expanding only
+what is asked for.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +34,13 @@ from candlewright.llm.tables import Scratch, id_and_text, map_batches, spans
 
 #: Ids of a block, about; one document may be longer.
 BLOCK_IDS = 1 << 20
-#: Rules of a block at most, rounds, and the times a pair must be there to be replaced.
-RULES, ROUNDS, LEAST = 12_000, 6, 12
+#: Uses from which a rule saves space.
+LEAST = 3
+#: Ids read back at a time, about.
+READ_IDS = 1 << 16
 
 BLOCK_SCHEMA = ("shard long, block long, n_ids long, first_rule long, doc_ids array<long>, doc_ends binary, "
-                "rules binary, lengths binary, sequence binary")
+                "n_rules int, longest long, n_symbols int, rules binary, lengths binary, sequence binary")
 
 
 @dataclass
@@ -45,103 +52,120 @@ class Grammar:
     lengths: np.ndarray     # of each rule
     sequence: np.ndarray
 
-    @property
-    def sizes(self) -> np.ndarray:
-        """Ids each symbol of the sequence stands for."""
-        out = np.ones(len(self.sequence), np.int64)
-        rule = self.sequence >= self.first_rule
-        out[rule] = self.lengths[self.sequence[rule] - self.first_rule]
+    def sizes(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids each symbol stands for."""
+        out = np.ones(len(symbols), np.int64)
+        rule = symbols >= self.first_rule
+        out[rule] = self.lengths[symbols[rule] - self.first_rule]
         return out
 
+    @cached_property
+    def ends(self) -> np.ndarray:
+        """Ids up to the end of each symbol of the sequence."""
+        return np.cumsum(self.sizes(self.sequence))
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """All ids of some symbols, one level of rules at a time."""
-        while (rule := symbols >= self.first_rule).any():
-            at = np.cumsum(1 + rule) - 1 - rule
-            out = np.empty(len(symbols) + int(rule.sum()), np.int64)
-            out[at] = symbols
-            pair = self.rules[symbols[rule] - self.first_rule]
-            out[at[rule]], out[at[rule] + 1] = pair[:, 0], pair[:, 1]
-            symbols = out
-        return symbols
+        """All ids of some symbols; lengths say where the halves of a rule go."""
+        size = self.sizes(symbols)
+        at = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.int64)
+        while len(symbols):
+            rule = symbols >= self.first_rule
+            out[at[~rule]] = symbols[~rule]
+            at, pair = at[rule], self.rules[symbols[rule] - self.first_rule]
+            at = np.stack([at, at + self.sizes(pair[:, 0])], axis=1).ravel()
+            symbols = pair.ravel()
+        return out
 
     def slice(self, start: int, count: int) -> np.ndarray:
         """Ids start to start + count, expanding no other symbols than those they lie in."""
-        ends = np.cumsum(self.sizes)
-        first, last = np.searchsorted(ends, [start, start + count - 1], side="right") if count else (0, -1)
-        skip = start - (int(ends[first - 1]) if first else 0)
+        first, last = np.searchsorted(self.ends, [start, start + count - 1], side="right") if count else (0, -1)
+        skip = start - (int(self.ends[first - 1]) if first else 0)
         return self.expand(self.sequence[first:last + 1])[skip:skip + count]
 
 
-def repair(ids: np.ndarray, first_rule: int, rules: int = RULES, rounds: int = ROUNDS, least: int = LEAST) -> Grammar:
-    """Grammar of ``ids``, all below ``first_rule``; of pairs that overlap the left one is replaced."""
-    sequence = np.asarray(ids, np.int64)
-    made, lengths = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-    for turn in range(rounds):
-        room = (rules - len(made)) // (rounds - turn)
-        if len(sequence) < 2 * least or room < 1:
-            break
-        key = (sequence[:-1] << 32) | sequence[1:]
-        order = np.sort(key)
-        new = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
-        counts = np.diff(np.append(new, len(order)))
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
+def repair(ids: np.ndarray, first_rule: int, least: int = LEAST) -> Grammar:
+    """Grammar of ``ids``, all below ``first_rule``, in which no pair is left ``least`` times (2 or more)."""
+    sequence = np.array(ids, np.int64)
+    grammar = Grammar(first_rule, np.zeros((0, 2), np.int64), np.zeros(0, np.int64), sequence)
+    # pairs that may be there often enough: all copies of a pair or none
+    opened = np.ones(max(len(sequence) - 1, 0), bool)
+    while (at := np.flatnonzero(opened)).size >= least:
+        key = sequence[at] << 32 | sequence[at + 1]
+        # every other one of aaaa overlaps no copy of itself
+        again = np.zeros(len(at), bool)
+        again[1:] = (key[1:] == key[:-1]) & (at[1:] == at[:-1] + 1)
+        turn = np.arange(len(at))
+        turn -= np.maximum.accumulate(np.where(again, 0, turn))
+        apart = np.flatnonzero(turn % 2 == 0)
+        order = np.argsort(key[apart])
+        known = key[apart][order]
+        new = np.concatenate(([True], known[1:] != known[:-1]))
+        starts = np.flatnonzero(new)
+        counts = np.diff(np.append(starts, len(order)))
+        often = counts >= least
+        if not often.any():
             break
-        if len(often) > room:
-            often = np.sort(often[np.argsort(-counts[often], kind="stable")[:room]])
-        chosen = order[new[often]]
-        slots = np.searchsorted(chosen, key).clip(max=len(chosen) - 1) if len(chosen) < 64 else _slots(chosen, key)
-        hit = chosen[slots] == key
-        at = np.arange(len(hit))
-        run = at - np.maximum.accumulate(np.where(hit, -1, at))
-        hit &= run % 2 == 1
-        pairs = np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1)
-        size = np.ones(pairs.shape, np.int64)
-        old = pairs >= first_rule
-        size[old] = lengths[pairs[old] - first_rule]
-        out = sequence.copy()
-        out[:-1][hit] = first_rule + len(made) + slots[hit]
-        keep = np.ones(len(out), bool)
-        keep[1:] = ~hit
-        sequence = out[keep]
-        made, lengths = np.concatenate([made, pairs]), np.concatenate([lengths, size.sum(axis=1)])
-    return Grammar(first_rule, made, lengths, sequence)
-
-
-def _slots(chosen: np.ndarray, key: np.ndarray, bits: int = 18) -> np.ndarray:
-    """For each key the place in ``chosen`` where it is, if it is there, by a hash table."""
-    mul, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - bits)
-    where = ((chosen.astype(np.uint64) * mul) >> shift).astype(np.int64)
-    found = ((key.astype(np.uint64) * mul) >> shift).astype(np.int64)
-    table = np.zeros(1 << bits, np.int64)
-    table[where] = np.arange(len(chosen))
-    out = table[found]
-    alone = np.bincount(where, minlength=1 << bits)
-    shared = np.flatnonzero(alone[found] > 1)
-    out[shared] = np.searchsorted(chosen, key[shared]).clip(max=len(chosen) - 1)
-    return out
-
-
-def _width(top: int) -> str:
-    return "<u2" if top <= 1 << 16 else "<u4"
+        pair = np.empty(len(at), np.int64)
+        pair[apart[order]] = np.cumsum(new) - 1
+        overlap = np.flatnonzero(turn % 2)
+        pair[overlap] = pair[overlap - 1]
+        opened[at[~often[pair]]] = False
+
+        # where pairs overlap, the one of more copies (in steps of a fourth root of two) goes first
+        mixed = np.arange(len(counts)) * 0x9E3779B1 & 0xFFFFFFFF
+        rank = np.where(often, (4 * np.log2(counts)).astype(np.int64) << 32 | mixed, -1)
+        weight = np.full(len(sequence) + 1, -1, np.int64)
+        weight[at[apart] + 1] = rank[pair[apart]]
+        place = apart[often[pair[apart]]]
+        w = at[place] + 1
+        place = place[(weight[w] > weight[w - 1]) & (weight[w] > weight[np.minimum(w + 1, len(sequence))])]
+        used = np.bincount(pair[place], minlength=len(counts)) >= least
+        place = place[used[pair[place]]]
+        w = at[place]
+        name = np.cumsum(used) - 1 + first_rule + len(grammar.rules)
+        rules = np.stack([known[starts[used]] >> 32, known[starts[used]] & 0xFFFFFFFF], axis=1)
+        lengths = grammar.sizes(rules[:, 0]) + grammar.sizes(rules[:, 1])
+        sequence[w] = name[pair[place]]
+        keep = np.ones(len(sequence), bool)
+        keep[w + 1] = False
+        opened = np.append(opened, False)
+        opened[w] = True
+        opened[np.maximum(w - 1, 0)] = True
+        sequence, opened = sequence[keep], opened[keep][:-1]
+        grammar = Grammar(first_rule, np.concatenate([grammar.rules, rules]), np.concatenate([grammar.lengths, lengths]), sequence)
+    return grammar
+
+
+def pack_bits(numbers: np.ndarray, top: int) -> bytes:
+    """Numbers up to ``top`` (below 2 ** 32) in as many bits as that takes."""
+    bits = np.unpackbits(numbers.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    return np.packbits(bits[:, :int(top).bit_length()], bitorder="little").tobytes()
+
+
+def unpack_bits(packed: bytes, count: int, top: int) -> np.ndarray:
+    width = int(top).bit_length()
+    bits = np.zeros((count, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(np.frombuffer(packed, np.uint8), count=count * width, bitorder="little").reshape(count, width)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel().astype(np.int64)
 
 
 def _pack(shard: int, block: int, doc_ids: list, coded: list[bytes], first_rule: int) -> dict[str, object]:
     ids = np.frombuffer(b"".join(coded), "<u4")
     grammar = repair(ids, first_rule)
-    kind = _width(first_rule + len(grammar.rules))
+    top, longest = first_rule + len(grammar.rules), int(grammar.lengths.max(initial=0))
     return {
         "shard": shard, "block": block, "n_ids": len(ids), "first_rule": first_rule, "doc_ids": doc_ids,
         "doc_ends": np.cumsum([len(c) // 4 for c in coded]).astype("<u8").tobytes(),
-        "rules": grammar.rules.astype(kind).tobytes(), "lengths": grammar.lengths.astype("<u4").tobytes(),
-        "sequence": grammar.sequence.astype(kind).tobytes()}
+        "n_rules": len(grammar.rules), "longest": longest, "n_symbols": len(grammar.sequence),
+        "rules": pack_bits(grammar.rules.ravel(), top), "lengths": pack_bits(grammar.lengths, longest),
+        "sequence": pack_bits(grammar.sequence, top)}
 
 
-def unpack(first_rule: int, rules: bytes, lengths: bytes, sequence: bytes) -> Grammar:
-    lengths = np.frombuffer(lengths, "<u4").astype(np.int64)
-    kind = _width(first_rule + len(lengths))
-    return Grammar(first_rule, np.frombuffer(rules, kind).astype(np.int64).reshape(-1, 2), lengths,
-                   np.frombuffer(sequence, kind).astype(np.int64))
+def unpack(first_rule: int, n_rules: int, longest: int, n_symbols: int, rules: bytes, lengths: bytes, sequence: bytes) -> Grammar:
+    top = first_rule + n_rules
+    return Grammar(first_rule, unpack_bits(rules, 2 * n_rules, top).reshape(-1, 2),
+                   unpack_bits(lengths, n_rules, longest), unpack_bits(sequence, n_symbols, top))
 
 
 def write_ids(docs: DataFrame, path: str, scratch: Scratch, end_id: int | None = 2, id_col: str = "doc_id",
@@ -195,13 +219,12 @@ def block_starts(blocks: DataFrame) -> DataFrame:
 
 def read_documents(blocks: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the blocks."""
-    columns = ["shard", "block", "first_rule", "doc_ids", "doc_ends", "rules", "lengths", "sequence"]
+    columns = ["shard", "block", "doc_ids", "doc_ends", "first_rule", "n_rules", "longest", "n_symbols", "rules", "lengths", "sequence"]
 
     def run(*lists: list) -> dict[str, object]:
         out: dict[str, list] = {k: [] for k in ("shard", "block", "doc_id", "inside", "n_tokens", "ids_crc32")}
-        for shard, block, first_rule, doc_ids, doc_ends, rules, lengths, sequence in zip(*lists):
-            grammar = unpack(first_rule, rules, lengths, sequence)
-            ids = grammar.expand(grammar.sequence).astype("<u4")
+        for shard, block, doc_ids, doc_ends, *packed in zip(*lists):
+            grammar = unpack(*packed)
             ends = np.frombuffer(doc_ends, "<u8").astype(np.int64)
             starts = np.concatenate(([0], ends[:-1]))
             out["shard"] += [shard] * len(doc_ids)
@@ -209,7 +232,12 @@ def read_documents(blocks: DataFrame) -> DataFrame:
             out["doc_id"] += doc_ids
             out["inside"] += starts.tolist()
             out["n_tokens"] += (ends - starts).tolist()
-            out["ids_crc32"] += [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
+            run = starts // READ_IDS
+            firsts = np.flatnonzero(np.diff(run, prepend=-1))
+            for a, b in zip(firsts.tolist(), [*firsts[1:].tolist(), len(ends)]):
+                ids = grammar.slice(int(starts[a]), int(ends[b - 1] - starts[a])).astype("<u4")
+                out["ids_crc32"] += [zlib.crc32(ids[x:y].tobytes()) for x, y in zip(
+                    (starts[a:b] - starts[a]).tolist(), (ends[a:b] - starts[a]).tolist())]
         return out
 
     docs = map_batches(blocks, run, "shard long, block long, doc_id long, inside long, n_tokens long, ids_crc32 long",
