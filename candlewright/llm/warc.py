@@ -17,6 +17,8 @@ from candlewright.llm.tables import Scratch
 CRLF = "\r\n"
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Date of records of tables that have none, and type of their payloads.
+DATE, MEDIA = "1970-01-01T00:00:00Z", "text/html; charset=utf-8"
 
 
 def base32(hexes: Column) -> Column:
@@ -37,27 +39,32 @@ def _header(kind: Column) -> Column:
     revisit = kind == "revisit"
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", kind), line("WARC-Record-ID", urn(F.col("page_id"))),
-        line("WARC-Target-URI", clean),
+        line("WARC-Date", F.col("date")), line("WARC-Target-URI", clean),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         line("WARC-Refers-To", F.when(revisit, urn(F.col("refers_to")))),
         line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
+        line("Content-Type", F.when(~revisit, F.lit(MEDIA))),
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))), F.lit(CRLF))
 
 
 def write_archive(pages: DataFrame, scratch: Scratch, least_bytes: int = 0, id_col: str = "page_id",
-                  url_col: str = "url", payload_col: str = "html") -> tuple[DataFrame, DataFrame]:
+                  url_col: str = "url", payload_col: str = "html", date_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Write one record per row of ``pages``; returns (headers, payloads) as read back.
 
     headers: (header, address); payloads: (address, payload). Of rows with equal payloads of
     ``least_bytes`` or more the one with the largest id is the response and the others revisit it;
     rows that share that id are all responses, and so are rows of a payload that has no id at all. A null
-    payload is empty, a null URL has no header line, a null id no Record-ID.
+    payload is empty, a null URL has no header line, a null id no Record-ID. ``date_col`` is a timestamp; records
+    are of ``DATE`` without it and where it is null.
     """
+    given = F.date_format(F.to_utc_timestamp(F.col(date_col).cast("timestamp"), F.current_timezone()),
+                          "yyyy-MM-dd'T'HH:mm:ss'Z'") if date_col else F.lit(None)
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
+        F.coalesce(given, F.lit(DATE)).alias("date"),
         F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary")).alias("payload"))
-    rows = rows.select("page_id", "url", "payload", F.unhex(F.sha2("payload", 256)).alias("address"))
-    facts = rows.select("page_id", "url", "address", F.octet_length("payload").cast("long").alias("bytes"),
+    rows = rows.select("page_id", "url", "date", "payload", F.unhex(F.sha2("payload", 256)).alias("address"))
+    facts = rows.select("page_id", "url", "date", "address", F.octet_length("payload").cast("long").alias("bytes"),
                         base32(F.sha1("payload")).alias("sha1"))
     groups = facts.groupBy("address").agg(
         F.max("page_id").alias("head"),
