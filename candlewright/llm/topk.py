@@ -6,8 +6,11 @@ the cells leave out; the vectors themselves are a second file. Blocks of queries
 blocks of cells: the product with the cell centres, plus or minus the smaller of two
 limits on the rest, bounds each score. A first scan finds the kth largest lower bound of
 each query, a second one everything whose upper bound reaches it. Those vectors are read
-from the second file in order of their bound, first k for each query, then only what can
-still beat the kth exact score.
+from the second file in order of their bound, in rounds, as long as one that was not read
+can still beat the kth exact score.
+
+Equal vectors are one class, as a query and as what is found: a class is named by its smallest
+id, and as ties go to smaller ids, its k + 1 smallest ids are all that a result can hold.
 """
 
 from __future__ import annotations
@@ -105,8 +108,8 @@ def pack(queries: DataFrame, size: int = QUERIES) -> DataFrame:
         "dims", F.xxhash64("q_ids").alias("qb"), "q_ids", "vs", "kths")
 
 
-def _bounds(d, i, least, width, c, r, qi, qv) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-    """(queries, low, high, own) for parts of a query block against a block of cells."""
+def _bounds(d, i, least, width, c, r, qi, qv) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(queries, low, high) for parts of a query block against a block of cells."""
     kind = "<u1" if len(c) == len(i) // 8 * d else "<u4"
     i, qi = np.frombuffer(i, "<i8"), np.frombuffer(qi, "<i8")
     centre = _centres(np.frombuffer(c, kind).reshape(len(i), d), least, width)
@@ -117,10 +120,7 @@ def _bounds(d, i, least, width, c, r, qi, qv) -> Iterator[tuple[slice, np.ndarra
         mid = q[part] @ centre.T
         # the factors and the one cover the rounding of these floats
         off = np.minimum(corner[part, None], norm[part, None] * rest[None, :]) * (1 + 1e-9) + 1 + np.abs(mid) * 1e-9
-        own = qi[part, None] == i[None, :]
-        low, high = mid - off, mid + off
-        low[own] = high[own] = -np.inf
-        yield part, low, high, own
+        yield part, mid - off, mid + off
 
 
 _SCAN = ["dims", "ids", "least", "width", "cells", "rests", "q_ids", "vs", "kths"]
@@ -138,10 +138,9 @@ def lower_bounds(cells: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def run(*lists: list) -> Iterator[dict[str, object]]:
         for *block, _ in zip(*lists):
             ids = np.frombuffer(block[6], "<i8")
-            for part, low, _, _ in _bounds(*block):
+            for part, low, _ in _bounds(*block):
                 top = np.partition(low, low.shape[1] - k, axis=1)[:, -k:] if low.shape[1] > k else low
-                seen = np.isfinite(top)
-                yield {"query_id": np.broadcast_to(ids[part, None], top.shape)[seen], "low": top[seen]}
+                yield {"query_id": np.broadcast_to(ids[part, None], top.shape).ravel(), "low": top.ravel()}
 
     return map_batches(_met(cells, queries), run, "query_id long, low double", *_SCAN)
 
@@ -151,8 +150,8 @@ def candidates(cells: DataFrame, queries: DataFrame) -> DataFrame:
     def run(*lists: list) -> Iterator[dict[str, object]]:
         for *block, kths in zip(*lists):
             ids, vectors, kths = np.frombuffer(block[6], "<i8"), np.frombuffer(block[1], "<i8"), np.frombuffer(kths, "<f8")
-            for part, _, high, own in _bounds(*block):
-                a, b = np.nonzero((high >= kths[part, None]) & ~own)
+            for part, _, high in _bounds(*block):
+                a, b = np.nonzero(high >= kths[part, None])
                 yield {"query_id": ids[part][a], "vec_id": vectors[b], "high": high[a, b]}
 
     return map_batches(_met(cells, queries), run, "query_id long, vec_id long, high double", *_SCAN)
@@ -177,18 +176,22 @@ def _score(asked: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFram
     return map_batches(both, run, "query_id long, vec_id long, score long", "query_id", "vec_id", "q", "v")
 
 
-def top_k(vectors: DataFrame, is_query: str, k: int = 20, scratch: Scratch | None = None, id_col: str = "vec_id",
-          vector_col: str = "embedding", scale: int = 64, cells: int = CELLS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k largest products of each query with all other vectors.
+def _classes(rows: DataFrame, k: int) -> DataFrame:
+    """(class_id, vec_id, v): of each group of equal vectors the k smallest ids; class_id is the smallest."""
+    same = Window.partitionBy("v")
+    few = rows.withColumn("nth", F.row_number().over(same.orderBy("vec_id"))).where(F.col("nth") <= k)
+    return few.withColumn("class_id", F.min("vec_id").over(same)).select("class_id", "vec_id", "v")
 
-    ``is_query`` is a condition on ``vec_id``. Ties go to the smaller id; a query with fewer than k
-    others gets all. Vectors of different lengths are never compared. A row whose id repeats an earlier one
-    with the same vector is that row; ids are expected to be unique otherwise. A score beyond 64 bits fails.
-    """
-    scratch = scratch or Scratch(vectors.sparkSession, "top-k")
-    exact = scratch.put(whole(vectors, id_col, vector_col, scale).distinct(), "vectors")
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    """The k largest scores of each query with their rank, ties to the smaller id."""
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
+def nearest_classes(exact: DataFrame, queries: DataFrame, k: int, scratch: Scratch, cells: int = CELLS) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k largest products of each query with ``exact``, itself included."""
     file = scratch.put(approximate(exact, cells), "cells")
-    queries = exact.where(is_query)
     lows = lower_bounds(file, scratch.put(pack(queries.withColumn("kth", F.lit(None).cast("double"))), "queries"), k)
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low")))
     kths = scratch.put(lows.withColumn("nth", nth).where(F.col("nth") == k).select(
@@ -196,13 +199,43 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 20, scratch: Scratch | Non
     found = candidates(file, scratch.put(pack(queries.join(kths, "vec_id", "left")), "bounded-queries"))
     turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), "vec_id"))
     found = scratch.put(found.withColumn("turn", turn), "candidates")
-    first = scratch.put(_score(found.where(F.col("turn") <= k).select("query_id", "vec_id"), exact, queries), "first")
-    certain = first.groupBy("query_id").agg(F.min("score").alias("least"))
-    rest = found.where(F.col("turn") > k).join(certain, "query_id").where(F.col("high") >= F.col("least"))
-    scored = first.union(_score(rest.select("query_id", "vec_id"), exact, queries))
-    best = scored.withColumn("rank", F.row_number().over(
-        Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return best.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    read, number = k, 0
+    best = scratch.put(_best(_score(found.where(F.col("turn") <= k).select("query_id", "vec_id"), exact, queries), k), "best-0")
+    while True:
+        certain = best.where(F.col("rank") == k).select("query_id", "score")
+        left = found.where(F.col("turn") > read).join(certain, "query_id").where(F.col("high") >= F.col("score"))
+        if left.isEmpty():
+            return best
+        read, number = 4 * read, number + 1
+        more = _score(left.where(F.col("turn") <= read).select("query_id", "vec_id"), exact, queries)
+        best = scratch.put(_best(best.drop("rank").union(more), k), f"best-{number}")
+        scratch.drop(f"best-{number - 1}")
+
+
+def top_k(vectors: DataFrame, is_query: str, k: int = 20, scratch: Scratch | None = None, id_col: str = "vec_id",
+          vector_col: str = "embedding", scale: int = 64, cells: int = CELLS) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k largest products of each query with all other vectors.
+
+    ``is_query`` is a condition on ``vec_id``. Ties go to the smaller id; a query with fewer than k
+    others gets all. Vectors of different lengths are never compared. A row whose id repeats an earlier one
+    with the same vector is that row; ids are expected to be unique otherwise. A score beyond 64 bits fails.
+    """
+    scratch = scratch or Scratch(vectors.sparkSession, "top-k")
+    rows = scratch.put(whole(vectors, id_col, vector_col, scale).distinct(), "rows")
+    # one more than k, as a query may find itself
+    members = scratch.put(_classes(rows, k + 1), "members")
+    exact = members.where("vec_id = class_id").select("vec_id", "v")
+    asked = scratch.put(rows.where(is_query).join(exact.withColumnRenamed("vec_id", "class_id"), "v").select(
+        "class_id", F.col("vec_id").alias("query_id"), "v"), "asked")
+    queries = scratch.put(asked.groupBy("class_id").agg(F.any_value("v").alias("v")).select(
+        F.col("class_id").alias("vec_id"), "v"), "query-classes")
+    near = nearest_classes(exact, queries, k + 1, scratch, cells)
+    each = near.drop("rank").withColumnRenamed("vec_id", "class_id").join(members.select("class_id", "vec_id"), "class_id")
+    lists = _best(each.drop("class_id"), k + 1).groupBy(F.col("query_id").alias("class_id")).agg(
+        F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("near"))
+    others = F.slice(F.filter("near", lambda e: e.vec_id != F.col("query_id")), 1, k)
+    got = asked.select("class_id", "query_id").join(lists, "class_id").select("query_id", F.posexplode(others).alias("rank", "e"))
+    return got.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "e.vec_id", "e.score")
 
 
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
