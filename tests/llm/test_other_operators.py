@@ -115,12 +115,22 @@ def test_record_bytes_and_damage(spark):
         head, body = r.split(b"\r\n\r\n", 1)
         fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
         assert int(fields[b"Content-Length"]) == len(body) - 4
+        assert fields[b"WARC-Date"] == warc.DATE.encode()
+        assert (b"Content-Type" in fields) == (fields[b"WARC-Type"] == b"response")
     damaged = payloads.withColumn("payload", F.concat("payload", F.lit("!").cast("binary")))
     with pytest.raises(PySparkException):
         warc.read_archive(headers, damaged).collect()
     assert warc.read_archive(*warc.write_archive(pages(spark, PAGES).where("false"), Scratch(spark, "t"))).count() == 0
 
 
+def test_dates_of_records(spark):
+    dated = spark.sql("SELECT 1 AS page_id, 'u' AS url, 'x' AS html, timestamp '2024-02-03 04:05:06Z' AS at UNION ALL "
+                      "SELECT 2, 'u', 'y', NULL")
+    headers, _ = warc.write_archive(dated, Scratch(spark, "t"), date_col="at")
+    found = sorted(bytes(r["header"]).decode().split("WARC-Date: ")[1].split("\r\n")[0] for r in headers.collect())
+    assert found == [warc.DATE, "2024-02-03T04:05:06Z"]
+
+
 # --- 8: licences ----------------------------------------------------------------
 
 def test_licences_by_brute_force(spark):
@@ -238,6 +248,33 @@ def test_top_k_against_brute_force(spark):
     assert got == counted(want) and topk.top_k(df.where("false"), "vec_id % 20 = 0").count() == 0
 
 
+def test_top_k_among_thousands_of_equal_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    data = [(i, [float(x) for x in rng.integers(-9, 9, 6)]) for i in range(300)]
+    data += [(1000 + i, data[17][1]) for i in range(4000)] + [(6000 + i, data[i % 3][1]) for i in range(600)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(7)
+    asked = []
+    score = topk._score
+    monkeypatch.setattr(topk, "_score", lambda pairs, *rest: asked.append(pairs.count()) or score(pairs, *rest))
+    got = counted(topk.top_k(df, "vec_id % 20 = 0", k=5, scale=1).collect())
+    ids, x = np.array([i for i, _ in data]), np.array([v for _, v in data], np.int64)
+    want = []
+    for at in np.flatnonzero(ids % 20 == 0):
+        scores = x @ x[at]
+        order = [j for j in np.lexsort((ids, -scores))[:6] if j != at][:5]
+        want += [(int(ids[at]), rank, int(ids[j]), int(scores[j])) for rank, j in enumerate(order, 1)]
+    assert got == counted(want)
+    assert sum(asked) < 300 * 30        # pairs of classes, not of rows
+
+
+@pytest.mark.parametrize("rows", [1, 3])
+def test_top_k_of_fewer_rows_than_asked(spark, rows):
+    df = spark.createDataFrame([(20 * i, [1.0, 2.0]) for i in range(rows)], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, "vec_id % 20 = 0", k=4, scale=1)
+    want = [(20 * a, rank, b, 5) for a in range(rows) for rank, b in enumerate([20 * b for b in range(rows) if b != a], 1)]
+    assert counted(got.collect()) == counted(want)
+
+
 # --- the pipeline ---------------------------------------------------------------
 
 def test_pipeline_stages_keep_the_columns(spark):

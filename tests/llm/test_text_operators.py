@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 import re
@@ -71,6 +72,31 @@ def test_substrings_against_all_windows(docs, window):
     assert counted(got.collect()) == counted(brute_repeats(ROWS, window))
 
 
+def test_equal_rows_hold_each_place_once(spark):
+    text = prose(random.Random(1), 60)
+    df = table(spark, [(7, text)] * 300 + [(None, text)] * 100 + [(None, None)])
+    found = substrings.repeated_windows(df, 35)
+    assert {(r["doc_id"], tuple(sorted(r["ats"]))) for r in substrings._lists(found).collect()} == {
+        (7, tuple(range(26))), (None, tuple(range(26)))}
+    assert {tuple(r) for r in substrings.remove_repeats(df).select("doc_id", "n_words", "n_removed").collect()} == {
+        (7, 60, 60), (None, 60, 60), (None, 0, 0)}
+
+
+def test_texts_without_id_that_agree_in_half_of_their_hash(spark):
+    """Two texts of no id whose hashes share the lower 31 bits, one of them repeated by a third row."""
+    seen, pair = {}, None
+    rows = spark.range(150_000).select("id", F.concat(F.lit("q "), F.col("id").cast("string")).alias("t")).select(
+        "id", F.xxhash64(F.col("t").cast("binary")).bitwiseAND(F.lit(0x7FFFFFFF)).alias("h")).collect()
+    for r in rows:
+        if r["h"] in seen:
+            pair = seen[r["h"]], r["id"]
+            break
+        seen[r["h"]] = r["id"]
+    assert pair
+    keys = substrings._row_keys(table(spark, [(None, f"q {i}") for i in pair]), "doc_id", "text").select("th").collect()
+    assert len({r["th"] for r in keys}) == 2 and len({r["th"] & 0x7FFFFFFF for r in keys}) == 1
+
+
 def test_cover_brings_every_difference_together():
     steps = {(a - b) % substrings.PERIOD for a in substrings.COVER for b in substrings.COVER}
     assert steps == set(range(substrings.PERIOD))
@@ -171,8 +197,8 @@ def test_grammar_slices_without_expanding_all():
     rng = np.random.default_rng(5)
     for n in (0, 1, 7, 500, 20_000):
         ids = rng.integers(0, 6, n) ** 2
-        g = grammar.repair(ids, 40, rules=300, least=3)
-        assert (g.expand(g.sequence) == ids).all() and g.sizes.sum() == n
+        g = grammar.repair(ids, 40, least=3)
+        assert (g.expand(g.sequence) == ids).all() and g.sizes(g.sequence).sum() == n
         for _ in range(20):
             a = int(rng.integers(0, n + 1))
             b = int(rng.integers(0, n - a + 1))
@@ -180,6 +206,37 @@ def test_grammar_slices_without_expanding_all():
     assert len(g.sequence) < n / 2
 
 
+@pytest.mark.parametrize("copies", [3, 11, 40])
+def test_copies_of_a_passage_become_a_symbol_each(copies):
+    passage = np.random.default_rng(copies).permutation(10_000)
+    g = grammar.repair(np.tile(passage, copies), 10_000)
+    assert (g.expand(g.sequence) == np.tile(passage, copies)).all()
+    assert len(g.sequence) <= 2 * copies and len(g.rules) <= len(passage) + copies and g.lengths.max() > 4_000
+
+
+def test_no_pair_is_left_that_would_save_space():
+    rng = np.random.default_rng(8)
+    for ids in (rng.integers(0, 30, 5_000), np.zeros(1_000, int), np.array([1, 1, 1, 2] * 50), np.repeat(rng.integers(0, 4, 90), 7)):
+        g = grammar.repair(ids, 40)
+        assert (g.expand(g.sequence) == ids).all()
+        counts, last = collections.Counter(), None
+        for pair in zip(g.sequence.tolist(), g.sequence[1:].tolist()):
+            last = None if pair == last else pair      # aaa holds one aa that can be replaced
+            counts[pair] += last is not None
+        assert max(counts.values(), default=0) < grammar.LEAST
+        uses = np.bincount(np.concatenate([g.rules.ravel(), g.sequence]), minlength=40 + len(g.rules))[40:]
+        assert (uses > 0).all()
+
+
+def test_numbers_of_any_width():
+    for top in (0, 1, 2, 255, 256, 50_000, 2 ** 32 - 1):
+        numbers = np.array([0, top, top // 2, top, 0])
+        for some in (numbers, numbers[:0]):
+            packed = grammar.pack_bits(some, top)
+            assert grammar.unpack_bits(packed, len(some), top).tolist() == some.tolist()
+            assert len(packed) == -(-len(some) * top.bit_length() // 8)
+
+
 # --- 5: SimHash -----------------------------------------------------------------
 
 def brute_fingerprint(text, n=3):
