@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewright.llm.tables import Scratch, map_batches, spans
+from candlewright.llm.tables import Scratch, map_batches, spans, without_rows
 
 #: Documents the scorer is fitted on at most, labelled rows that word lists are learned from, words of a list.
 FITTED, LABELLED, LEARNED = 12_000, 20_000, 5_000
@@ -192,14 +192,14 @@ def _learn_words(rows: DataFrame, labels: DataFrame, labelled: int) -> tuple[fro
 
 
 def score(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
-          fitted: int = FITTED, labelled: int = LABELLED, scratch: Scratch | None = None) -> DataFrame:
+          fitted: int = FITTED, labelled: int = LABELLED, scratch: Scratch | None = None, hashes: bool = False) -> DataFrame:
     """(doc_id, junk, toxic, junk_posterior, toxic_posterior, keep) of every row of ``docs``.
 
     junk and toxic are the scorers' probabilities, the posteriors those of the labellers' votes; keep is
     false where a scorer gives 0.5 or more. ``labels`` (doc_id, toxic) may be left out, and ids it lacks or
     has twice do no harm. ``fitted`` documents, those of the smallest hashes of their ids, fit the scorers, and
     ``labelled`` rows of ``labels``, chosen alike, the word lists. A null or empty text gets no votes and the score
-    of no features, and is kept.
+    of no features, and is kept. ``hashes`` adds th, the hash of the row's text.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "labelling")
@@ -234,32 +234,36 @@ def score(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
         models.append(fit(owned, np.array([known[tuple(v)] for v in sample.column(name).to_pylist()])))
         posteriors.append(known)
 
-    def judge(ids: list, texts: list) -> Iterator[dict[str, object]]:
+    def judge(ids: list, ths: list, texts: list) -> Iterator[dict[str, object]]:
         tables = []
         for bias, chosen, weights in models:
             table = np.zeros(1 << BITS)
             table[chosen] = weights
             tables.append((bias, table))
         for part in spans(texts):
-            out: dict[str, list] = {k: [] for k in ("doc_id", "junk", "toxic", "junk_posterior", "toxic_posterior")}
-            for key, text in zip(ids[part], texts[part]):
+            out: dict[str, list] = {k: [] for k in ("doc_id", "th", "junk", "toxic", "junk_posterior", "toxic_posterior")}
+            for key, th, text in zip(ids[part], ths[part], texts[part]):
                 words = words_of(text)
                 own = features(words)
                 found = [round(float(1 / (1 + np.exp(-np.clip(b + t[own].sum(), -40, 40)))), 6) for b, t in tables]
                 cast = tuple(junk_votes(text, words)), tuple(toxic_votes(set(words), learned, stems))
-                for column, value in zip(out, (key, *found, *(round(p[v], 6) for p, v in zip(posteriors, cast)))):
+                for column, value in zip(out, (key, th, *found, *(round(p[v], 6) for p, v in zip(posteriors, cast)))):
                     out[column].append(value)
             yield out
 
-    scored = map_batches(rows, judge, "doc_id long, junk double, toxic double, junk_posterior double, "
-                         "toxic_posterior double", "doc_id", "text")
-    return scored.withColumn("keep", (F.col("junk") < 0.5) & (F.col("toxic") < 0.5))
+    scored = map_batches(rows.withColumn("th", F.xxhash64("text")), judge, "doc_id long, th long, junk double, toxic double, "
+                         "junk_posterior double, toxic_posterior double", "doc_id", "th", "text")
+    scored = scored.withColumn("keep", (F.col("junk") < 0.5) & (F.col("toxic") < 0.5))
+    return scored if hashes else scored.drop("th")
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows whose id ``score`` rejects; all columns stay, and so do rows without id."""
-    gone = score(docs, labels, id_col, **options).where("NOT keep").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+def drop_rejected(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
+                  **options) -> DataFrame:
+    """``docs`` without the rows that ``score`` rejects; all columns stay, and so do rows without id.
+
+    Rows that share an id are told apart by the hash of their text.
+    """
+    return without_rows(docs, score(docs, labels, id_col, text_col, hashes=True, **options).where("NOT keep"), id_col, text_col)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

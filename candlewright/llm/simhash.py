@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from candlewright.llm.components import components, forest
 from candlewright.llm.lines import across, jaccard
-from candlewright.llm.tables import Scratch, id_and_text, map_batches
+from candlewright.llm.tables import Scratch, id_and_text, map_batches, without_rows
 
 #: Pairs of large tiles that are handed to Python at once, each a megabyte and more.
 HANDED = 8
@@ -221,7 +221,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     have a Jaccard similarity of ``least`` or more are linked. Sketches leave out pairs only that can't be so similar;
     each fingerprint's smallest partner of a tile is verified first, and where that leaves pairs between two components,
     the components are compared in tiles. How many of the similar pairs lie within the radius is for the README. Rows that
-    share the smallest id all stay, and so do rows without id. Null and blank texts are one group.
+    share the smallest id all stay, and so do rows without id; rows of one id are told apart by a hash of their text. Null and blank texts are one group.
     """
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     prints = scratch.put(_sketched(docs, id_col, text_col, n), "prints")
@@ -259,8 +259,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         "fp", "first_id", F.coalesce("component", "fp").alias("component"))
     heads = member.groupBy("component").agg(F.min("first_id").alias("head"))
     heads = scratch.put(member.join(heads, "component").select("fp", "head"), "heads")
-    gone = prints.join(heads, "fp").where("doc_id <> head").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    return without_rows(docs, prints.join(heads, "fp").where("doc_id <> head"), id_col, text_col)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

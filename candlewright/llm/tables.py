@@ -49,6 +49,15 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` less the rows of an id and text of ``gone`` (doc_id, th); rows without id stay."""
+    left = gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
+    own = docs.select(F.col(id_col).cast("long").alias("own_id"), F.xxhash64(F.col(text_col).cast("binary")).alias("own_th"),
+                      F.struct(*docs.columns).alias("row"))
+    kept = own.join(left, (F.col("own_id") == F.col("gone_id")) & (F.col("own_th") == F.col("gone_th")), "left_anti")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
 def map_batches(df: DataFrame, fn: Callable[..., dict[str, object]], schema: str, *columns: str) -> DataFrame:
     """``fn(*lists)`` for every Arrow batch, the lists being those of ``columns``.
 
