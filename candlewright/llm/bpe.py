@@ -23,18 +23,21 @@ import sys
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.llm.tables import id_and_text, map_batches, spans
+from candlewright.llm.tables import id_and_text, map_batches, spans, values
 
 #: Words an encoder keeps; all are forgotten when there are more.
 KEPT_WORDS = 1_000_000
-_NONE = np.int64(1 << 62)
+_NONE = np.int32(2 ** 31 - 1)
 #: The split pattern of the file as JSON text, and the same for two sets of characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^a-z0-9{_LETTERS}]+")
+_ASCII_LINES = re.compile(rb"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\n]+")
+_LATIN_LINES = re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^a-z0-9{_LETTERS}\n]+")
 _LATIN_WORD = re.compile(f"[!-~{_LETTERS}]+")
 
 
@@ -77,25 +80,26 @@ def lookahead(merges: Iterable[tuple[int, int, int]], length: Callable[[int], in
 class _Ranks:
     """Rank of a pair of ids: two hash tables, the second for what collides in the first."""
 
-    def __init__(self, left: np.ndarray, right: np.ndarray, bits: int = 20):
+    def __init__(self, left: np.ndarray, right: np.ndarray, bits: int = 18):
         keys = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
         rng, todo = np.random.default_rng(7), np.arange(len(keys))
-        self.shift, self.tables = np.uint64(64 - bits), []
+        self.tables = []
         while len(todo):
             mul = rng.integers(1 << 62, 1 << 63, dtype=np.uint64) | np.uint64(1)
-            slot = (keys[todo] * mul) >> self.shift
+            shift = np.uint64(64 - bits)
+            slot = (keys[todo] * mul) >> shift
             _, first = np.unique(slot, return_index=True)
             here, ranks = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF)), np.full(1 << bits, _NONE)
             here[slot[first]], ranks[slot[first]] = keys[todo[first]], todo[first]
-            self.tables.append((mul, here, ranks))
-            todo = np.delete(todo, first)
+            self.tables.append((mul, shift, here, ranks))
+            todo, bits = np.delete(todo, first), max(bits - 2, 8)
 
     def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
         found = np.full(len(key), _NONE)
-        for mul, here, ranks in self.tables:
-            slot = (key * mul) >> self.shift
-            hit = here[slot] == key
+        for mul, shift, here, ranks in self.tables:
+            slot = (key * mul) >> shift
+            hit = np.flatnonzero(here[slot] == key)
             found[hit] = ranks[slot[hit]]
         return found
 
@@ -153,6 +157,34 @@ class Vocabulary:
         found = self.library.pre_tokenizer.pre_tokenize_str(text)
         return [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in found]
 
+    def split(self, words: Iterable[bytes]) -> tuple[list[bytes], list[bytes], np.ndarray]:
+        """The words in another order, the pieces of all of them in a row, and how many there are up to each word's end.
+
+        Words of ASCII and Latin letters are split many at a time.
+        """
+        words = list(words)
+        plain = [word for word in words if word.isascii()] if self.plain else []
+        rest = [word for word in words if not word.isascii()] if self.plain else words
+        # white space is in no word
+        flat = _ASCII_LINES.findall(b"\n".join(plain).lower())
+        if self.plain and rest:
+            texts = b"\n".join(rest).decode("utf-8", "replace").split("\n")
+            known = list(map(bool, map(_LATIN_WORD.fullmatch, texts)))
+            latin = "\n".join(text for text, easy in zip(texts, known) if easy).lower()
+            if latin:
+                flat += [b"\n"] if plain else []
+                flat += "\0".join(_LATIN_LINES.findall(latin)).encode().split(b"\0")
+            plain += [word for word, easy in zip(rest, known) if easy]
+            rest = [word for word, easy in zip(rest, known) if not easy]
+        edges = np.flatnonzero(np.fromiter(map(b"\n".__eq__, flat), bool, len(flat)))
+        upto = (edges - np.arange(len(edges))).tolist()
+        flat = [piece for piece in flat if piece != b"\n"]
+        upto += [len(flat)] if plain else []
+        for word in rest:
+            flat += self.pieces(word)
+            upto.append(len(flat))
+        return plain + rest, flat, np.array(upto, np.int64)
+
 
 class Encoder:
     """Texts to ids. ``window`` bytes of a piece are merged at once; memory does not grow with the text."""
@@ -160,7 +192,11 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, window: int = 4096, kept_words: int = KEPT_WORDS):
         self.vocabulary = vocabulary
         self.window = max(window, 2 * vocabulary.lookahead + 2)
-        self.kept_words, self.words = kept_words, {}
+        if any(len(name.split()) != 1 or name.strip() != name for name in vocabulary.special):
+            raise ValueError("special tokens with white space are not known")
+        # between spaces, special tokens are words
+        self.fixed = {name: i.to_bytes(4, "little") for name, i in vocabulary.special.items()}
+        self.kept_words, self.words = kept_words, dict(self.fixed)
         names = sorted(map(re.escape, vocabulary.special), key=len, reverse=True)
         self.special = re.compile(b"(" + b"|".join(names) + b")") if names else None
 
@@ -172,20 +208,22 @@ class Encoder:
         ids = v.first[raw]
         ends = np.cumsum(sizes) - 1
         ids[ends[closed]] = v.last[raw[ends[closed]]]
-        owner = np.repeat(np.arange(len(windows)), sizes)
+        ids, owner = ids.astype(np.int32), np.repeat(np.arange(len(windows), dtype=np.int32), sizes)
         out_ids, out_owner = [], []
+        last = np.zeros(len(ids), bool)
+        last[ends] = True
+        ranks = np.full(len(ids), _NONE)
+        inner = np.flatnonzero(~last)
+        ranks[inner] = v.rank(ids[inner], ids[inner + 1])
         while len(ids):
-            ranks = np.full(len(ids), _NONE)
-            same = owner[1:] == owner[:-1]
-            ranks[:-1][same] = v.rank(ids[:-1][same], ids[1:][same])
-            starts = np.flatnonzero(np.concatenate(([True], ~same)))
-            low = np.minimum.reduceat(ranks, starts)
-            low = np.repeat(low, np.diff(np.append(starts, len(ids))))
+            starts = np.flatnonzero(np.concatenate(([True], last[:-1])))
+            low = np.repeat(np.minimum.reduceat(ranks, starts), np.diff(np.append(starts, len(ids))))
             over = low == _NONE
             if over.any():
                 out_ids.append(ids[over])
                 out_owner.append(owner[over])
-                ids, owner, ranks, low = ids[~over], owner[~over], ranks[~over], low[~over]
+                left = ~over
+                ids, owner, ranks, last, low = ids[left], owner[left], ranks[left], last[left], low[left]
                 if not len(ids):
                     break
             hit = ranks == low
@@ -194,10 +232,18 @@ class Encoder:
                 at = np.arange(len(hit))
                 run = at - np.maximum.accumulate(np.where(hit, -1, at))
                 hit &= run % 2 == 1
+            at = np.flatnonzero(hit)
             keep = np.ones(len(ids), bool)
-            keep[1:] = ~hit[:-1]
-            ids[hit] = v.made[ranks[hit]]
-            ids, owner = ids[keep], owner[keep]
+            keep[at + 1] = False
+            ids[at], last[at] = v.made[ranks[at]], last[at + 1]
+            ids, owner, ranks, last = ids[keep], owner[keep], ranks[keep], last[keep]
+            # only pairs with a new token have another rank
+            at -= np.arange(len(at))
+            before = at[at > 0] - 1
+            new = np.concatenate([at, before[~last[before]]])
+            ranks[new] = _NONE
+            new = new[~last[new]]
+            ranks[new] = v.rank(ids[new], ids[new + 1])
         if not out_ids:
             return np.zeros(0, np.int64), np.zeros(len(windows), np.int64)
         owner = np.concatenate(out_owner)
@@ -225,10 +271,7 @@ class Encoder:
 
     def learn(self, words: Iterable[bytes]) -> None:
         """Encode distinct words and keep their ids as little-endian unsigned 32-bit integers."""
-        words, flat, upto = list(words), [], []
-        for word in words:
-            flat += self.vocabulary.pieces(word)
-            upto.append(len(flat))
+        words, flat, upto = self.vocabulary.split(words)
         if max(map(len, flat), default=0) <= self.window:
             ids, counts = self._merge(flat, np.ones(len(flat), bool))
         else:
@@ -242,20 +285,29 @@ class Encoder:
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text as bytes; a null text has none."""
-        parts: list[list] = []
-        for text in texts:
-            if text and self.special and b"<" in text:
-                parts.append([x if x in self.vocabulary.special else x.split() for x in self.special.split(text)])
-            else:
-                parts.append([text.split()] if text else [])
-        new = {w for p in parts for x in p if isinstance(x, list) for w in x}
+        spaced = [self.special.sub(rb" \1 ", text) if text and self.special and b"<" in text else text or b"" for text in texts]
+        body = np.frombuffer(b" ".join(spaced) + b" ", np.uint8)
+        space = (body == 32) | (body - np.uint8(9) < 5)
+        inside = np.flatnonzero(~space)
+        # the words' bytes in a row, and where each word ends among them
+        last = np.flatnonzero(space[inside + 1])
+        offsets = np.concatenate(([0], last + 1)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(last), [None, pa.py_buffer(offsets), pa.py_buffer(body[inside])]).dictionary_encode()
+        place, distinct = words.indices.to_numpy(), values(words.dictionary)
+        found = list(map(self.words.get, distinct))
+        new = [word for word, ids in zip(distinct, found) if ids is None]
         if len(self.words) + len(new) > self.kept_words:
-            self.words = {}
-        if new := new.difference(self.words):
+            self.words = dict(self.fixed)
+        if new:
             self.learn(new)
-        get = self.words.__getitem__
-        return [b"".join(b"".join(map(get, x)) if isinstance(x, list)
-                         else self.vocabulary.special[x].to_bytes(4, "little") for x in p) for p in parts]
+            found = [self.words[word] if ids is None else ids for word, ids in zip(distinct, found)]
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, first, counts = np.frombuffer(b"".join(found), "<u4"), (np.cumsum(counts) - counts)[place], counts[place]
+        upto = np.concatenate(([0], np.cumsum(counts)))
+        ids = flat[np.repeat(first - upto[:-1], counts) + np.arange(upto[-1])].tobytes()
+        ends = np.cumsum(np.fromiter(map(len, spaced), np.int64, len(spaced)) + 1)
+        ends = (4 * upto[np.searchsorted(inside[last], ends)]).tolist()
+        return [ids[i:j] for i, j in zip([0, *ends], ends)]
 
 
 class Decoder:

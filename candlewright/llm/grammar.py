@@ -64,6 +64,11 @@ class Grammar:
         """Ids up to the end of each symbol of the sequence."""
         return np.cumsum(self.sizes(self.sequence))
 
+    @cached_property
+    def halves(self) -> np.ndarray:
+        """Ids the first symbol of each rule stands for."""
+        return self.sizes(self.rules[:, 0])
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """All ids of some symbols; lengths say where the halves of a rule go."""
         size = self.sizes(symbols)
@@ -72,9 +77,9 @@ class Grammar:
         while len(symbols):
             rule = symbols >= self.first_rule
             out[at[~rule]] = symbols[~rule]
-            at, pair = at[rule], self.rules[symbols[rule] - self.first_rule]
-            at = np.stack([at, at + self.sizes(pair[:, 0])], axis=1).ravel()
-            symbols = pair.ravel()
+            at, made = at[rule], symbols[rule] - self.first_rule
+            at = np.stack([at, at + self.halves[made]], axis=1).ravel()
+            symbols = self.rules[made].ravel()
         return out
 
     def slice(self, start: int, count: int) -> np.ndarray:
@@ -84,49 +89,63 @@ class Grammar:
         return self.expand(self.sequence[first:last + 1])[skip:skip + count]
 
 
+def _pairs(left: np.ndarray, right: np.ndarray, apart: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of symbols up to ``top`` as sorted numbers, and which of ``apart`` each of them is."""
+    key = left[apart].astype(np.int64) << 32 | right[apart]
+    width, places = int(top).bit_length(), int(len(left)).bit_length()
+    if 2 * width + places > 63:
+        order = np.argsort(key)
+        return key[order], apart[order]
+    # a sort of numbers takes a fourth of the time of one of places
+    both = np.sort((key >> 32 << width | key & 0xFFFFFFFF) << places | apart)
+    key = both >> places
+    return key >> width << 32 | key & (1 << width) - 1, both & (1 << places) - 1
+
+
 def repair(ids: np.ndarray, first_rule: int, least: int = LEAST) -> Grammar:
     """Grammar of ``ids``, all below ``first_rule``, in which no pair is left ``least`` times (2 or more)."""
-    sequence = np.array(ids, np.int64)
+    sequence = np.array(ids, np.int32)
     grammar = Grammar(first_rule, np.zeros((0, 2), np.int64), np.zeros(0, np.int64), sequence)
     # pairs that may be there often enough: all copies of a pair or none
     opened = np.ones(max(len(sequence) - 1, 0), bool)
     while (at := np.flatnonzero(opened)).size >= least:
-        key = sequence[at] << 32 | sequence[at + 1]
+        left, right = sequence[at], sequence[at + 1]
         # every other one of aaaa overlaps no copy of itself
-        again = np.zeros(len(at), bool)
-        again[1:] = (key[1:] == key[:-1]) & (at[1:] == at[:-1] + 1)
-        turn = np.arange(len(at))
-        turn -= np.maximum.accumulate(np.where(again, 0, turn))
-        apart = np.flatnonzero(turn % 2 == 0)
-        order = np.argsort(key[apart])
-        known = key[apart][order]
-        new = np.concatenate(([True], known[1:] != known[:-1]))
-        starts = np.flatnonzero(new)
+        twice = np.flatnonzero(left == right)
+        turn = np.arange(len(twice))
+        turn -= np.maximum.accumulate(np.where(np.diff(at[twice], prepend=-2) == 1, 0, turn))
+        overlap = twice[turn % 2 == 1]
+        apart = np.delete(np.arange(len(at)), overlap)
+        known, order = _pairs(left, right, apart, first_rule + len(grammar.rules))
+        starts = np.flatnonzero(np.concatenate(([True], known[1:] != known[:-1])))
         counts = np.diff(np.append(starts, len(order)))
-        often = counts >= least
-        if not often.any():
+        often = np.flatnonzero(counts >= least)
+        if not len(often):
             break
-        pair = np.empty(len(at), np.int64)
-        pair[apart[order]] = np.cumsum(new) - 1
-        overlap = np.flatnonzero(turn % 2)
-        pair[overlap] = pair[overlap - 1]
-        opened[at[~often[pair]]] = False
+        order = order[np.repeat(counts >= least, counts)]
+        known, counts = known[starts[often]], counts[often]
 
         # where pairs overlap, the one of more copies (in steps of a fourth root of two) goes first
-        mixed = np.arange(len(counts)) * 0x9E3779B1 & 0xFFFFFFFF
-        rank = np.where(often, (4 * np.log2(counts)).astype(np.int64) << 32 | mixed, -1)
-        weight = np.full(len(sequence) + 1, -1, np.int64)
-        weight[at[apart] + 1] = rank[pair[apart]]
-        place = apart[often[pair[apart]]]
-        w = at[place] + 1
-        place = place[(weight[w] > weight[w - 1]) & (weight[w] > weight[np.minimum(w + 1, len(sequence))])]
-        used = np.bincount(pair[place], minlength=len(counts)) >= least
-        place = place[used[pair[place]]]
-        w = at[place]
-        name = np.cumsum(used) - 1 + first_rule + len(grammar.rules)
-        rules = np.stack([known[starts[used]] >> 32, known[starts[used]] & 0xFFFFFFFF], axis=1)
+        mixed = often * 0x9E3779B1 & 0xFFFFFFFF
+        rank = np.empty(len(often), np.int32)
+        rank[np.argsort((4 * np.log2(counts)).astype(np.int64) << 32 | mixed)] = np.arange(len(often))
+        pair = np.full(len(at), -1, np.int32)
+        pair[order] = np.repeat(rank, counts)
+        weight = np.full(len(sequence) + 1, -1, np.int32)
+        weight[at + 1] = pair
+        pair[overlap] = pair[overlap - 1]
+        opened[at] = pair >= 0
+        inner = weight[1:-1]
+        w = np.flatnonzero((inner >= 0) & (inner > weight[:-2]) & (inner > weight[2:]))
+        chosen = inner[w]
+        used = np.bincount(chosen, minlength=len(often))[rank] >= least
+        name = np.full(len(often), -1, np.int32)
+        name[rank[used]] = np.arange(used.sum()) + first_rule + len(grammar.rules)
+        name = name[chosen]
+        w, name = w[name >= 0], name[name >= 0]
+        rules = np.stack([known[used] >> 32, known[used] & 0xFFFFFFFF], axis=1)
         lengths = grammar.sizes(rules[:, 0]) + grammar.sizes(rules[:, 1])
-        sequence[w] = name[pair[place]]
+        sequence[w] = name
         keep = np.ones(len(sequence), bool)
         keep[w + 1] = False
         opened = np.append(opened, False)
@@ -134,6 +153,7 @@ def repair(ids: np.ndarray, first_rule: int, least: int = LEAST) -> Grammar:
         opened[np.maximum(w - 1, 0)] = True
         sequence, opened = sequence[keep], opened[keep][:-1]
         grammar = Grammar(first_rule, np.concatenate([grammar.rules, rules]), np.concatenate([grammar.lengths, lengths]), sequence)
+    grammar.sequence = grammar.sequence.astype(np.int64)
     return grammar
 
 

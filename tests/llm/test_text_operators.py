@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from helpers import Sets, corpus, counted, prose, table  # noqa: E402
 
 from candlewright.llm import bpe, grammar, lines, simhash, substrings  # noqa: E402
 from candlewright.llm.components import components  # noqa: E402
-from candlewright.llm.tables import Scratch  # noqa: E402
+from candlewright.llm.tables import Scratch, values  # noqa: E402
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ROWS = corpus()
@@ -348,6 +349,23 @@ def test_odd_texts_and_small_windows(library, window):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_only_pairs_with_a_new_token_are_looked_up_again(library, monkeypatch):
+    vocabulary, asked = bpe.Vocabulary(PATH), []
+    rank = vocabulary.rank
+    monkeypatch.setattr(vocabulary, "rank", lambda left, right: asked.append(len(left)) or rank(left, right))
+    words = ["internationalisation" * 50, "the" * 90 + "aaaaaaa" * 9]
+    got = bpe.Encoder(vocabulary).encode([w.encode() for w in words])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(w, add_special_tokens=False).ids for w in words]
+    # each byte is in a pair at first, each merge makes two pairs new at most
+    assert sum(asked) <= 3 * sum(len(w.encode()) for w in words)
+
+
+def test_columns_as_lists():
+    for column in (pa.array([1, None, 3]), pa.array([2 ** 63 - 1, -2 ** 63]), pa.array(["a", None, "\0é"]), pa.array([b"\xff\0", None]),
+                   pa.array([], pa.string()), pa.array([True, None]), pa.array([[1], None]), pa.array([b"x", None, b"zz"]).slice(1)):
+        assert values(column) == column.to_pylist() and list(map(type, values(column))) == list(map(type, column.to_pylist()))
+
+
 def test_byte_level_decoder_holds_cut_characters():
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, vocabulary = Tokenizer.from_file(path), bpe.Vocabulary.at(path)
