@@ -14,7 +14,7 @@ Components of verified edges keep their first line.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import xxhash
@@ -28,6 +28,8 @@ from candlewright.llm.tables import Scratch, fresh, map_batches, spans
 SHINGLE, BANDS, ROWS = 8, 14, 5
 #: Lines of a tile's side, about, and characters hashed at once.
 TILE, SPAN = 64, 500_000
+#: Shingles held against all lines of a batch at once.
+COLUMNS = 1 << 14
 _LINE = "k1 long, k2 long"
 
 
@@ -41,6 +43,12 @@ def line_key(line: str) -> tuple[int, int]:
     return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
+def line_keys(lines: Iterable[str]) -> np.ndarray:
+    """A row with the ``line_key`` of each line."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(line.encode("utf-8", "surrogatepass")) for line in lines]), "<i8").reshape(-1, 2)
+
+
 def shingles(line: str, n: int = SHINGLE) -> set[str]:
     """The distinct runs of n characters; a shorter line is its own one."""
     return {line[i:i + n] for i in range(max(1, len(line) - n + 1))}
@@ -75,15 +83,33 @@ def hashed_shingles(lines: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.
     return _mix(h[inside]), sizes - n + 1
 
 
-def hashed_sets(lines: list[str]) -> list[set[int]]:
-    """The distinct hashed shingles of each line."""
-    out: list[set[int]] = []
-    for part in spans(lines, SPAN):
-        h, counts = hashed_shingles(lines[part])
-        values, at = h.tolist(), 0
-        for count in counts.tolist():
-            out.append(set(values[at:at + count]))
-            at += count
+def similar_pairs(lines: list[str], x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Which of the pairs lines[x], lines[y] have a Jaccard similarity of ``least``: exact, by distinct hashed shingles.
+
+    A shingle that two lines or more have is a column of bits; a pair shares the bits that both rows have.
+    """
+    h, counts = hashed_shingles(lines)
+    order = np.argsort(h)
+    h, line = h[order], np.repeat(np.arange(len(lines)), counts)[order]
+    kind = np.cumsum(np.append(False, h[1:] != h[:-1]))
+    cells = np.sort(kind * len(lines) + line)
+    cells = cells[np.append(True, cells[1:] != cells[:-1])]
+    kind, line = np.divmod(cells, len(lines))
+    sizes = np.bincount(line, minlength=len(lines))
+    several = np.bincount(kind) > 1
+    line, kind = line[several[kind]], (np.cumsum(several) - 1)[kind[several[kind]]]
+    near = np.flatnonzero(np.minimum(sizes[x], sizes[y]) >= least * np.maximum(sizes[x], sizes[y]))
+    shared = np.zeros(len(near), np.int64)
+    for first in range(0, int(several.sum()) if len(near) else 0, COLUMNS):
+        i, j = np.searchsorted(kind, [first, first + COLUMNS])
+        grid = np.zeros((len(lines), min(COLUMNS, -(-int(kind[j - 1] - first + 1) // 64) * 64)), bool)
+        grid[line[i:j], kind[i:j] - first] = True
+        bits = np.packbits(grid, axis=1).view(np.uint64)
+        for at in range(0, len(near), 4096):
+            some = near[at:at + 4096]
+            shared[at:at + 4096] += np.bitwise_count(bits[x[some]] & bits[y[some]]).sum(axis=1, dtype=np.int64)
+    out = np.zeros(len(x), bool)
+    out[near] = (shared >= least * (sizes[x[near]] + sizes[y[near]] - shared)) | (x[near] == y[near])
     return out
 
 
@@ -129,8 +155,8 @@ def _classes(rows: DataFrame) -> DataFrame:
                         own[3] += 1
                         if (key is not None, key or 0, th, no) < (own[0] is not None, own[0] or 0, own[1], own[2]):
                             own[:3] = key, th, no
-            keys = [line_key(line) for line in seen]
-            yield {"k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "line": list(seen),
+            keys = line_keys(seen)
+            yield {"k1": keys[:, 0], "k2": keys[:, 1], "line": list(seen),
                    **{name: [v[i] for v in seen.values()] for i, name in enumerate(("doc_id", "th", "no", "n"))}}
 
     found = map_batches(rows, run, f"{_LINE}, line string, doc_id long, th long, no int, n long", "doc_id", "th", "text")
@@ -144,11 +170,11 @@ def _verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
 
     def run(ids: list, cs: list, lines: list, others: list) -> Iterator[dict[str, object]]:
         for part in spans(lines, SPAN):
-            known = dict.fromkeys(lines[part])
-            known.update(dict.fromkeys(others[part]))
-            sets = dict(zip(known, hashed_sets(list(known))))
-            yield {"id": ids[part], "c": cs[part],
-                   "similar": [jaccard(sets[x], sets[y], least) for x, y in zip(lines[part], others[part])]}
+            for k in range(part.start, part.stop, 2 * TILE):
+                own = slice(k, min(k + 2 * TILE, part.stop))
+                number = {line: i for i, line in enumerate(dict.fromkeys(lines[own] + others[own]))}
+                x, y = (np.array(list(map(number.__getitem__, some[own]))) for some in (lines, others))
+                yield {"id": ids[own], "c": cs[own], "similar": similar_pairs(list(number), x, y, least)}
 
     return map_batches(both, run, "id long, c long, similar boolean", "id", "c", "line", "other")
 
@@ -173,12 +199,27 @@ def _similar(x: list[set[int]], y: list[set[int]], x_groups: list[int], y_groups
     return list(zip(*(k.tolist() for k in np.nonzero((shared >= least * (sizes - shared)) & apart))))
 
 
-def across(members: DataFrame, lines: DataFrame, least: float, sets_of: Callable[[list], list[set]] = hashed_sets,
+def _similar_lines(known: list[str], lefts: list, rights: list, left_groups: list, right_groups: list,
+                   least: float) -> Iterator[list[tuple[int, int]]]:
+    """The same for the lines of several tiles, all of them ``known``."""
+    number = {line: i for i, line in enumerate(known)}
+    tiles, x, y = [], [], []
+    for left, right, a, b in zip(lefts, rights, left_groups, right_groups):
+        i, j = np.nonzero(np.array(a)[:, None] != np.array(b)[None, :])
+        tiles.append((i, j))
+        x.append(np.array(list(map(number.__getitem__, left)))[i])
+        y.append(np.array(list(map(number.__getitem__, right)))[j])
+    alike = similar_pairs(known, np.concatenate(x), np.concatenate(y), least)
+    for (i, j), own in zip(tiles, np.split(alike, np.cumsum([len(i) for i, _ in tiles])[:-1])):
+        yield list(zip(i[own].tolist(), j[own].tolist()))
+
+
+def across(members: DataFrame, lines: DataFrame, least: float, sets_of: Callable[[list], list[set]] | None = None,
            radius: int | None = None) -> DataFrame:
     """Edges (a, b) between similar ``members`` (band, id, component) of one band and two components.
 
     All but the largest component of a band are compared with all its members. lines (id, line) has what ``sets_of``
-    makes sets of; with a ``radius`` only ids that differ in so many bits at most are linked.
+    makes sets of, or else lines, which are compared by their shingles; with a ``radius`` only ids that differ in so many bits at most are linked.
     """
     largest = (members.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band")
                .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("groups"))
@@ -187,7 +228,7 @@ def across(members: DataFrame, lines: DataFrame, least: float, sets_of: Callable
     return _tiles(few, members, lines, least, sets_of, radius)
 
 
-def _tiles(few: DataFrame, members: DataFrame, lines: DataFrame, least: float, sets_of: Callable[[list], list[set]],
+def _tiles(few: DataFrame, members: DataFrame, lines: DataFrame, least: float, sets_of: Callable[[list], list[set]] | None,
            radius: int | None) -> DataFrame:
     """Edges (a, b) between rows of ``few`` and of ``members`` (band, id, component) of one band and two components."""
     sizes = few.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("nf")).join(
@@ -203,20 +244,26 @@ def _tiles(few: DataFrame, members: DataFrame, lines: DataFrame, least: float, s
 
     pairs = side(few, "nf", "na", "left").join(side(members, "na", "nf", "right"), ["band", "f", "a"])
 
-    def run(lefts: list, rights: list) -> dict[str, object]:
+    def run(left_ids: list, left_groups: list, lefts: list, right_ids: list, right_groups: list, rights: list) -> dict[str, object]:
         a, b, at = [], [], 0
         while at < len(lefts):
             # lines of many tiles are hashed at once, each of them once
             known: dict[str, None] = {}
-            end = at
-            while end < len(lefts) and (end == at or len(known) < 4 * TILE):
-                known.update(dict.fromkeys(r["line"] for rows in (lefts[end], rights[end]) for r in rows))
+            end, compared = at, 0
+            while end < len(lefts) and (end == at or len(known) < 4 * TILE and compared < 64 * TILE * TILE):
+                known.update(dict.fromkeys(lefts[end]))
+                known.update(dict.fromkeys(rights[end]))
+                compared += len(lefts[end]) * len(rights[end])
                 end += 1
-            sets = dict(zip(known, sets_of(list(known))))
-            for left, right in zip(lefts[at:end], rights[at:end]):
-                for i, j in _similar([sets[r["line"]] for r in left], [sets[r["line"]] for r in right],
-                                     [r["component"] for r in left], [r["component"] for r in right], least):
-                    x, y = left[i]["id"], right[j]["id"]
+            if sets_of:
+                sets = dict(zip(known, sets_of(list(known))))
+                found = (_similar([sets[x] for x in lefts[k]], [sets[x] for x in rights[k]], left_groups[k], right_groups[k], least)
+                         for k in range(at, end))
+            else:
+                found = _similar_lines(list(known), lefts[at:end], rights[at:end], left_groups[at:end], right_groups[at:end], least)
+            for k, pairs in enumerate(found, at):
+                for i, j in pairs:
+                    x, y = left_ids[k][i], right_ids[k][j]
                     if radius is None or ((x ^ y) & 0xFFFFFFFFFFFFFFFF).bit_count() <= radius:
                         a.append(x)
                         b.append(y)
@@ -224,7 +271,9 @@ def _tiles(few: DataFrame, members: DataFrame, lines: DataFrame, least: float, s
         child, root = forest(a, b)
         return {"a": child, "b": root}
 
-    return map_batches(pairs, run, "a long, b long", "left", "right")
+    # lists of numbers and of lines, not of rows: a row would be a dictionary in Python
+    parts = {f"{side}_{c}": F.col(f"{side}.{c}") for side in ("left", "right") for c in ("id", "component", "line")}
+    return map_batches(pairs.select(*(c.alias(name) for name, c in parts.items())), run, "a long, b long", *parts)
 
 
 def similar_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
@@ -291,13 +340,14 @@ def dedup_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
 
     def places(ids: list, ths: list, texts: list) -> Iterator[dict[str, object]]:
         for part in spans(texts):
-            out: dict[str, list] = {k: [] for k in ("k1", "k2", "doc_id", "th", "no")}
-            for key, th, text in zip(ids[part], ths[part], texts[part]):
-                for no, raw in enumerate(text.split("\n") if text else ()):
-                    if line := normal(raw):
-                        for name, value in zip(out, (*line_key(line), key, th, no)):
-                            out[name].append(value)
-            yield out
+            found, nos, rows = [], [], []
+            for row, text in enumerate(texts[part], part.start):
+                own = [(no, line) for no, raw in enumerate(text.split("\n") if text else ()) if (line := normal(raw))]
+                nos += [no for no, _ in own]
+                found += [line for _, line in own]
+                rows += [row] * len(own)
+            keys = line_keys(found)
+            yield {"k1": keys[:, 0], "k2": keys[:, 1], "doc_id": [ids[row] for row in rows], "th": [ths[row] for row in rows], "no": nos}
 
     seen = map_batches(_keyed(docs, id_col, text_col), places, f"{_LINE}, doc_id long, th long, no int",
                        "doc_id", "th", "text")

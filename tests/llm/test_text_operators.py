@@ -156,6 +156,20 @@ def test_hot_band_of_similar_and_of_different_lines(spark):
     assert 380 - sum(got.values()) == len(set(group.values()))
 
 
+@pytest.mark.parametrize("columns", [1 << 14, 64])
+def test_similar_pairs_by_bits_against_sets(monkeypatch, columns):
+    monkeypatch.setattr(lines, "COLUMNS", columns)
+    rng = random.Random(2)
+    some = ["".join(rng.choices("abé", k=rng.choice([1, 3, 8, 9, 40]))) for _ in range(200)]
+    some += [x[:20] + rng.choice("ab") + x[20:] for x in some[:80]]
+    x, y = (np.array([rng.randrange(len(some)) for _ in range(5000)]) for _ in range(2))
+    sets = [lines.shingles(line) for line in some]
+    for least in (0.1, 0.5, 0.8, 1.0):
+        assert lines.similar_pairs(some, x, y, least).tolist() == [lines.jaccard(sets[i], sets[j], least) for i, j in zip(x, y)]
+    assert len(lines.similar_pairs(some[:1], x[:0], y[:0], 0.8)) == 0
+    assert list(map(tuple, lines.line_keys([*some, "\ud800"]).tolist())) == [lines.line_key(line) for line in [*some, "\ud800"]]
+
+
 def test_band_recall_at_the_threshold():
     rng = np.random.default_rng(0)
     hits = 0
@@ -362,7 +376,7 @@ def test_only_pairs_with_a_new_token_are_looked_up_again(library, monkeypatch):
 
 def test_columns_as_lists():
     for column in (pa.array([1, None, 3]), pa.array([2 ** 63 - 1, -2 ** 63]), pa.array(["a", None, "\0é"]), pa.array([b"\xff\0", None]),
-                   pa.array([], pa.string()), pa.array([True, None]), pa.array([[1], None]), pa.array([b"x", None, b"zz"]).slice(1)):
+                   pa.array([], pa.string()), pa.array([True, None]), pa.array([[1], None]), pa.array([["a"], [], ["b", None]]).slice(1), pa.array([[[1], [2, 3]], []]), pa.array([b"x", None, b"zz"]).slice(1)):
         assert values(column) == column.to_pylist() and list(map(type, values(column))) == list(map(type, column.to_pylist()))
 
 
