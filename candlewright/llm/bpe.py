@@ -20,7 +20,7 @@ import hashlib
 import json
 import re
 import sys
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ from candlewright.llm.tables import id_and_text, map_batches, spans, values
 
 #: Words an encoder keeps; all are forgotten when there are more.
 KEPT_WORDS = 1_000_000
+#: Bytes of text that are encoded, decoded and sent on at once, about.
+SPAN = 1_000_000
 _NONE = np.int32(2 ** 31 - 1)
 #: The split pattern of the file as JSON text, and the same for two sets of characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -353,18 +355,18 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, columns: str, row: Callable,
            kept_words: int = KEPT_WORDS) -> DataFrame:
-    def run(keys: list, texts: list) -> dict[str, object]:
+    def run(keys: list, texts: list) -> Iterator[dict[str, object]]:
         vocabulary = Vocabulary.at(path)
         encoder = held(("encoder", path, kept_words), lambda: Encoder(vocabulary, kept_words=kept_words))
-        rows = []
-        for part in spans(texts):
+        for part in spans(texts, SPAN):
+            rows = []
             for ids in encoder.encode(texts[part]):
                 decoder, text = Decoder(vocabulary), []
                 for at in range(0, len(ids), 1 << 20):
                     text.append(decoder.push(np.frombuffer(ids[at:at + (1 << 20)], "<u4")))
                 text.append(decoder.push(np.zeros(0, "<u4"), final=True))
                 rows.append(row(ids, "".join(text)))
-        return {"doc_id": keys} | {k: [r[k] for r in rows] for k in rows[0]} if rows else {}
+            yield {"doc_id": keys[part]} | {k: [r[k] for r in rows] for k in rows[0]}
 
     return map_batches(id_and_text(docs, id_col, text_col), run, f"doc_id long, {columns}", "doc_id", "text")
 

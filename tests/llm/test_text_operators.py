@@ -20,7 +20,7 @@ from helpers import Sets, corpus, counted, prose, table  # noqa: E402
 
 from candlewright.llm import bpe, grammar, lines, simhash, substrings  # noqa: E402
 from candlewright.llm.components import components  # noqa: E402
-from candlewright.llm.tables import Scratch, values  # noqa: E402
+from candlewright.llm.tables import Scratch, map_batches, values  # noqa: E402
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ROWS = corpus()
@@ -352,6 +352,30 @@ def test_encode_and_decode_against_the_library(docs, library):
     assert sums["ids_sha256"] == hashlib.sha256(next(w[1] for w in want if w[0] == 105)).hexdigest()
 
 
+def test_a_batch_is_coded_and_sent_on_in_parts(library, monkeypatch):
+    monkeypatch.setattr(bpe, "id_and_text", lambda *_: None)
+    monkeypatch.setattr(bpe, "map_batches", lambda df, fn, *_: fn)
+    texts = [prose(random.Random(k), 4000).encode() if k % 7 else None for k in range(300)]
+    parts = list(bpe.encode_decode(None, PATH)(list(range(300)), texts))
+    sizes = [sum(len(texts[k] or b"") for k in part["doc_id"]) for part in parts]
+    assert len(parts) > 2 and max(sizes) < bpe.SPAN + max(len(t or b"") for t in texts)
+    assert [k for part in parts for k in part["doc_id"]] == list(range(300))
+    ids = [x for part in parts for x in part["ids"]]
+    for k in (0, 1, 150, 299):
+        assert ids[k] == np.array(library.encode((texts[k] or b"").decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_free_memory_goes_back_after_each_batch():
+    calls = []
+    kinds = pa.schema([("k", pa.int64())])
+    frame = type("Frame", (), {"select": lambda self, *_: self, "mapInArrow": lambda self, fn, _: fn})()
+    run = map_batches(frame, lambda keys: {"k": keys}, "k long", "k")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: calls.append(1)})())
+        out = list(run(iter([pa.record_batch([pa.array([1, 2])], schema=kinds), pa.record_batch([pa.array([3])], schema=kinds)])))
+    assert [x for part in out for x in part.column(0).to_pylist()] == [1, 2, 3] and len(calls) == 2
+
+
 ODD = ["<|endoftext|>x<|startoftext|>", "a<|endoftext|", "É́ ὈΣ Σ̈x İstanbul ﬁ ½ Ⅷ don't 'sam I'LL", "日本語　全角 x\u0085y z\x1cq", "ab" * 9000 + "." * 5000,
        "क्षि 한국어 ȩ́", "🙂👨‍👩‍👧 7٣४", "ǅ ẞ ŉ Ʉ", "th" * 3 + "an" * 10_000 + "ing"]
 
