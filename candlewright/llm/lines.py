@@ -30,10 +30,15 @@ SHINGLE, BANDS, ROWS = 8, 14, 5
 TILE, SPAN = 64, 500_000
 #: Shingles held against all lines of a batch at once.
 COLUMNS = 1 << 14
+#: Pairs verified at once; their places have eight bits.
+PAIRS = 256
 _LINE = "k1 long, k2 long"
 
 
 def normal(line: str) -> str:
+    # of white space, only the space is printable
+    if "  " not in line and line.isprintable():
+        return line.strip(" ").lower()
     return " ".join(line.split()).lower()
 
 
@@ -113,6 +118,26 @@ def similar_pairs(lines: list[str], x: np.ndarray, y: np.ndarray, least: float)
     return out
 
 
+def alike(x: list[str], y: list[str], least: float) -> np.ndarray:
+    """Which of the pairs x[i], y[i] have a Jaccard similarity of ``least``: exact, by distinct hashed shingles.
+
+    A shingle of a pair is a number of 64 bits, the pair's place (256 pairs at once) above 56 bits of the hash.
+    """
+    out = []
+    for at in range(0, len(x), PAIRS):
+        sides = []
+        for lines in (x[at:at + PAIRS], y[at:at + PAIRS]):
+            h, counts = hashed_shingles(lines)
+            cells = np.sort((np.repeat(np.arange(len(counts)), counts).astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8)))
+            sides.append(cells[np.append(True, cells[1:] != cells[:-1])])
+        n = len(x[at:at + PAIRS])
+        own, other = (np.bincount((cells >> np.uint64(56)).astype(np.int64), minlength=n) for cells in sides)
+        both = np.sort(np.concatenate(sides))
+        shared = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(56)).astype(np.int64), minlength=n)
+        out.append(shared >= least * (own + other - shared))
+    return np.concatenate(out) if out else np.zeros(0, bool)
+
+
 def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """Keys of each line's bands: minima of hashed shingles in bands * rows bins."""
     k, none = bands * rows, np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -126,14 +151,15 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.ndar
         least.append(own.reshape(-1, k))
     least = np.concatenate(least)
     # an empty bin takes the next one that is not, changed by its distance
-    place = np.where(least == none, 2 * k, np.arange(k))
+    gaps = np.flatnonzero((least == none).any(axis=1))
+    own = least[gaps]
+    place = np.where(own == none, 2 * k, np.arange(k))
     place = np.concatenate([place, np.minimum(place + k, 2 * k)], axis=1)
     ahead = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :k]
-    filled = np.take_along_axis(least, ahead % k, axis=1)
-    filled = filled + (ahead - np.arange(k)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    least[gaps] = np.take_along_axis(own, ahead % k, axis=1) + (ahead - np.arange(k)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     key = np.zeros((len(least), bands), np.uint64)
     for r in range(rows):
-        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + filled[:, r::rows] + np.arange(bands, dtype=np.uint64))
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, r::rows] + np.arange(bands, dtype=np.uint64))
     return key.view(np.int64)
 
 
@@ -151,7 +177,10 @@ def _classes(rows: DataFrame) -> DataFrame:
             for key, th, text in zip(ids[part], ths[part], texts[part]):
                 for no, raw in enumerate(text.split("\n") if text else ()):
                     if line := normal(raw):
-                        own = seen.setdefault(line, [key, th, no, 0])
+                        own = seen.get(line)
+                        if own is None:
+                            seen[line] = [key, th, no, 1]
+                            continue
                         own[3] += 1
                         if (key is not None, key or 0, th, no) < (own[0] is not None, own[0] or 0, own[1], own[2]):
                             own[:3] = key, th, no
@@ -169,12 +198,8 @@ def _verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
     both = pairs.join(lines, "id").join(lines.select(F.col("id").alias("c"), F.col("line").alias("other")), "c")
 
     def run(ids: list, cs: list, lines: list, others: list) -> Iterator[dict[str, object]]:
-        for part in spans(lines, SPAN):
-            for k in range(part.start, part.stop, 2 * TILE):
-                own = slice(k, min(k + 2 * TILE, part.stop))
-                number = {line: i for i, line in enumerate(dict.fromkeys(lines[own] + others[own]))}
-                x, y = (np.array(list(map(number.__getitem__, some[own]))) for some in (lines, others))
-                yield {"id": ids[own], "c": cs[own], "similar": similar_pairs(list(number), x, y, least)}
+        for part in spans([max(pair, key=len) for pair in zip(lines, others)], SPAN):
+            yield {"id": ids[part], "c": cs[part], "similar": alike(lines[part], others[part], least)}
 
     return map_batches(both, run, "id long, c long, similar boolean", "id", "c", "line", "other")
 
@@ -290,17 +315,18 @@ def similar_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
         for part in spans(lines, 8 * SPAN):
             keys = band_keys(lines[part])
             own = np.repeat(np.array(ids[part], np.int64), keys.shape[1])
-            band = keys.ravel()
+            band = keys.ravel() & ~1
             order = np.lexsort((own, band))
             band, own = band[order], own[order]
             new = np.concatenate(([True], band[1:] != band[:-1]))
             first = own[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            # the others of a band have their candidate already and travel under a key of their own
-            key = np.where(new, band, _mix((band + own * 2654435761).view(np.uint64)).view(np.int64))
+            # the others of a band have their candidate already and travel under a key of their own, an odd one;
+            # a window by one number is sorted by radix
+            key = np.where(new, band, _mix((band + own * 2654435761).view(np.uint64)).view(np.int64) | 1)
             yield {"key": key, "band": band, "id": own, "c": np.where(new, -1, first)}
 
     signed = map_batches(classes, sign, "key long, band long, id long, c long", "id", "line")
-    first = F.when(F.col("c") >= 0, F.col("c")).otherwise(F.min("id").over(Window.partitionBy("key", F.col("c") >= 0)))
+    first = F.when(F.col("c") >= 0, F.col("c")).otherwise(F.min("id").over(Window.partitionBy("key")))
     pairs = scratch.put(signed.withColumn("c", first).where("id <> c").select("band", "id", "c"), "pairs")
     # the lines that are compared at all, so that the others move once
     used = pairs.select("id").union(pairs.select("c")).distinct()

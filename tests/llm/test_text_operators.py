@@ -170,6 +170,21 @@ def test_similar_pairs_by_bits_against_sets(monkeypatch, columns):
     assert list(map(tuple, lines.line_keys([*some, "\ud800"]).tolist())) == [lines.line_key(line) for line in [*some, "\ud800"]]
 
 
+def test_pairs_verified_apart_against_sets():
+    rng = random.Random(6)
+    x = ["", "a", "aaaaaaaaaaaa", prose(rng, 300, 300)] + [prose(rng, 14, 14) for _ in range(600)]
+    y = ["", "b", "aaaaaaaaaaaaaaaa", x[3]] + ["".join(c if rng.random() > 0.03 * (k % 3) else "#" for c in line) for k, line in enumerate(x[4:])]
+    want = [lines.jaccard(lines.shingles(a), lines.shingles(b), 0.8) for a, b in zip(x, y)]
+    assert lines.alike(x, y, 0.8).tolist() == want and 0.2 < sum(want) / len(want) < 0.9
+    assert lines.alike([], [], 0.8).tolist() == []
+
+
+def test_white_space_of_lines():
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    for line in ["", " ", "a  b", " A b ", "\u200bA\u00ad b", "\ud800 x", *(f"{s}A{s}{t}b{t}" for s in spaces for t in spaces)]:
+        assert lines.normal(line) == " ".join(line.split()).lower()
+
+
 def test_band_recall_at_the_threshold():
     rng = np.random.default_rng(0)
     hits = 0
