@@ -8,9 +8,10 @@ therefore cuts long pieces into windows, merges a window as it stands and emits
 the tokens that end that far before its edge; the rest goes into the next window.
 Windows of many pieces are merged at once in numpy, the lowest rank of each first.
 
-Normalisation and the split into pieces are those of the tokenizer file, piece by
-piece: neither looks across white space, so distinct words are encoded once per
-task and kept in a dictionary of bounded size.
+Normalisation and the split into pieces are those of the tokenizer file: neither looks
+across white space. Words of ASCII and Latin letters are split by classes of bytes, a
+whole batch at once, other words by the library; distinct pieces (and words that the
+library splits) are encoded once and kept in a dictionary of bounded size.
 """
 
 from __future__ import annotations
@@ -28,19 +29,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from candlewright.llm.tables import id_and_text, map_batches, spans, values
 
-#: Words an encoder keeps; all are forgotten when there are more.
+#: Pieces and words an encoder keeps; all are forgotten when there are more.
 KEPT_WORDS = 1_000_000
 #: Bytes of text that are encoded, decoded and sent on at once, about.
 SPAN = 1_000_000
 _NONE = np.int32(2 ** 31 - 1)
-#: The split pattern of the file as JSON text, and the same for two sets of characters.
+#: The split pattern of the file as JSON text, and the letters of two bytes that it is followed for here.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
-_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^a-z0-9{_LETTERS}]+")
-_ASCII_LINES = re.compile(rb"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\n]+")
-_LATIN_LINES = re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^a-z0-9{_LETTERS}\n]+")
-_LATIN_WORD = re.compile(f"[!-~{_LETTERS}]+")
+_LETTERS = re.compile("[\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]")
+#: Classes of bytes; a lead is the first byte of what may be such a letter, a word with others goes to the library.
+_SPACE, _LETTER, _DIGIT, _SIGN, _LEAD, _OTHER = range(6)
+
+
+def _byte_classes() -> tuple[np.ndarray, np.ndarray]:
+    """The class of each byte; for a lead less 0xC3 and the byte behind it the two of the small letter, as one number, or 0."""
+    kinds, pairs = np.full(256, _OTHER, np.uint8), np.zeros((3, 256), np.uint16)
+    kinds[33:127], kinds[[32, *range(9, 14)]], kinds[0xC3:0xC6] = _SIGN, _SPACE, _LEAD
+    for span, kind in ((b"09", _DIGIT), (b"AZ", _LETTER), (b"az", _LETTER)):
+        kinds[span[0]:span[1] + 1] = kind
+    for c in filter(_LETTERS.match, map(chr, range(0xC0, 0x180))):
+        lead, behind = c.encode()
+        pairs[lead - 0xC3, behind] = int.from_bytes(c.lower().encode(), "big")
+    return kinds, pairs
+
+
+_KINDS, _PAIRS = _byte_classes()
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 
 def held(key: object, build: Callable[[], object]) -> object:
@@ -148,44 +162,54 @@ class Vocabulary:
         return held(("vocabulary", path), lambda: Vocabulary(path))
 
     def pieces(self, word: bytes) -> list[bytes]:
-        """The bytes of each piece of a word without white space."""
-        if self.plain and word.isascii():
-            return _ASCII.findall(word.lower())
+        """The bytes of each piece of a word without white space, by the library."""
         text = word.decode("utf-8", "replace")
-        if self.plain and _LATIN_WORD.fullmatch(text):
-            return [p.encode() for p in _LATIN.findall(text.lower())]
         if self.library.normalizer:
             text = self.library.normalizer.normalize_str(text)
         found = self.library.pre_tokenizer.pre_tokenize_str(text)
         return [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in found]
 
-    def split(self, words: Iterable[bytes]) -> tuple[list[bytes], list[bytes], np.ndarray]:
-        """The words in another order, the pieces of all of them in a row, and how many there are up to each word's end.
+    def split(self, body: np.ndarray, plain: bool, whole: Iterable[tuple[int, int]] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For text that ends in white space: its bytes in lower case, their classes, and which of them begin a piece.
 
-        Words of ASCII and Latin letters are split many at a time.
+        Words that the library has to split, and ``whole`` words from a byte up to another, stay as
+        they are, as one piece of the class of other bytes. With ``plain`` False all words do.
         """
-        words = list(words)
-        plain = [word for word in words if word.isascii()] if self.plain else []
-        rest = [word for word in words if not word.isascii()] if self.plain else words
-        # white space is in no word
-        flat = _ASCII_LINES.findall(b"\n".join(plain).lower())
-        if self.plain and rest:
-            texts = b"\n".join(rest).decode("utf-8", "replace").split("\n")
-            known = list(map(bool, map(_LATIN_WORD.fullmatch, texts)))
-            latin = "\n".join(text for text, easy in zip(texts, known) if easy).lower()
-            if latin:
-                flat += [b"\n"] if plain else []
-                flat += "\0".join(_LATIN_LINES.findall(latin)).encode().split(b"\0")
-            plain += [word for word, easy in zip(rest, known) if easy]
-            rest = [word for word, easy in zip(rest, known) if not easy]
-        edges = np.flatnonzero(np.fromiter(map(b"\n".__eq__, flat), bool, len(flat)))
-        upto = (edges - np.arange(len(edges))).tolist()
-        flat = [piece for piece in flat if piece != b"\n"]
-        upto += [len(flat)] if plain else []
-        for word in rest:
-            flat += self.pieces(word)
-            upto.append(len(flat))
-        return plain + rest, flat, np.array(upto, np.int64)
+        kind, low = _KINDS[body], _LOWER[body]
+        if plain:
+            lead = np.flatnonzero(kind == _LEAD)
+            pair = _PAIRS[body[lead] - np.uint8(0xC3), body[lead + 1]]
+            lead, pair = lead[pair > 0], pair[pair > 0]
+            low[lead], low[lead + 1] = pair >> 8, pair & 255
+            kind[lead] = kind[lead + 1] = _LETTER
+            for a, b in whole:
+                kind[a:b] = _OTHER
+            other = np.flatnonzero(kind >= _LEAD)
+            if len(other):
+                space = np.concatenate(([-1], np.flatnonzero(kind == _SPACE)))
+                word = np.searchsorted(space, other)
+                word = word[np.diff(word, prepend=-1) > 0]
+                edge = np.zeros(len(body), np.int8)
+                edge[space[word - 1] + 1], edge[space[word]] = 1, -1
+                other = np.flatnonzero(np.cumsum(edge, dtype=np.int8))
+        else:
+            other = np.flatnonzero(kind != _SPACE)
+        kind[other], low[other] = _OTHER, body[other]
+        first = np.append(True, kind[1:] != kind[:-1])
+        first |= kind == _DIGIT
+        first &= kind != _SPACE
+        # 's 't 'm 'd 're 've 'll are pieces where the sign stands alone before the letters
+        at = np.flatnonzero(low == 39)
+        at = at[first[at] & (kind[at] == _SIGN)]
+        at = at[kind[at + 1] == _LETTER]
+        a, b = low[at + 1], low[at + 2]
+        size = np.isin(a, np.frombuffer(b"stmd", np.uint8)) + 2 * np.isin(
+            a.astype(np.int64) << 8 | b, [int.from_bytes(x, "big") for x in (b"re", b"ve", b"ll")])
+        at, size = at[size > 0], size[size > 0]
+        first[at + 1] = False
+        behind = at + 1 + size
+        first[behind] |= kind[behind] == _LETTER
+        return low, kind, first
 
 
 class Encoder:
@@ -196,8 +220,9 @@ class Encoder:
         self.window = max(window, 2 * vocabulary.lookahead + 2)
         if any(len(name.split()) != 1 or name.strip() != name for name in vocabulary.special):
             raise ValueError("special tokens with white space are not known")
-        # between spaces, special tokens are words
+        # between spaces, special tokens are words, and none may be what a piece can be
         self.fixed = {name: i.to_bytes(4, "little") for name, i in vocabulary.special.items()}
+        self.plain = vocabulary.plain and all(len(vocabulary.pieces(name)) > 1 for name in self.fixed)
         self.kept_words, self.words = kept_words, dict(self.fixed)
         names = sorted(map(re.escape, vocabulary.special), key=len, reverse=True)
         self.special = re.compile(b"(" + b"|".join(names) + b")") if names else None
@@ -221,26 +246,25 @@ class Encoder:
             starts = np.flatnonzero(np.concatenate(([True], last[:-1])))
             low = np.repeat(np.minimum.reduceat(ranks, starts), np.diff(np.append(starts, len(ids))))
             over = low == _NONE
-            if over.any():
-                out_ids.append(ids[over])
-                out_owner.append(owner[over])
-                left = ~over
-                ids, owner, ranks, last, low = ids[left], owner[left], ranks[left], last[left], low[left]
-                if not len(ids):
-                    break
+            done = np.flatnonzero(over)
+            out_ids.append(ids[done])
+            out_owner.append(owner[done])
             hit = ranks == low
+            hit &= ~over
             # of hits in a row every second one, from the left
             if (hit[1:] & hit[:-1]).any():
                 at = np.arange(len(hit))
                 run = at - np.maximum.accumulate(np.where(hit, -1, at))
                 hit &= run % 2 == 1
             at = np.flatnonzero(hit)
-            keep = np.ones(len(ids), bool)
+            keep = ~over
             keep[at + 1] = False
             ids[at], last[at] = v.made[ranks[at]], last[at + 1]
+            place = np.cumsum(keep)
+            at = place[at] - 1
+            keep = np.flatnonzero(keep)
             ids, owner, ranks, last = ids[keep], owner[keep], ranks[keep], last[keep]
             # only pairs with a new token have another rank
-            at -= np.arange(len(at))
             before = at[at > 0] - 1
             new = np.concatenate([at, before[~last[before]]])
             ranks[new] = _NONE
@@ -271,9 +295,13 @@ class Encoder:
             todo = again
         return [x[0] if len(x) == 1 else np.concatenate(x) for x in done]
 
-    def learn(self, words: Iterable[bytes]) -> None:
-        """Encode distinct words and keep their ids as little-endian unsigned 32-bit integers."""
-        words, flat, upto = self.vocabulary.split(words)
+    def learn(self, words: list[bytes], other: list[bool]) -> None:
+        """Encode distinct pieces, of which the ``other`` are words still to split, and keep their ids as
+        little-endian unsigned 32-bit integers."""
+        flat, upto = words, np.arange(1, len(words) + 1)
+        if any(other):
+            parts = [self.vocabulary.pieces(word) if split else [word] for word, split in zip(words, other)]
+            flat, upto = [piece for part in parts for piece in part], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
         if max(map(len, flat), default=0) <= self.window:
             ids, counts = self._merge(flat, np.ones(len(flat), bool))
         else:
@@ -288,27 +316,32 @@ class Encoder:
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text as bytes; a null text has none."""
         spaced = [self.special.sub(rb" \1 ", text) if text and self.special and b"<" in text else text or b"" for text in texts]
-        body = np.frombuffer(b" ".join(spaced) + b" ", np.uint8)
-        space = (body == 32) | (body - np.uint8(9) < 5)
-        inside = np.flatnonzero(~space)
-        # the words' bytes in a row, and where each word ends among them
-        last = np.flatnonzero(space[inside + 1])
-        offsets = np.concatenate(([0], last + 1)).astype(np.int32)
-        words = pa.Array.from_buffers(pa.binary(), len(last), [None, pa.py_buffer(offsets), pa.py_buffer(body[inside])]).dictionary_encode()
-        place, distinct = words.indices.to_numpy(), values(words.dictionary)
+        text = b" ".join(spaced) + b" "
+        whole = [m.span() for m in self.special.finditer(text)] if self.special and b"<" in text else []
+        low, kind, first = self.vocabulary.split(np.frombuffer(text, np.uint8), self.plain, whole)
+        at, inside = np.flatnonzero(first), np.flatnonzero(kind != _SPACE)
+        # the pieces' bytes in a row, and where each of them begins
+        low, offsets = low[inside], np.flatnonzero(first[inside])
+        offsets = np.append(offsets, len(low)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(low)]).dictionary_encode()
+        place, distinct = pieces.indices.to_numpy(), values(pieces.dictionary)
         found = list(map(self.words.get, distinct))
-        new = [word for word, ids in zip(distinct, found) if ids is None]
+        new = [k for k, ids in enumerate(found) if ids is None]
         if len(self.words) + len(new) > self.kept_words:
             self.words = dict(self.fixed)
         if new:
-            self.learn(new)
-            found = [self.words[word] if ids is None else ids for word, ids in zip(distinct, found)]
+            other = np.zeros(len(distinct), bool)
+            other[place[kind[at] == _OTHER]] = True
+            words = [distinct[k] for k in new]
+            self.learn(words, other[new].tolist())
+            for k, word in zip(new, words):
+                found[k] = self.words[word]
         counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat, first, counts = np.frombuffer(b"".join(found), "<u4"), (np.cumsum(counts) - counts)[place], counts[place]
+        flat, start, counts = np.frombuffer(b"".join(found), "<u4"), (np.cumsum(counts) - counts)[place], counts[place]
         upto = np.concatenate(([0], np.cumsum(counts)))
-        ids = flat[np.repeat(first - upto[:-1], counts) + np.arange(upto[-1])].tobytes()
+        ids = flat[np.repeat(start - upto[:-1], counts) + np.arange(upto[-1])].tobytes()
         ends = np.cumsum(np.fromiter(map(len, spaced), np.int64, len(spaced)) + 1)
-        ends = (4 * upto[np.searchsorted(inside[last], ends)]).tolist()
+        ends = (4 * upto[np.searchsorted(at, ends)]).tolist()
         return [ids[i:j] for i, j in zip([0, *ends], ends)]
 
 

@@ -30,14 +30,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from candlewright.llm.bpe import Encoder, Vocabulary, held
-from candlewright.llm.tables import Scratch, id_and_text, map_batches, spans
+from candlewright.llm.tables import Scratch, id_and_text, map_batches, spans, values
 
 #: Ids of a block, about; one document may be longer.
 BLOCK_IDS = 1 << 20
 #: Uses from which a rule saves space.
 LEAST = 3
-#: Ids read back at a time, about.
-READ_IDS = 1 << 16
+#: Ids read back at a time, about; ids of a rule up to which all that it stands for is held while a block is read.
+READ_IDS, SHORT = 1 << 16, 64
 
 BLOCK_SCHEMA = ("shard long, block long, n_ids long, first_rule long, doc_ids array<long>, doc_ends binary, "
                 "n_rules int, longest long, n_symbols int, rules binary, lengths binary, sequence binary")
@@ -54,10 +54,11 @@ class Grammar:
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         """Ids each symbol stands for."""
-        out = np.ones(len(symbols), np.int64)
-        rule = symbols >= self.first_rule
-        out[rule] = self.lengths[symbols[rule] - self.first_rule]
-        return out
+        return self.every_size[symbols]
+
+    @cached_property
+    def every_size(self) -> np.ndarray:
+        return np.append(np.ones(self.first_rule, np.int64), self.lengths)
 
     @cached_property
     def ends(self) -> np.ndarray:
@@ -65,22 +66,35 @@ class Grammar:
         return np.cumsum(self.sizes(self.sequence))
 
     @cached_property
-    def halves(self) -> np.ndarray:
-        """Ids the first symbol of each rule stands for."""
-        return self.sizes(self.rules[:, 0])
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, what the short rules stand for behind them, and the place of each symbol's ids there (-1: not short)."""
+        at = np.arange(len(self.every_size))
+        made = np.flatnonzero(self.lengths <= SHORT)
+        ends = self.first_rule + np.cumsum(self.lengths[made])
+        at[self.first_rule:] = -1
+        at[self.first_rule + made] = ends - self.lengths[made]
+        ids = np.arange(int(ends[-1]) if len(made) else self.first_rule, dtype=np.uint32)
+        # a rule's parts are shorter, so those of one length need only what is there
+        made = made[np.argsort(self.lengths[made], kind="stable")]
+        for some in np.split(made, np.flatnonzero(np.diff(self.lengths[made])) + 1) if len(made) else ():
+            left, right = self.rules[some].T
+            k, n = np.arange(self.lengths[some[0]]), self.sizes(left)[:, None]
+            ids[at[self.first_rule + some][:, None] + k] = ids[np.where(k < n, at[left][:, None] + k, at[right][:, None] + k - n)]
+        return ids, at
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """All ids of some symbols; lengths say where the halves of a rule go."""
+        """All ids of some symbols: long rules are broken up, what is left is looked up."""
+        ids, place = self.table
+        while len(long := np.flatnonzero(place[symbols] < 0)):
+            halves = self.rules[symbols[long] - self.first_rule]
+            twice = np.ones(len(symbols), np.int64)
+            twice[long] = 2
+            symbols = np.repeat(symbols, twice)
+            long += np.arange(len(long))
+            symbols[long], symbols[long + 1] = halves.T
         size = self.sizes(symbols)
-        at = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.int64)
-        while len(symbols):
-            rule = symbols >= self.first_rule
-            out[at[~rule]] = symbols[~rule]
-            at, made = at[rule], symbols[rule] - self.first_rule
-            at = np.stack([at, at + self.halves[made]], axis=1).ravel()
-            symbols = self.rules[made].ravel()
-        return out
+        ends = np.cumsum(size)
+        return ids[np.repeat(place[symbols] - ends + size, size) + np.arange(int(size.sum()))]
 
     def slice(self, start: int, count: int) -> np.ndarray:
         """Ids start to start + count, expanding no other symbols than those they lie in."""
@@ -89,17 +103,23 @@ class Grammar:
         return self.expand(self.sequence[first:last + 1])[skip:skip + count]
 
 
-def _pairs(left: np.ndarray, right: np.ndarray, apart: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of symbols up to ``top`` as sorted numbers, and which of ``apart`` each of them is."""
-    key = left[apart].astype(np.int64) << 32 | right[apart]
+def _pairs(left: np.ndarray, right: np.ndarray, overlap: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs of symbols up to ``top`` but for those at ``overlap``: as sorted numbers, the place of each, and the bits of ``right`` in one."""
     width, places = int(top).bit_length(), int(len(left)).bit_length()
+    key = left.astype(np.int64)
+    key <<= width
+    key |= right
     if 2 * width + places > 63:
-        order = np.argsort(key)
-        return key[order], apart[order]
+        key[overlap] = -1
+        order = np.argsort(key)[len(overlap):]
+        return key[order], order, width
     # a sort of numbers takes a fourth of the time of one of places
-    both = np.sort((key >> 32 << width | key & 0xFFFFFFFF) << places | apart)
-    key = both >> places
-    return key >> width << 32 | key & (1 << width) - 1, both & (1 << places) - 1
+    key <<= places
+    key |= np.arange(len(left))
+    key[overlap] = -1
+    key.sort()
+    key = key[len(overlap):]
+    return key >> places, key & (1 << places) - 1, width
 
 
 def repair(ids: np.ndarray, first_rule: int, least: int = LEAST) -> Grammar:
@@ -115,14 +135,14 @@ def repair(ids: np.ndarray, first_rule: int, least: int = LEAST) -> Grammar:
         turn = np.arange(len(twice))
         turn -= np.maximum.accumulate(np.where(np.diff(at[twice], prepend=-2) == 1, 0, turn))
         overlap = twice[turn % 2 == 1]
-        apart = np.delete(np.arange(len(at)), overlap)
-        known, order = _pairs(left, right, apart, first_rule + len(grammar.rules))
+        known, order, width = _pairs(left, right, overlap, first_rule + len(grammar.rules))
         starts = np.flatnonzero(np.concatenate(([True], known[1:] != known[:-1])))
         counts = np.diff(np.append(starts, len(order)))
         often = np.flatnonzero(counts >= least)
         if not len(often):
             break
-        order = order[np.repeat(counts >= least, counts)]
+        # places of a mask are taken three times as fast as the mask itself
+        order = order[np.flatnonzero(np.repeat(counts >= least, counts))]
         known, counts = known[starts[often]], counts[often]
 
         # where pairs overlap, the one of more copies (in steps of a fourth root of two) goes first
@@ -131,19 +151,23 @@ def repair(ids: np.ndarray, first_rule: int, least: int = LEAST) -> Grammar:
         rank[np.argsort((4 * np.log2(counts)).astype(np.int64) << 32 | mixed)] = np.arange(len(often))
         pair = np.full(len(at), -1, np.int32)
         pair[order] = np.repeat(rank, counts)
-        weight = np.full(len(sequence) + 1, -1, np.int32)
-        weight[at + 1] = pair
+        some = np.flatnonzero(pair >= 0)
+        place, weight = at[some], pair[some]
         pair[overlap] = pair[overlap - 1]
         opened[at] = pair >= 0
-        inner = weight[1:-1]
-        w = np.flatnonzero((inner >= 0) & (inner > weight[:-2]) & (inner > weight[2:]))
-        chosen = inner[w]
+        apart = place[1:] - place[:-1] > 1
+        most = np.ones(len(some), bool)
+        most[1:] &= apart | (weight[1:] > weight[:-1])
+        most[:-1] &= apart | (weight[:-1] > weight[1:])
+        most = np.flatnonzero(most)
+        w, chosen = place[most], weight[most]
         used = np.bincount(chosen, minlength=len(often))[rank] >= least
         name = np.full(len(often), -1, np.int32)
         name[rank[used]] = np.arange(used.sum()) + first_rule + len(grammar.rules)
         name = name[chosen]
-        w, name = w[name >= 0], name[name >= 0]
-        rules = np.stack([known[used] >> 32, known[used] & 0xFFFFFFFF], axis=1)
+        named = np.flatnonzero(name >= 0)
+        w, name = w[named], name[named]
+        rules = np.stack([known[used] >> width, known[used] & (1 << width) - 1], axis=1)
         lengths = grammar.sizes(rules[:, 0]) + grammar.sizes(rules[:, 1])
         sequence[w] = name
         keep = np.ones(len(sequence), bool)
@@ -151,7 +175,8 @@ def repair(ids: np.ndarray, first_rule: int, least: int = LEAST) -> Grammar:
         opened = np.append(opened, False)
         opened[w] = True
         opened[np.maximum(w - 1, 0)] = True
-        sequence, opened = sequence[keep], opened[keep][:-1]
+        keep = np.flatnonzero(keep)
+        sequence, opened = sequence[keep], opened[keep[:-1]]
         grammar = Grammar(first_rule, np.concatenate([grammar.rules, rules]), np.concatenate([grammar.lengths, lengths]), sequence)
     grammar.sequence = grammar.sequence.astype(np.int64)
     return grammar
@@ -159,15 +184,25 @@ def repair(ids: np.ndarray, first_rule: int, least: int = LEAST) -> Grammar:
 
 def pack_bits(numbers: np.ndarray, top: int) -> bytes:
     """Numbers up to ``top`` (below 2 ** 32) in as many bits as that takes."""
-    bits = np.unpackbits(numbers.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-    return np.packbits(bits[:, :int(top).bit_length()], bitorder="little").tobytes()
+    width = int(top).bit_length()
+    # eight numbers take whole bytes
+    eight = np.zeros((-(-len(numbers) // 8), 8), np.uint64)
+    eight.reshape(-1)[:len(numbers)] = numbers
+    words = np.zeros((len(eight), width // 8 + 2), "<u8")
+    for k in range(8):
+        word, shift = divmod(k * width, 64)
+        words[:, word] |= eight[:, k] << np.uint64(shift)
+        if shift + width > 64:
+            words[:, word + 1] |= eight[:, k] >> np.uint64(64 - shift)
+    return words.view(np.uint8)[:, :width].tobytes()[:-(-len(numbers) * width // 8)]
 
 
 def unpack_bits(packed: bytes, count: int, top: int) -> np.ndarray:
     width = int(top).bit_length()
-    bits = np.zeros((count, 32), np.uint8)
-    bits[:, :width] = np.unpackbits(np.frombuffer(packed, np.uint8), count=count * width, bitorder="little").reshape(count, width)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel().astype(np.int64)
+    # the eight bytes from any byte on as one number
+    words = np.ndarray(len(packed) + 1, "<u8", packed + bytes(8), strides=(1,))
+    bit = np.arange(count) * width
+    return (words[bit >> 3] >> (bit & 7).astype(np.uint64) & np.uint64((1 << width) - 1)).astype(np.int64)
 
 
 def _pack(shard: int, block: int, doc_ids: list, coded: list[bytes], first_rule: int) -> dict[str, object]:
@@ -209,8 +244,8 @@ def write_ids(docs: DataFrame, path: str, scratch: Scratch, end_id: int | None =
             return pa.RecordBatch.from_pylist([_pack(shard, block, doc_ids, coded, first_rule)], schema=kinds)
 
         for batch in batches:
-            keys, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
-            for part in spans(texts, 2_000_000):
+            keys, texts = (values(batch.column(c)) for c in ("doc_id", "text"))
+            for part in spans(texts):
                 for key, ids in zip(keys[part], encoder.encode(texts[part])):
                     doc_ids.append(key)
                     coded.append(ids + tail)

@@ -413,6 +413,42 @@ def test_only_pairs_with_a_new_token_are_looked_up_again(library, monkeypatch):
     assert sum(asked) <= 3 * sum(len(w.encode()) for w in words)
 
 
+def test_pieces_of_different_words_are_merged_once(library, monkeypatch):
+    merged, merge = [], bpe.Encoder._merge
+    monkeypatch.setattr(bpe.Encoder, "_merge", lambda self, windows, closed: merged.extend(windows) or merge(self, windows, closed))
+    texts = ["Bahn, (bahn) BAHN. «bahn» été-Été!", None, "bahn's bahn 7bahn77 'été' École/école"]
+    encoder = bpe.Encoder(bpe.Vocabulary.at(PATH))
+    for _ in range(2):
+        got = encoder.encode([t and t.encode() for t in texts])
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    # the library splits «bahn», so the piece is merged a second time there
+    assert {p: merged.count(p) for p in set(merged)} == dict.fromkeys(
+        [p.encode() for p in [",", "(", ")", ".", "été", "-", "!", "'s", "7", "'", "école", "/", "«", "»"]], 1) | {b"bahn": 2}
+
+
+@pytest.mark.parametrize("kept_words", [20, bpe.KEPT_WORDS])
+def test_splits_of_random_characters_against_the_library(library, kept_words):
+    rng = random.Random(kept_words)
+    signs = ["'", "'S", "'ll", "'RE", "'v", *"strevmld .,\n\t0Z[", *"éÉŸ×÷İıſŉĸŁµªK", "\u0301", "\x1c", "\x7f", "\u0085", "日", "<|endoftext|>", "<|"]
+    texts = ["".join(rng.choices(rng.choice([signs, list(map(chr, range(0x250)))]), k=rng.randrange(30))) for _ in range(1500)]
+    encoder = bpe.Encoder(bpe.Vocabulary.at(PATH), kept_words=kept_words)
+    for some in (texts[:1000], texts[1000:1003], texts[1003:]):
+        for text, ids in zip(some, encoder.encode([t.encode() for t in some])):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("short", [1, 2, 64, 1 << 20])
+def test_short_rules_are_looked_up_and_long_ones_broken_up(monkeypatch, short):
+    monkeypatch.setattr(grammar, "SHORT", short)
+    rng = np.random.default_rng(3)
+    for ids in (np.tile(rng.integers(0, 40, 700), 9), np.zeros(1000, np.int64), np.arange(30), np.zeros(0, np.int64)):
+        g = grammar.repair(ids, 40)
+        table, place = g.table
+        assert len(table) == 40 + g.lengths[g.lengths <= short].sum() and ((place[40:] < 0) == (g.lengths > short)).all()
+        assert g.expand(g.sequence).tolist() == ids.tolist()
+        assert all(g.slice(at, 25).tolist() == ids[at:at + 25].tolist() for at in range(0, max(len(ids) - 25, 1), 97))
+
+
 def test_columns_as_lists():
     for column in (pa.array([1, None, 3]), pa.array([2 ** 63 - 1, -2 ** 63]), pa.array(["a", None, "\0é"]), pa.array([b"\xff\0", None]),
                    pa.array([], pa.string()), pa.array([True, None]), pa.array([[1], None]), pa.array([["a"], [], ["b", None]]).slice(1), pa.array([[[1], [2, 3]], []]), pa.array([b"x", None, b"zz"]).slice(1)):
