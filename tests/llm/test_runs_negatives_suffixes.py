@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import string
 import zlib
 
 import numpy as np
@@ -239,3 +240,32 @@ def test_op13_empty_and_odd(spark, tmp_path):
         assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         want = counted((k, *r) for (k, _), r in zip(rows, repeats_by_hand([t for _, t in rows], 400)))
         assert counted(got.collect()) == want
+
+
+def gram_of(rng, value):
+    """32 letters whose hash is ``value``: the last eight bytes follow from the others."""
+    a, b, mask = int(suffix_arrays._A), int(suffix_arrays._B), 2 ** 64 - 1
+    x = value * pow(b, -1, 2 ** 64) & mask
+    x ^= x >> 32
+    while True:
+        head = "".join(rng.choice(string.ascii_letters) for _ in range(24)).encode()
+        h = int.from_bytes(head[:8], "little") * a & mask
+        for k in (8, 16):
+            h = (h ^ h >> 29) * b + int.from_bytes(head[k:k + 8], "little") * a & mask
+        tail = ((x - (h ^ h >> 29) * b) * pow(a, -1, 2 ** 64) & mask).to_bytes(8, "little")
+        if all(32 < c < 127 for c in tail):
+            assert suffix_arrays._gram_hashes(np.frombuffer(head + tail, np.uint8)).tolist() == [value]
+            return (head + tail).decode()
+
+
+def test_anchors_do_not_depend_on_the_batch(spark, monkeypatch):
+    """Two hashes of a window that differ in low bits only, the text alone or with much text behind it."""
+    rng = random.Random(4)
+    text = (prose(rng, 9) + gram_of(rng, 2 << 12) + prose(rng, 9) + gram_of(rng, 1 << 12) + prose(rng, 30))[:200]
+    texts = [text, text + prose(rng, 15_000)]
+    alone, longer = (suffix_arrays.pieces([t.encode()], 200) for t in texts)
+    assert alone[1][0] == longer[1][0]
+    monkeypatch.setattr(suffix_arrays, "SPAN", 1)
+    got = suffix_arrays.remove_repeats(table(spark, list(enumerate(texts))), 200)
+    want = counted((k, *r) for k, r in enumerate(repeats_by_hand(texts, 200)))
+    assert counted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans) // 2, r.kept_sha256) for r in got.collect()) == want
